@@ -55,6 +55,7 @@ def in_order(
     if following:
         carried.append(F.lead("__first").over(across).alias("__next_first"))
     summary = rows.groupBy(*group).agg(*summary_aggs).select(*group, *carried)
+    summary = summary.withColumnsRenamed({c: f"__g_{c}" for c in group})
 
     cols = {"__rn": F.row_number().over(local)}
     cols |= {f"__run_{n}": F.sum(c).over(upto) for n, c in sums.items()}
@@ -63,9 +64,9 @@ def in_order(
     cols["__size"] = F.count(F.lit(1)).over(Window.partitionBy(*group))
     rows = rows.withColumns(cols)
 
-    on = [rows[c].eqNullSafe(summary[c]) for c in group]
+    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group]
     joined = rows.join(summary, on, "left").select(
-        *[rows[c] for c in df.columns],
+        *df.columns,
         *([(F.col("__before") + F.col("__rn")).cast("long").alias(number)] if number else []),
         *[(F.col(f"__before_{n}") + F.col(f"__run_{n}")).alias(n) for n in sums],
         *[
