@@ -74,10 +74,10 @@ def expand_candidates(df: DataFrame, primary: str, extras: str, limit: int = 8,
     table: dict[str, str] = {r[0]: r[1] for r in _peer_rows()}
     mapping = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
     first = F.array_distinct(
-        F.filter(F.concat(F.array(F.col(primary)), F.coalesce(F.col(extras), F.array().cast("array<string>"))), is_cjk)
+        F.filter(F.concat(F.array(F.col(primary)), F.coalesce(F.col(extras), F.array().cast("array<string>"))), lambda c: is_cjk(c))
     )
     peers = F.flatten(F.transform(first, lambda c: F.split(F.coalesce(mapping[c], F.lit("")), "")))
-    peers = F.filter(peers, is_cjk)
+    peers = F.filter(peers, lambda c: is_cjk(c))
     return df.withColumn(out, F.slice(F.array_distinct(F.concat(first, peers)), 1, limit))
 
 
