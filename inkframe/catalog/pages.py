@@ -140,7 +140,7 @@ def m1(t):
     return P.retain(B.audit(t), 20).select("id")
 
 
-@query("m6_page_status", with_("", "SELECT user_id AS page_id, max(list_position(['signup','view','click','purchase','error'], event_type)) AS status_rank, count(*) AS updates FROM events GROUP BY 1"))
+@query("m6_page_status", with_("", "SELECT user_id AS page_id, CAST(max(list_position(['signup','view','click','purchase','error'], event_type)) AS BIGINT) AS status_rank, count(*) AS updates FROM events GROUP BY 1"))
 def m6(t):
     from inkframe.streaming.logs import page_progress
 
