@@ -28,13 +28,13 @@ def boxed(r):
 
 _INTER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 _IOU = f"({_INTER}) / (a.w * a.h + b.w * b.h - {_INTER})"
-_HIT = f"SELECT DISTINCT a.rect_id FROM rect a JOIN rect b ON a.page_id = b.page_id AND a.kind = 'tag' AND b.kind = 'border' WHERE {_IOU} > 0.35"
+_HIT = f"SELECT DISTINCT a.rect_id FROM rect a JOIN rect b ON a.page_id = b.page_id AND a.kind = 'tag' AND b.kind = 'border' WHERE {_IOU} > 0.1"
 
 
 @query("j8_spatial_merge", with_("rect", "SELECT page_id, rect_id, kind FROM rect WHERE kind = 'border' OR rect_id NOT IN (SELECT rect_id FROM hit)", hit=_HIT))
 def j8(t):
     a, b = parts(t)
-    return L.spatial_merge(a, b, PK, "rect_id").select("page_id", "rect_id", "kind")
+    return L.spatial_merge(a, b, PK, "rect_id", 0.1).select("page_id", "rect_id", "kind")
 
 
 @query("j8_overlap_pairs", with_("rect", f"SELECT a.page_id, a.rect_id AS a_id, b.rect_id AS b_id, {_IOU} AS iou FROM rect a JOIN rect b ON a.page_id = b.page_id AND a.rect_id < b.rect_id WHERE {_INTER} > 0"))
@@ -47,7 +47,7 @@ def j8_pairs(t):
 @query("j8_outside_zones", with_("rect", "SELECT rect_id FROM rect WHERE kind = 'tag' AND rect_id NOT IN (SELECT rect_id FROM hit)", hit=_HIT))
 def j8_zones(t):
     a, b = parts(t)
-    return L.outside_zones(b, a, PK, "rect_id").select("rect_id")
+    return L.outside_zones(b, a, PK, "rect_id", 0.1).select("rect_id")
 
 
 @query("j9_boxes_with_points", with_("rect line", "SELECT rect_id, count(*) AS points FROM rect r JOIN line l ON r.page_id = l.page_id AND x1 BETWEEN x AND x + w AND y1 BETWEEN y AND y + h GROUP BY 1 HAVING count(*) >= 2"))
@@ -89,10 +89,10 @@ def j10_left(t):
 
 
 @query("j11_add_missing", with_("rect", """SELECT rect_id FROM rect a WHERE kind = 'tag' AND NOT EXISTS (SELECT 1 FROM rect b WHERE b.kind = 'border' AND a.page_id = b.page_id
-   AND sqrt((a.x + a.w / 2 - b.x - b.w / 2) * (a.x + a.w / 2 - b.x - b.w / 2) + (a.y + a.h / 2 - b.y - b.h / 2) * (a.y + a.h / 2 - b.y - b.h / 2)) < 15)"""))
+   AND sqrt((a.x + a.w / 2 - b.x - b.w / 2) * (a.x + a.w / 2 - b.x - b.w / 2) + (a.y + a.h / 2 - b.y - b.h / 2) * (a.y + a.h / 2 - b.y - b.h / 2)) < 25)"""))
 def j11(t):
     a, b = parts(t)
-    return L.add_missing(boxed(a), boxed(b), PK, "glyph_id", 15.0).select(F.col("glyph_id").alias("rect_id"))
+    return L.add_missing(boxed(a), boxed(b), PK, "glyph_id", 25.0).select(F.col("glyph_id").alias("rect_id"))
 
 
 _LINK = """SELECT a.page_id, a.line_id, b.line_id AS other_id FROM (SELECT *, greatest(2, width_px + 1) AS tol FROM line) a JOIN line b ON a.page_id = b.page_id AND a.line_id <> b.line_id

@@ -268,8 +268,8 @@ def dedupe_boxes(glyphs: DataFrame, keys: Sequence[str], box_id: str, sides: Dat
 def union_distinct_tol(rects: DataFrame, keys: Sequence[str], rect_id: str, order: str, tol=(8.0, 8.0, 16.0, 16.0)) -> DataFrame:
     """Rects in order, each kept unless a kept one is within the tolerances in x, y, w and h."""
     keys = list(keys)
-    first = rects.groupBy(*keys, "x", "y", "w", "h").agg(F.min_by(F.struct(rect_id, order), F.struct(order, rect_id)).alias("__f"))
-    first = first.select(*keys, "x", "y", "w", "h", f"__f.{rect_id}", f"__f.{order}")
+    first = rects.groupBy(*keys, "x", "y", "w", "h").agg(F.min(F.struct(F.col(order).alias("o"), F.col(rect_id).alias("i"))).alias("__f"))
+    first = first.select(*keys, "x", "y", "w", "h", F.col("__f.i").alias(rect_id), F.col("__f.o").alias("__o"))
     a = first.select(*keys, F.col(rect_id).alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in "xywh"])
     b = first.select(*keys, F.col(rect_id).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in "xywh"])
     a = _as_box(a, "l", F.col("a_x") - tol[0], F.col("a_y") - tol[1], F.col("a_x") + tol[0], F.col("a_y") + tol[1])
@@ -278,7 +278,7 @@ def union_distinct_tol(rects: DataFrame, keys: Sequence[str], rect_id: str, orde
     for c, t in zip("xywh", tol):
         near = near & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) < t)
     edges = box_join(a, b, keys, max(8.0, 2 * tol[0]), near & (F.col("a_id") < F.col("b_id"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    items = first.select(F.col(rect_id).alias("id"), (-F.col(order)).alias("prio"))
+    items = first.select(F.col(rect_id).alias("id"), (-F.col("__o")).alias("prio"))
     return rects.join(greedy_keep(items, edges).withColumnRenamed("id", rect_id), rect_id, "left_semi")
 
 
