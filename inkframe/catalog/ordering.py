@@ -26,7 +26,7 @@ def lane(t):
 
 _LANE = """SELECT g.*, w AS col, median(cx) OVER (PARTITION BY page_id, w) AS center, s AS side FROM glyph g JOIN (SELECT page_id, median((x1 - x0 + (y1 - y0)) / 2) AS s FROM glyph GROUP BY 1) USING (page_id)"""
 _GAP = "SELECT *, cy - lag(cy) OVER (PARTITION BY page_id, col ORDER BY cy, glyph_id) AS up, lead(cy) OVER (PARTITION BY page_id, col ORDER BY cy, glyph_id) - cy AS down FROM lane"
-_KIND = """SELECT page_id, col, count(*) AS n, max(cx) - min(cx) AS spread, CASE WHEN count(*) >= 3 AND coalesce(stddev_pop(up), 0) < 8 AND avg(up) > any_value(side) * 0.5 THEN 'vertical_name'
+_KIND = """SELECT page_id, col, count(*) AS col_n, max(cx) - min(cx) AS spread, CASE WHEN count(*) >= 3 AND coalesce(stddev_pop(up), 0) < 8 AND avg(up) > any_value(side) * 0.5 THEN 'vertical_name'
    WHEN count(*) = 2 AND max(cy) - min(cy) < any_value(side) * 0.35 AND abs(max(cx) - min(cx) - any_value(side)) < 15 THEN 'rank_label' ELSE 'mixed' END AS col_kind FROM gp GROUP BY 1, 2"""
 
 
@@ -57,7 +57,7 @@ def w4(t):
     return gap_groups(t.events.select("user_id", "event_id"), ["user_id"], "event_id", F.lit(100), [], F.expr("event_id div 1024"))
 
 
-@query("w5_column_kind", with_("glyph", "SELECT page_id, col, n, spread, col_kind FROM kd", lane=_LANE, gp=_GAP, kd=_KIND))
+@query("w5_column_kind", with_("glyph", "SELECT page_id, col, col_n, spread, col_kind FROM kd", lane=_LANE, gp=_GAP, kd=_KIND))
 def w5(t):
     return C.column_kind(lane(t), PK)
 
@@ -72,7 +72,7 @@ def w6(t):
     with_(
         "glyph",
         """SELECT glyph_id FROM (SELECT *, sqrt(avg((up - med) ** 2) OVER (PARTITION BY page_id, col)) AS dev FROM (SELECT *, median(up) OVER (PARTITION BY page_id, col) AS med FROM gp JOIN kd USING (page_id, col)
-        WHERE n >= 3 AND (col_kind = 'vertical_name' OR kd.spread <= side * 0.65))) WHERE dev > 3 OR up > med * 1.85 OR down > med * 1.85""",
+        WHERE col_n >= 3 AND (col_kind = 'vertical_name' OR kd.spread <= side * 0.65))) WHERE dev > 3 OR up > med * 1.85 OR down > med * 1.85""",
         lane=_LANE, gp=_GAP, kd=_KIND,
     ),
 )
@@ -88,7 +88,7 @@ def w7(t):
         """SELECT glyph_id, cx + dx AS cx, cy + dy AS cy, x0 + dx AS x0, y1 + dy AS y1 FROM (SELECT *, CASE WHEN rank THEN mid - cy WHEN abs(ty - cy) <= side * 0.28 THEN ty - cy ELSE CAST(0 AS DOUBLE) END AS dy FROM
         (SELECT b.*, top + i * pitch AS ty FROM b LEFT JOIN (SELECT i.glyph_id, i, e.top, e.pitch FROM i2 i JOIN e USING (page_id, col)) USING (glyph_id)))""",
         lane=_LANE, gp=_GAP, kd=_KIND,
-        a="""SELECT l.*, n >= 2 AND col_kind = 'rank_label' AS rank, n >= 2 AND col_kind <> 'rank_label' AND l.kind <> 'side' AS mov, median(cy) OVER (PARTITION BY page_id, col) AS mid FROM lane l JOIN kd USING (page_id, col)""",
+        a="""SELECT l.*, col_n >= 2 AND col_kind = 'rank_label' AS rank, col_n >= 2 AND col_kind <> 'rank_label' AND l.kind <> 'side' AS mov, median(cy) OVER (PARTITION BY page_id, col) AS mid FROM lane l JOIN kd USING (page_id, col)""",
         b="SELECT *, CASE WHEN mov AND abs(center - cx) <= side * 0.5 THEN center - cx ELSE CAST(0 AS DOUBLE) END AS dx FROM a",
         i1="SELECT *, cy - lag(cy) OVER (PARTITION BY page_id, col ORDER BY cy, glyph_id) AS gap, row_number() OVER (PARTITION BY page_id, col ORDER BY cy, glyph_id) - 1 AS i FROM b WHERE mov",
         i2="SELECT *, median(gap) OVER (PARTITION BY page_id, col) AS pt_ FROM i1",

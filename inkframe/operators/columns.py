@@ -7,8 +7,10 @@ can cross. What is folded is bounded by the page's geometry, not by its number o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,46 +18,47 @@ from inkframe.constants import CONFIDENCE_THRESHOLD, TITLE_MIN_VOTES, TITLE_SCAN
 from inkframe.operators.ordered import gap_groups, in_order
 from inkframe.operators.spatial import box_join
 
-_MEDIAN = (
-    "(filter({m}, z -> z.c >= (element_at({m}, -1).c + 1) div 2)[0].v + filter({m}, z -> z.c >= (element_at({m}, -1).c + 2) div 2)[0].v) / 2"
-)
-_MEMBER = "array<struct<v:double,c:bigint>>"
+def _clusters(v, n, belongs) -> list[tuple[int, float]]:
+    """(lowest value, median) of the cluster of each value; v ascending, n its multiplicities.
 
+    ``belongs(clusters, x)`` names the cluster x joins, or None. Members arrive in order, so a
+    cluster's median is a look-up in its cumulative counts.
+    """
+    out, cl = [0] * len(v), []
+    for i, x in enumerate(v):
+        c = belongs(cl, x)
+        if c is None:
+            cl.append({"vals": [x], "cum": [int(n[i])], "med": x, "lo": x})
+            out[i] = len(cl) - 1
+            continue
+        m = cl[c]
+        m["vals"].append(x)
+        m["cum"].append(m["cum"][-1] + int(n[i]))
+        total = m["cum"][-1]
+        m["med"] = (m["vals"][bisect_left(m["cum"], (total + 1) // 2)] + m["vals"][bisect_left(m["cum"], (total + 2) // 2)]) / 2
+        out[i] = c
+    return [(cl[c]["lo"], cl[c]["med"]) for c in out]
 
-def _med(m: str) -> str:
-    return _MEDIAN.format(m=m)
 
+def _next_fit(tol, span):
+    return lambda cl, x: len(cl) - 1 if cl and x - cl[-1]["med"] < tol and (span is None or x - cl[-1]["lo"] <= span) else None
 
-def _grow(m: str) -> str:
-    """Cluster ``m`` with the value e added, and its new median."""
-    return (
-        f"transform(array(concat({m}, array(named_struct('v', e.v, 'c', coalesce(element_at({m}, -1).c, 0L) + e.n)))),"
-        f" q -> named_struct('m', q, 'med', {_med('q')}))[0]"
-    )
 
+def _first_fit(tol, span):
+    def find(cl, x):
+        return next((i for i, c in enumerate(cl) if abs(c["med"] - x) <= tol), None)
 
-def _next_fit(rule: str) -> str:
-    """Fold: a value joins the newest cluster while ``rule`` (over s.med, s.lo, s.k, e.v) holds."""
-    start = f"transform(array(cast(array() as {_MEMBER})), z -> {_grow('z')})[0]"
-    last = "element_at(s, -1)"
-    cond = rule.replace("{med}", f"{last}.med").replace("{lo}", f"{last}.m[0].v").replace("{k}", "size(s)")
-    return (
-        f"aggregate(vals, cast(array() as array<struct<m:{_MEMBER},med:double>>), (s, e) ->"
-        f" IF(size(s) > 0 AND ({cond}), concat(slice(s, 1, size(s) - 1), array({_grow(last + '.m')})), concat(s, array({start}))))"
-    )
+    return find
 
 
-def _first_fit() -> str:
-    """Fold: a value joins the first cluster whose median is within tol."""
-    at = "array_position(transform(s, z -> abs(z.med - e.v) <= tol), true)"
-    start = f"transform(array(cast(array() as {_MEMBER})), z -> {_grow('z')})[0]"
-    return (
-        f"aggregate(vals, cast(array() as array<struct<m:{_MEMBER},med:double>>), (s, e) ->"
-        f" transform(array({at}), p -> IF(p > 0, transform(s, (z, i) -> IF(i = p - 1, {_grow('z.m')}, z)), concat(s, array({start}))))[0])"
-    )
+def _ratio_fit(ratio: float, limit: int | None):
+    def make(tol, span):
+        return lambda cl, x: len(cl) - 1 if cl and not (x > cl[-1]["med"] * (1 + ratio) and (limit is None or len(cl) < limit)) else None
 
+    return make
 
-def _fold(df: DataFrame, keys: Sequence[str], value: str, fold: str, tol: Column | None, span: Column | None, cut_gaps: bool, group_len: float) -> DataFrame:
+
+def _fold(df: DataFrame, keys: Sequence[str], value: str, rule, tol: Column | None, span: Column | None, cut_gaps: bool, group_len: float) -> DataFrame:
     keys = list(keys)
     params = {"tol": tol, "span": span}
     extra = {k: F.min(c).cast("double").alias(k) for k, c in params.items() if c is not None}
@@ -64,11 +67,23 @@ def _fold(df: DataFrame, keys: Sequence[str], value: str, fold: str, tol: Column
     if cut_gaps:
         vals = gap_groups(vals, keys, "v", F.col("tol"), [], F.floor(F.col("v") / group_len), "__island")
         group = [*keys, "__island"]
-    arrays = vals.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vals"), *[F.min(k).alias(k) for k in extra])
-    out = arrays.select(*group, F.explode(F.expr(fold)).alias("cl"))
-    return out.select(*keys, F.col("cl.med").alias("center"), F.expr("cl.m[0].v").alias("lo"), F.explode("cl.m").alias("__x")).select(
-        *keys, F.col("__x.v").alias("__v"), "center", "lo"
-    )
+    entry = F.array_sort(F.collect_list(F.struct("v", "n")))
+    arrays = vals.groupBy(*group).agg(entry.alias("__a"), *[F.min(k).alias(k) for k in extra])
+
+    @F.pandas_udf("array<double>")
+    def fold(v: pd.Series, n: pd.Series, tol: pd.Series, span: pd.Series) -> pd.Series:
+        out = []
+        for a, c, t, s in zip(v, n, tol, span):
+            pairs = _clusters(a, c, rule(t, None if pd.isna(s) else s))
+            out.append([p[0] for p in pairs] + [p[1] for p in pairs])
+        return pd.Series(out)
+
+    none = F.lit(None).cast("double")
+    size = F.size("__a")
+    v = F.transform("__a", lambda x: x["v"])
+    arrays = arrays.withColumn("__c", fold(v, F.transform("__a", lambda x: x["n"]), F.col("tol") if "tol" in extra else none, F.col("span") if "span" in extra else none))
+    zipped = F.arrays_zip(v.alias("v"), F.slice("__c", 1, size).alias("lo"), F.slice("__c", size + 1, size).alias("center"))
+    return arrays.select(*keys, F.explode(zipped).alias("__x")).select(*keys, F.col("__x.v").alias("__v"), F.col("__x.center").alias("center"), F.col("__x.lo").alias("lo"))
 
 
 def _attach(df: DataFrame, clusters: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -81,19 +96,17 @@ def _attach(df: DataFrame, clusters: DataFrame, keys: Sequence[str], value: str,
 
 def cluster_1d(df: DataFrame, keys: Sequence[str], value: str, tol: Column, span: Column | None = None, name: str = "col", group_len: float = 4096.0) -> DataFrame:
     """Sorted clustering against the running median: next value joins while < tol above it and, if given, within ``span`` of the lowest."""
-    rule = "e.v - {med} < tol" + (" AND e.v - {lo} <= span" if span is not None else "")
-    return _attach(df, _fold(df, keys, value, _next_fit(rule), tol, span, True, group_len), keys, value, name)
+    return _attach(df, _fold(df, keys, value, _next_fit, tol, span, True, group_len), keys, value, name)
 
 
 def cluster_first_fit(df: DataFrame, keys: Sequence[str], value: str, tol: Column, name: str = "col", group_len: float = 4096.0) -> DataFrame:
     """Values in ascending order join the first cluster whose median is within tol."""
-    return _attach(df, _fold(df, keys, value, _first_fit(), tol, None, True, group_len), keys, value, name)
+    return _attach(df, _fold(df, keys, value, _first_fit, tol, None, True, group_len), keys, value, name)
 
 
 def cluster_ratio(df: DataFrame, keys: Sequence[str], value: str, ratio: float = 0.15, max_groups: int | None = 4, name: str = "size") -> DataFrame:
     """Sorted clustering by ratio: a value above median x (1 + ratio) opens a group while there are fewer than max_groups."""
-    rule = f"NOT (e.v > {{med}} * {1 + ratio}D" + (f" AND {{k}} < {max_groups})" if max_groups else ")")
-    return _attach(df, _fold(df, keys, value, _next_fit(rule), None, None, False, 0), keys, value, name)
+    return _attach(df, _fold(df, keys, value, _ratio_fit(ratio, max_groups), None, None, False, 0), keys, value, name)
 
 
 def column_clusters(glyphs: DataFrame, keys: Sequence[str], sides: DataFrame) -> DataFrame:
@@ -103,21 +116,21 @@ def column_clusters(glyphs: DataFrame, keys: Sequence[str], sides: DataFrame) ->
 
 
 def column_kind(glyphs: DataFrame, keys: Sequence[str], col: str = "col") -> DataFrame:
-    """Per column: n and kind. Three or more evenly spaced (gap std < 8, mean > .5 sides) are vertical
+    """Per column: col_n and col_kind. Three or more evenly spaced (gap std < 8, mean > .5 sides) are vertical
     names; two side by side are a rank label; the rest is mixed."""
     keys = [*keys, col]
     gap = F.col("cy") - F.lag("cy").over(Window.partitionBy(*keys).orderBy("cy", "glyph_id"))
     g = glyphs.withColumn("__gap", gap)
     c = g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__gap").alias("mean"), F.coalesce(F.stddev_pop("__gap"), F.lit(0.0)).alias("std"),
+        F.count(F.lit(1)).alias("col_n"), F.avg("__gap").alias("mean"), F.coalesce(F.stddev_pop("__gap"), F.lit(0.0)).alias("std"),
         (F.max("cx") - F.min("cx")).alias("spread"), (F.max("cy") - F.min("cy")).alias("height"), F.min("mid_side").alias("s"),
     )
     kind = (
-        F.when((F.col("n") >= 3) & (F.col("std") < 8) & (F.col("mean") > F.col("s") * 0.5), "vertical_name")
-        .when((F.col("n") == 2) & (F.col("height") < F.col("s") * 0.35) & (F.abs(F.col("spread") - F.col("s")) < 15), "rank_label")
+        F.when((F.col("col_n") >= 3) & (F.col("std") < 8) & (F.col("mean") > F.col("s") * 0.5), "vertical_name")
+        .when((F.col("col_n") == 2) & (F.col("height") < F.col("s") * 0.35) & (F.abs(F.col("spread") - F.col("s")) < 15), "rank_label")
         .otherwise("mixed")
     )
-    return c.select(*keys, "n", "spread", kind.alias("col_kind"))
+    return c.select(*keys, "col_n", "spread", kind.alias("col_kind"))
 
 
 def reading_order(glyphs: DataFrame, keys: Sequence[str], col: str = "col", center: str = "col_center") -> DataFrame:
@@ -139,7 +152,7 @@ def spacing_anomalies(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame,
     gap > 3: all of them) or next to a gap above 1.85 medians. Wide columns that are no names are skipped."""
     keys = [*keys, col]
     w = Window.partitionBy(*keys).orderBy("cy", "glyph_id")
-    g = glyphs.join(kinds, keys).where((F.col("n") >= 3) & ((F.col("col_kind") == "vertical_name") | (F.col("spread") <= F.col("mid_side") * 0.65)))
+    g = glyphs.join(kinds, keys).where((F.col("col_n") >= 3) & ((F.col("col_kind") == "vertical_name") | (F.col("spread") <= F.col("mid_side") * 0.65)))
     g = g.withColumns({"__up": F.col("cy") - F.lag("cy").over(w), "__down": F.lead("cy").over(w) - F.col("cy")})
     med = g.groupBy(*keys).agg(F.median("__up").alias("__med"))
     g = g.join(med, keys)
@@ -154,9 +167,9 @@ def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col:
     sides) and, where the pitch is stable, to an even pitch (shift <= .28 sides). Side glyphs stay."""
     keys = [*keys, col]
     s = F.col("mid_side")
-    k = kinds.select(*keys, "n", "col_kind")
+    k = kinds.select(*keys, "col_n", "col_kind")
     g = glyphs.join(k, keys, "left")
-    many = F.col("n") >= 2
+    many = F.col("col_n") >= 2
     rank = many & (F.col("col_kind") == "rank_label")
     movable = many & ~rank & (F.col("kind") != "side")
     dx = F.when(movable & (F.abs(F.col(center) - F.col("cx")) <= s * 0.5), F.col(center) - F.col("cx")).otherwise(0.0)
@@ -182,7 +195,7 @@ def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col:
     )
     g = g.withColumn("__dy", dy)
     moved = {c: F.col(c) + F.col("__dx") for c in ("cx", "x0", "x1")} | {c: F.col(c) + F.col("__dy") for c in ("cy", "y0", "y1")}
-    return g.withColumns(moved).drop("n", "col_kind", "__dx", "__nx", "__mid", "__ty", "__dy")
+    return g.withColumns(moved).drop("col_n", "col_kind", "__dx", "__nx", "__mid", "__ty", "__dy")
 
 
 def detect_pairs(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -43,9 +43,9 @@ def in_order(
     summary_aggs += [F.sum(c).alias(f"__s_{name}") for name, c in sums.items()]
     position = F.struct(*order)
     if previous:
-        summary_aggs.append(F.max_by(F.struct(*previous.values()), position).alias("__last"))
+        summary_aggs.append(F.max_by(F.struct(*[F.col(c).alias(o) for o, c in previous.items()]), position).alias("__last"))
     if following:
-        summary_aggs.append(F.min_by(F.struct(*following.values()), position).alias("__first"))
+        summary_aggs.append(F.min_by(F.struct(*[F.col(c).alias(o) for o, c in following.items()]), position).alias("__first"))
     across = Window.partitionBy(*keys).orderBy(_CH) if keys else Window.partitionBy(F.lit(0)).orderBy(_CH)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")]
@@ -70,11 +70,11 @@ def in_order(
         *([(F.col("__before") + F.col("__rn")).cast("long").alias(number)] if number else []),
         *[(F.col(f"__before_{n}") + F.col(f"__run_{n}")).alias(n) for n in sums],
         *[
-            F.when(F.col("__rn") > 1, F.col(f"__prev_{o}")).otherwise(F.col(f"__prev_last.{c}")).alias(o)
+            F.when(F.col("__rn") > 1, F.col(f"__prev_{o}")).otherwise(F.col(f"__prev_last.{o}")).alias(o)
             for o, c in previous.items()
         ],
         *[
-            F.when(F.col("__rn") < F.col("__size"), F.col(f"__next_{o}")).otherwise(F.col(f"__next_first.{c}")).alias(o)
+            F.when(F.col("__rn") < F.col("__size"), F.col(f"__next_{o}")).otherwise(F.col(f"__next_first.{o}")).alias(o)
             for o, c in following.items()
         ],
     )
@@ -94,11 +94,27 @@ def islands(
 
     The first row of a key always opens run 1.
     """
-    linked = in_order(df, keys, order, chunk, previous={**previous, "__any": order[0]})
-    opens = F.when(F.col("__any").isNull(), 1).otherwise(F.coalesce(starts_new, F.lit(False)).cast("int"))
-    linked = linked.withColumn("__opens", opens).drop("__any")
-    out = in_order(linked, keys, order, chunk, sums={name: F.col("__opens")})
-    return out.withColumn(name, F.col(name).cast("long")).drop("__opens", *previous.keys())
+    keys, group = list(keys), [*keys, _CH]
+    local = Window.partitionBy(*group).orderBy(*order)
+    rows = df.withColumn(_CH, chunk).withColumns({o: F.lag(c).over(local) for o, c in previous.items()} | {"__rn": F.row_number().over(local)})
+    opens = F.coalesce(starts_new, F.lit(False)).cast("int")
+    # the first row of a chunk is judged in the summary, where the last row before it is known
+    rows = rows.withColumn("__opens", F.when(F.col("__rn") == 1, 0).otherwise(opens))
+    rows = rows.withColumn("__run", F.sum("__opens").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    position = F.struct(*order)
+    summary = rows.groupBy(*group).agg(
+        F.sum("__opens").alias("__local"),
+        F.min_by(F.struct(*[c for c in df.columns if c not in keys]), position).alias("__f"),
+        F.max_by(F.struct(*[F.col(c).alias(o) for o, c in previous.items()]), position).alias("__l"),
+    )
+    across = Window.partitionBy(*keys).orderBy(_CH)
+    summary = summary.withColumn("__p", F.lag("__l").over(across)).select(*group, "__local", F.col("__p").isNull().alias("__lead"), "__f.*", "__p.*")
+    summary = summary.withColumn("__first", F.when(F.col("__lead"), 1).otherwise(opens))
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("__first") + F.col("__local")).over(before), F.lit(0)) + F.col("__first")
+    summary = summary.select(*[F.col(c).alias(f"__g_{c}") for c in group], offset.alias("__off"))
+    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group]
+    return rows.join(summary, on, "left").select(*df.columns, (F.col("__off") + F.col("__run")).cast("long").alias(name))
 
 
 def gap_groups(
