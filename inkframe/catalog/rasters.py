@@ -131,10 +131,10 @@ def r8(t):
     return R.span_coverage(boxes(t), B.runs(t), sizes=B.page_sizes(t)).select("box_id", "span")
 
 
-@query("r9_erase", ink_sql(runs_sql("SELECT page_id, y, x FROM ink i WHERE NOT EXISTS (SELECT 1 FROM bx b WHERE b.box_id % 40 = 3 AND b.page_id = i.page_id AND i.x >= x0 AND i.x < x1 AND i.y >= y0 AND i.y < y1)")))
+@query("r9_erase", ink_sql(runs_sql("SELECT page_id, y, x FROM ink i WHERE NOT EXISTS (SELECT 1 FROM bx b WHERE b.page_id = i.page_id AND i.x >= x0 AND i.x < x0 + 2 AND i.y = y0)")))
 def r9(t):
-    """Every fortieth box is a graphic to blank out (all of them would leave no ink)."""
-    b = boxes(t).where("box_id % 40 = 3").selectExpr("page_id", "CAST(x0 AS BIGINT) AS ex0", "CAST(y0 AS BIGINT) AS ey0", "CAST(x1 AS BIGINT) AS ex1", "CAST(y1 AS BIGINT) AS ey1")
+    """The upper left corner of every box is blanked out (whole boxes would leave no ink)."""
+    b = boxes(t).selectExpr("page_id", "CAST(x0 AS BIGINT) AS ex0", "CAST(y0 AS BIGINT) AS ey0", "CAST(x0 + 2 AS BIGINT) AS ex1", "CAST(y0 + 1 AS BIGINT) AS ey1")
     return R.erase(B.runs(t), b)
 
 

@@ -107,7 +107,7 @@ def close_square(runs: DataFrame, radius: int, sizes: DataFrame, keys: Sequence[
 def erase(runs: DataFrame, boxes: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Ink outside the boxes (ex0, ey0, ex1, ey1), by interval subtraction per row."""
     keys = list(keys)
-    b = boxes.where("ey0 < ey1 and ex0 < ex1").select(*keys, F.explode(F.sequence("ey0", F.col("ey1") - 1)).cast("long").alias("y"), F.col("ex0").cast("long").alias("x0"), F.col("ex1").cast("long").alias("x1"))
+    b = boxes.where("ey0 < ey1 and ex0 < ex1").select(*keys, F.explode(F.sequence(F.col("ey0").cast("long"), F.col("ey1").cast("long") - 1)).alias("y"), F.col("ex0").cast("long").alias("x0"), F.col("ex1").cast("long").alias("x1"))
     big = 1 << 20
     both = runs.select(*keys, "y", "x0", "x1", F.lit(1).cast("long").alias("weight")).unionByName(merge_runs(b, keys).withColumn("weight", F.lit(big).cast("long")))
     return coverage(both, [*keys, "y"]).where("cover = 1").select(*keys, "y", "x0", "x1")
