@@ -120,7 +120,7 @@ def f13(t):
     return S.margin_flag(B.nodes(t), S.content_bounds(pages300(t), tall(t))).select("node_id", "margin")
 
 
-@query("a19_frame_x", with_("", "SELECT page_id, coalesce(min(x) FILTER (WHERE h > 42 AND h > w * 4 AND x < 150), 48) AS left_x, coalesce(max(x + w) FILTER (WHERE h > 42 AND h > w * 4 AND x + w > 150), 252) AS right_x FROM tl GROUP BY 1", tl=_TALL.replace("AS w,", "AS w0,").replace("FROM part", "FROM part")).replace("SELECT p_partkey // 40", "SELECT *, w0 / 4 AS w FROM (SELECT p_partkey // 40").replace("AS h FROM part)", "AS h FROM part))").replace("48)", "36)").replace("252)", "189)"))
+@query("a19_frame_x", with_("", "SELECT page_id, coalesce(min(x) FILTER (WHERE h > 42 AND h > w * 4 AND x < 112.5), 48) AS left_x, coalesce(max(x + w) FILTER (WHERE h > 42 AND h > w * 4 AND x + w > 112.5), 252) AS right_x FROM tl GROUP BY 1", tl=_TALL.replace("AS w,", "AS w0,").replace("FROM part", "FROM part")).replace("SELECT p_partkey // 40", "SELECT *, w0 / 4 AS w FROM (SELECT p_partkey // 40").replace("AS h FROM part)", "AS h FROM part))").replace("48)", "36)").replace("252)", "189)"))
 def a19(t):
     r = tall(t).withColumn("w", F.col("w") / 4)
     pages = r.select("page_id").distinct().withColumns({"width": F.lit(225.0), "height": F.lit(120.0)})
@@ -209,7 +209,7 @@ def r17(t):
     runs, sizes = big(t)
     out = None
     for axis in "hv":
-        b = T.strip_bars(runs, sizes, axis, F.lit(0), F.lit(24), "min").withColumn("axis", F.lit(axis))
+        b = T.strip_bars(runs, sizes, axis, F.lit(0), F.lit(18), "min").withColumn("axis", F.lit(axis))
         out = b if out is None else out.unionByName(b)
     return out
 

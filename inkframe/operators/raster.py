@@ -154,10 +154,12 @@ def raster_iou(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("page_id",)) -
 
 
 # --- components -------------------------------------------------------------------------------
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """8-connected labels inside one tile of rows: each run gets the first (y, x0) of its component."""
-    pdf = pdf.sort_values(["y", "x0"], kind="stable").reset_index(drop=True)
-    ys, x0s, x1s = pdf["y"].tolist(), pdf["x0"].tolist(), pdf["x1"].tolist()
+def _label_groups(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """8-connected labels of whole tiles (sorted by group, y, x0): each run gets the first (y, x0) of its component."""
+    new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+    # rows of different groups are moved apart so that they never look adjacent
+    ys = (pdf["y"].to_numpy() % TILE_SPAN + new.cumsum() * (TILE_SPAN + 2)).tolist()
+    x0s, x1s = pdf["x0"].tolist(), pdf["x1"].tolist()
     parent = list(range(len(ys)))
 
     def root(i: int) -> int:
@@ -166,15 +168,15 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    above = 0  # first run of the row above that may still touch
-    start = {}
+    start: dict[int, int] = {}
     for i, y in enumerate(ys):
         start.setdefault(y, i)
+    above = -1  # first run of the row above that may still touch
     for i, y in enumerate(ys):
         if i == start[y]:
             above = start.get(y - 1, -1)
         j = above
-        while j >= 0 and j < len(ys) and ys[j] == y - 1 and x0s[j] <= x1s[i]:
+        while 0 <= j < i and ys[j] == y - 1 and x0s[j] <= x1s[i]:
             if x1s[j] >= x0s[i]:
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
@@ -182,7 +184,31 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
                 above = j + 1
             j += 1
     roots = [root(i) for i in range(len(ys))]
-    return pdf.assign(ly=[ys[r] for r in roots], lx=[x0s[r] for r in roots])
+    return pdf.assign(ly=pdf["y"].to_numpy()[roots], lx=pdf["x0"].to_numpy()[roots])
+
+
+TILE_SPAN = 1 << 20  # beyond any page height
+
+
+def _label_sorted(group: list[str]):
+    """Stream a sorted partition tile by tile; only the tile at a batch border is held back."""
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if len(pdf) == 0:
+                continue
+            new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+            last = int(new.nonzero()[0][-1])
+            if last:
+                yield _label_groups(pdf.iloc[:last].reset_index(drop=True), group)
+            rest = pdf.iloc[last:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield _label_groups(rest, group)
+
+    return run
 
 
 def label_runs(runs: DataFrame, keys: Sequence[str] = ("page_id",), tile: int = TILE) -> DataFrame:
@@ -197,7 +223,8 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = ("page_id",), tile: int =
     r = runs.select(*keys, "y", "x0", "x1").withColumn("__tile", F.floor(F.col("y") / tile))
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y long", "x0 long", "x1 long", "__tile long", "ly long", "lx long"])
     r = r.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1", "__tile")])
-    lab = r.groupBy(*keys, "__tile").applyInPandas(_label_tile, schema)
+    ordered = r.repartition(*keys, "__tile").sortWithinPartitions(*keys, "__tile", "y", "x0")
+    lab = ordered.mapInPandas(_label_sorted([*keys, "__tile"]), schema)
     lab = lab.select(*keys, "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("comp"))
     deep = runs.agg(F.max("y").alias("m"), F.min("y").alias("n")).first()
     if deep["m"] is None or deep["m"] // tile == deep["n"] // tile:

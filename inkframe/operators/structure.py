@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,6 +248,56 @@ def detect_lines(runs: DataFrame, mask: DataFrame, sizes: DataFrame, min_len: in
     return out[0].unionByName(out[1])
 
 
+def _circle_finder(r_max: int):
+    """UDF: the best hollow circle around a line end, tested against the ink runs near it."""
+    radii = range(NODE_R_MIN, min(NODE_R_MAX, r_max) + 1)
+
+    @F.pandas_udf("cx double, cy double, r double, score double")
+    def find(ex: pd.Series, ey: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for cx0, cy0, yy, aa, bb in zip(ex, ey, ys, x0s, x1s):
+            ox, oy = math.floor(cx0) - r_max - 10, math.floor(cy0) - NODE_R_MAX - r_max - 6
+            img = np.zeros((2 * (NODE_R_MAX + r_max) + 14, 2 * r_max + 22), dtype=np.int8)
+            for y, a, b in zip(yy, aa, bb):
+                if 0 <= y - oy < img.shape[0]:
+                    img[y - oy, max(0, a - ox) : max(0, b - ox)] = 1
+            slack = img.copy()  # a ring sample may miss by one pixel
+            slack[1:] |= img[:-1]
+            slack[:-1] |= img[1:]
+            slack[:, 1:] |= img[:, :-1]
+            slack[:, :-1] |= img[:, 1:]
+            best = (None, None, None, None)
+            for dy in range(-NODE_R_MAX, NODE_R_MAX + 1, 2):
+                for dx in range(-4, 5, 2):
+                    cx, cy = cx0 + dx, cy0 + dy
+                    for r in radii:
+                        if math.hypot(dx, dy) > r * 1.6 + 2:
+                            continue
+                        rx, ry = RING[0] * r, RING[1] * r
+                        hits = slack[np.floor(cy + ry + 0.5).astype(int) - oy, np.floor(cx + rx + 0.5).astype(int) - ox]
+                        ring = hits.mean()
+                        if ring < 0.55 or hits.reshape(4, 8).sum(axis=1).min() < 4:
+                            continue
+                        k = math.floor(r * 0.42)
+                        g = np.arange(-k, k + 1, 2)
+                        iy, ix = (v.ravel() for v in np.meshgrid(g, g, indexing="ij"))
+                        keep = ix * ix + iy * iy <= (r * 0.42) ** 2
+                        inner = img[np.floor(cy + iy[keep] + 0.5).astype(int) - oy, np.floor(cx + ix[keep] + 0.5).astype(int) - ox].mean()
+                        if inner > 0.28:
+                            continue
+                        score = float(ring - inner - abs(dx) / r * 0.2)
+                        if best[3] is None or score > best[3]:
+                            best = (float(cx), float(cy), float(r), score)
+            rows.append(best)
+        return pd.DataFrame(rows, columns=["cx", "cy", "r", "score"], dtype="float64")
+
+    return find
+
+
+_ANGLES = 2 * np.pi * np.arange(32) / 32
+RING = (np.cos(_ANGLES), np.sin(_ANGLES))
+
+
 def detect_nodes(runs: DataFrame, lines: DataFrame, sizes: DataFrame, r_max: int = 20, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Hollow circles at free line ends: keys, node_id, cx, cy, r, score.
 
@@ -254,43 +306,15 @@ def detect_nodes(runs: DataFrame, lines: DataFrame, sizes: DataFrame, r_max: int
     end stays; circles closer than 1.5 radii to a better one are dropped.
     """
     keys = list(keys)
-    spark = runs.sparkSession
-    offsets, probes = [], []
-    pid = 0
-    for r in range(NODE_R_MIN, min(NODE_R_MAX, r_max) + 1):
-        inner = math.floor(r * 0.42)
-        for s in range(32):
-            a = 2 * math.pi * s / 32
-            probes.append((r, s // 8, True, s, r * math.cos(a), r * math.sin(a)))
-        k = 32
-        for iy in range(-inner, inner + 1, 2):
-            for ix in range(-inner, inner + 1, 2):
-                if ix * ix + iy * iy <= (r * 0.42) ** 2:
-                    probes.append((r, -1, False, k, float(ix), float(iy)))
-                    k += 1
-        for dy in range(-NODE_R_MAX, NODE_R_MAX + 1, 2):
-            for dx in range(-4, 5, 2):
-                if math.hypot(dx, dy) <= r * 1.6 + 2:
-                    offsets.append((pid, r, float(dx), float(dy)))
-                    pid += 1
-    # two fixed tables of a few thousand rows
-    off = F.broadcast(spark.createDataFrame(offsets, "cand int, r int, dx double, dy double"))
-    prb = F.broadcast(spark.createDataFrame(probes, "r int, quarter int, ring boolean, k int, ox double, oy double"))
     ends = L.free_endpoints(lines, keys).withColumn("end_id", F.struct("line_id", "end"))
-    c = ends.crossJoin(off).select(*keys, "end_id", "cand", "r", (F.col("ex") + F.col("dx")).alias("cx"), (F.col("ey") + F.col("dy")).alias("cy"), F.abs("dx").alias("adx"))
-    p = c.join(prb, "r").select(*keys, "end_id", "cand", "r", "cx", "cy", "adx", "quarter", "ring", "k", js_round(F.col("cx") + F.col("ox")).alias("px"), js_round(F.col("cy") + F.col("oy")).alias("py"))
-    near = F.when(F.col("ring"), F.array(*[F.struct((F.col("px") + a).alias("x"), (F.col("py") + b).alias("y")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])).otherwise(F.array(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))))
-    spots = p.withColumn("__s", F.explode(near)).select(*p.columns, "__s.x", "__s.y")
-    ink = R.run_points(runs, keys).withColumn("__ink", F.lit(1))
-    spots = spots.join(ink, [*keys, "x", "y"], "left")
-    hit = spots.groupBy(*keys, "end_id", "cand", "r", "cx", "cy", "adx", "quarter", "ring", "k").agg(F.coalesce(F.max("__ink"), F.lit(0)).alias("hit"))
-    g = hit.groupBy(*keys, "end_id", "cand", "r", "cx", "cy", "adx").agg(
-        *[F.sum(F.when(F.col("quarter") == q, F.col("hit"))).alias(f"q{q}") for q in range(4)],
-        F.avg(F.when(F.col("ring"), F.col("hit"))).alias("ringc"), F.avg(F.when(~F.col("ring"), F.col("hit"))).alias("innerc"),
-    )
-    g = g.where("ringc >= 0.55 and innerc <= 0.28 and least(q0, q1, q2, q3) >= 4").withColumn("score", F.col("ringc") - F.col("innerc") - F.col("adx") / F.col("r") * 0.2)
-    best = g.groupBy(*keys, "end_id").agg(F.max_by(F.struct("cx", "cy", "r", "score"), F.struct("score", -F.col("cand"))).alias("b"))
-    n = cut(best.select(*keys, F.xxhash64(*keys, "end_id").alias("node_id"), "b.cx", "b.cy", F.col("b.r").cast("double").alias("r"), "b.score"))
+    reach_x, reach_y = 4 + r_max + 2, NODE_R_MAX + r_max + 2
+    # the ink around an end: a window of fixed size, so the list below is bounded by it
+    win = ends.select(*keys, "end_id", "ex", "ey", F.explode(F.sequence(F.floor(F.col("ey") - reach_y), F.ceil(F.col("ey") + reach_y))).alias("y"))
+    ink = win.join(runs, [*keys, "y"]).where((F.col("x0") <= F.col("ex") + reach_x) & (F.col("x1") >= F.col("ex") - reach_x))
+    ink = ink.groupBy(*keys, "end_id", "ex", "ey").agg(F.collect_list("y").alias("ys"), F.collect_list("x0").alias("as_"), F.collect_list("x1").alias("bs"))
+    find = _circle_finder(r_max)
+    best = ink.select(*keys, "end_id", find("ex", "ey", "ys", "as_", "bs").alias("b")).where("b.score is not null")
+    n = cut(best.select(*keys, F.xxhash64(*keys, "end_id").alias("node_id"), "b.cx", "b.cy", "b.r", "b.score"))
     a = n.select(*keys, F.col("node_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").alias("ar"))
     b = n.select(*keys, F.col("node_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("r").alias("br"))
     reach = float(r_max) * 1.5
