@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from inkframe.constants import CONFIDENCE_THRESHOLD, TITLE_MIN_VOTES, TITLE_SCAN_PAGES
 from inkframe.operators.ordered import gap_groups, in_order
 from inkframe.operators.spatial import box_join
+from inkframe.session import spread
 
 def _clusters(v, n, belongs) -> list[tuple[int, float]]:
     """(lowest value, median) of the cluster of each value; v ascending, n its multiplicities.
@@ -68,7 +69,7 @@ def _fold(df: DataFrame, keys: Sequence[str], value: str, rule, tol: Column | No
         vals = gap_groups(vals, keys, "v", F.col("tol"), [], F.floor(F.col("v") / group_len), "__island")
         group = [*keys, "__island"]
     entry = F.array_sort(F.collect_list(F.struct("v", "n")))
-    arrays = vals.groupBy(*group).agg(entry.alias("__a"), *[F.min(k).alias(k) for k in extra])
+    arrays = spread(vals, *group).groupBy(*group).agg(entry.alias("__a"), *[F.min(k).alias(k) for k in extra])
 
     @F.pandas_udf("array<double>")
     def fold(v: pd.Series, n: pd.Series, tol: pd.Series, span: pd.Series) -> pd.Series:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkframe.constants import BLANK_DARK_THRESHOLD, BLANK_MAX_INK_RATIO, SKEW_RANGE_DEG
 from inkframe.functions.geometry import js_round
 from inkframe.operators.iterate import connected_components
+from inkframe.session import spread
 
 TILE = 512  # rows handled together by components
 
@@ -223,7 +224,7 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = ("page_id",), tile: int =
     r = runs.select(*keys, "y", "x0", "x1").withColumn("__tile", F.floor(F.col("y") / tile))
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y long", "x0 long", "x1 long", "__tile long", "ly long", "lx long"])
     r = r.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1", "__tile")])
-    ordered = r.repartition(*keys, "__tile").sortWithinPartitions(*keys, "__tile", "y", "x0")
+    ordered = spread(r, *keys, "__tile").sortWithinPartitions(*keys, "__tile", "y", "x0")
     lab = ordered.mapInPandas(_label_sorted([*keys, "__tile"]), schema)
     lab = lab.select(*keys, "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("comp"))
     deep = runs.agg(F.max("y").alias("m"), F.min("y").alias("n")).first()

@@ -21,7 +21,7 @@ from inkframe.operators.columns import cluster_first_fit
 from inkframe.operators.iterate import greedy_keep
 from inkframe.operators.ordered import gap_groups
 from inkframe.operators.spatial import box_join
-from inkframe.session import cut
+from inkframe.session import cut, spread
 
 IMAGE = {"min_bar_fill": 0.28, "min_bar_span": 0.48, "projection": 0.72, "frame_long": 0.46, "border_fill": 0.55, "thickness": 0.004}
 PDF = {"min_bar_fill": 0.16, "min_bar_span": 0.36, "projection": 0.62, "frame_long": 0.34, "border_fill": 0.42, "thickness": 0.0006}
@@ -311,7 +311,7 @@ def detect_nodes(runs: DataFrame, lines: DataFrame, sizes: DataFrame, r_max: int
     # the ink around an end: a window of fixed size, so the list below is bounded by it
     win = ends.select(*keys, "end_id", "ex", "ey", F.explode(F.sequence(F.floor(F.col("ey") - reach_y), F.ceil(F.col("ey") + reach_y))).alias("y"))
     ink = win.join(runs, [*keys, "y"]).where((F.col("x0") <= F.col("ex") + reach_x) & (F.col("x1") >= F.col("ex") - reach_x))
-    ink = ink.groupBy(*keys, "end_id", "ex", "ey").agg(F.collect_list("y").alias("ys"), F.collect_list("x0").alias("as_"), F.collect_list("x1").alias("bs"))
+    ink = spread(ink, *keys, "end_id", "ex", "ey").groupBy(*keys, "end_id", "ex", "ey").agg(F.collect_list("y").alias("ys"), F.collect_list("x0").alias("as_"), F.collect_list("x1").alias("bs"))
     find = _circle_finder(r_max)
     best = ink.select(*keys, "end_id", find("ex", "ey", "ys", "as_", "bs").alias("b")).where("b.score is not null")
     n = cut(best.select(*keys, F.xxhash64(*keys, "end_id").alias("node_id"), "b.cx", "b.cy", "b.r", "b.score"))

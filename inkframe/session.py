@@ -46,3 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to reliable storage and continue from there (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by cols over all cores. For Python-heavy steps: their input is small in bytes,
+    so AQE would otherwise squeeze it into a few tasks."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)
