@@ -23,11 +23,12 @@ def collect_rounds(votes: DataFrame, rounds: int = 3, delay: str = "10 minutes",
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState):
         have = {r: (c, f) for r, c, f in zip(*st.get)} if st.exists else {}
-        done = False
+        done, newest = False, 0
         if st.hasTimedOut:
             done = bool(have)
         else:
             for pdf in batches:
+                newest = max(newest, int(pdf["ts_ms"].max()) if len(pdf) else 0)
                 for r, c, f in zip(pdf["round"], pdf["char"], pdf["confidence"]):
                     have.setdefault(int(r), (None if pd.isna(c) else c, float(f)))
             done = len(have) >= rounds
@@ -37,10 +38,12 @@ def collect_rounds(votes: DataFrame, rounds: int = 3, delay: str = "10 minutes",
             yield pd.DataFrame({"item_id": [key[0]], "complete": [len(have) >= rounds], "votes": [rows]})
         elif have:
             st.update(([*have], [v[0] for v in have.values()], [v[1] for v in have.values()]))
-            st.setTimeoutTimestamp(st.getCurrentWatermarkMs() + wait_ms)
+            # wait from the newest vote on; the watermark itself starts at zero
+            st.setTimeoutTimestamp(max(newest, st.getCurrentWatermarkMs()) + wait_ms)
             yield pd.DataFrame({"item_id": [], "complete": [], "votes": []})
 
     v = votes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    v = v.withColumn("ts_ms", F.unix_millis("ts"))
     return v.groupBy("item_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
