@@ -63,8 +63,14 @@ def passes(t: Tables) -> DataFrame:
 PASS_KEYS = ["user_id", "week"]
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """Spread a scan of few splits over all cores before an explode; a scan that is wide enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    lines = wide(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
     return lines.select("doc_id", F.col("l").cast("long").alias("l"), F.posexplode(F.split("line", " ")).alias("w", "word")).select(
         "doc_id", "l", F.col("w").cast("long").alias("w"), "word", F.length("word").cast("long").alias("n")
     )
