@@ -303,24 +303,37 @@ _EV = f"""SELECT user_id % 3 AS project_id, user_id % 7 AS aspect, user_id AS si
    CASE event_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'model' ELSE 'local' END AS source, least(1, value / 400) AS confidence, user_id || ':' || strftime(ts, '%Y-%m-%d') AS evidence_key, event_id AS seen_at FROM events"""
 
 
-@query(
-    "a8_learn",
-    with_(
+_LEARN = with_(
         "",
         """SELECT aspect, sig, char, CAST(sum(total) AS BIGINT) AS total, CAST(max(last_seen) AS BIGINT) AS last_seen, CAST(least(80, sum(keys)) AS BIGINT) AS keys FROM (
         SELECT project_id, aspect, sig, char, count(DISTINCT evidence_key) AS total, 0 AS last_seen, count(DISTINCT evidence_key) AS keys FROM ev WHERE NOT (char = '倪' AND evidence_key IN (SELECT evidence_key FROM old)) GROUP BY ALL
         UNION ALL SELECT c_custkey % 3, c_custkey % 7, c_custkey, '倪', 2, 0, 1 FROM customer) GROUP BY project_id, aspect, sig, char""",
         ev=_EV,
         old="SELECT c_custkey || ':2024-01-05' AS evidence_key FROM customer",
-    ),
-)
+    )
+
+
+@query("a8_learn", _LEARN)
 def a8(t):
     """Customers are records that already know the evidence of one day; every event brings evidence."""
-    mem = t.customer.selectExpr(
+    return learnt(M.learn(remembered(t), evidence(t)))
+
+
+@query("m2_learn_in_batches", _LEARN)
+def m2(t):
+    """The first half of the month, then everything: what was seen before counts once."""
+    first = M.learn(remembered(t), evidence(t).where("day(ts) <= 15").drop("ts"))
+    return learnt(M.learn(first, evidence(t).drop("ts")))
+
+
+def remembered(t):
+    return t.customer.selectExpr(
         "c_custkey % 3 AS project_id", "c_custkey % 7 AS aspect", "array(c_custkey) AS sig", "'倪' AS char", "2L AS total", "1L AS manual", "1L AS model", "0L AS local",
         "1.5D AS confidence_sum", "0L AS last_seen", "array(concat(c_custkey, ':2024-01-05')) AS evidence_keys",
     )
-    out = M.learn(mem, evidence(t))
+
+
+def learnt(out):
     return out.select("aspect", F.col("sig")[0].alias("sig"), "char", "total", F.lit(0).cast("long").alias("last_seen"), F.size("evidence_keys").alias("keys"))
 
 

@@ -220,8 +220,8 @@ def anchors(t):
 
 def items(t):
     """One recognised item per event, near the box of its id (every third far off)."""
-    n = t.part.agg(F.count(F.lit(1)).alias("np"))
-    return t.events.crossJoin(F.broadcast(n)).selectExpr(
+    n = t.part.agg(F.count(F.lit(1))).scalar()
+    return t.events.withColumn("np", n).selectExpr(
         "event_id AS item_id", "event_id % np div 40 AS page_id", "event_id % 40 AS id", "CASE WHEN event_type <> 'error' THEN event_type END AS char",
         "value / 500 AS confidence", "CASE WHEN event_type = 'view' THEN 'ok' END AS note",
         "((event_id % np div 40 * 40 + event_id % 40) * 37 % 1500 + IF(event_id % 3 = 0, 60, event_id % 13) * 1D) / 1500 AS rx",
@@ -382,10 +382,10 @@ def q21(t):
     cache = k.where("doc_id % 2 = 0").select("key", F.col("doc_id").alias("answer"), F.col("doc_id").alias("created_at"))
     hits, misses = R.cache_lookup(k, cache)
     after = R.cache_upsert(cache, misses.select("key", F.col("doc_id").alias("answer"), F.col("doc_id").alias("created_at")))
-    n = after.agg(F.count(F.lit(1)).alias("entries"))
+    n = after.agg(F.count(F.lit(1))).scalar()
     out = hits.select("doc_id", F.lit(True).alias("hit"), F.col("stored.answer").alias("stored"))
     out = out.unionByName(misses.select("doc_id", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("stored")))
-    return out.crossJoin(F.broadcast(n))
+    return out.withColumn("entries", n)
 
 
 @query(

@@ -172,8 +172,7 @@ def retain(audit: DataFrame, days: int = AUDIT_RETENTION_DAYS, now: Column | Non
     cutoff = F.expr(f"make_dt_interval({days})")
     if now is not None:
         return audit.where(F.col("ts") > now - cutoff)
-    newest = audit.agg(F.max("ts").alias("__max"))
-    return audit.crossJoin(F.broadcast(newest)).where(F.col("ts") > F.col("__max") - cutoff).drop("__max")
+    return audit.where(F.col("ts") > audit.agg(F.max("ts")).scalar() - cutoff)
 
 
 def audit_lines(audit: DataFrame) -> DataFrame:

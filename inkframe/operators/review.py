@@ -96,8 +96,11 @@ def budget_admit(batches: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     run = in_order(batches, keys, order, chunk, number="__n", sums={"__spent": F.col(estimate) * rounds})
     fits = F.col("__spent") <= budget
-    stop = run.groupBy(*keys).agg(F.min(F.when(~fits, F.col("__n"))).alias("__stop")) if keys else None
-    out = run.join(stop, list(keys), "left") if keys else run.crossJoin(F.broadcast(run.agg(F.min(F.when(~fits, F.col("__n"))).alias("__stop"))))
+    first = F.min(F.when(~fits, F.col("__n")))
+    if keys:
+        out = run.join(run.groupBy(*keys).agg(first.alias("__stop")), list(keys), "left")
+    else:
+        out = run.withColumn("__stop", run.agg(first).scalar())
     admitted = F.col("__stop").isNull() | (F.col("__n") < F.col("__stop"))
     return out.withColumn("admitted", admitted).drop("__n", "__spent", "__stop")
 

@@ -41,6 +41,5 @@ def stream_audit(entries: DataFrame, path: str, checkpoint: str, days: int = 30,
 
 def retained(spark, path: str, days: int = 30) -> DataFrame:
     df = spark.read.parquet(path)
-    newest = df.agg(F.max("ts").alias("m"))
-    cutoff = F.expr(f"m - make_dt_interval({days})")
-    return df.crossJoin(F.broadcast(newest)).where((F.col("ts") > cutoff) & (F.col("day") >= F.to_date(cutoff))).drop("m", "day")
+    cutoff = df.agg(F.max("ts")).scalar() - F.expr(f"make_dt_interval({days})")
+    return df.where((F.col("ts") > cutoff) & (F.col("day") >= F.to_date(cutoff))).drop("day")
