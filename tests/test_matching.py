@@ -121,6 +121,15 @@ def test_assign_nearest(spark):
     assert rows(A.assign_nearest(i, a, ["page_id"], 24.0), "item_id", "glyph_id") == [(0, 100), (1, 101)]
 
 
+def test_spent_exact_items_do_not_compete(spark):
+    a = spark.createDataFrame([(1, 100 + i, i, 20.0 * i, 50.0) for i in range(2)], "page_id long, glyph_id long, id long, cx double, cy double")
+    a = a.selectExpr("*", "cx - 12 AS x0", "cy - 12 AS y0", "cx + 12 AS x1", "cy + 12 AS y1")
+    # both items answer for anchor 0; the later one stays, the earlier one may not take anchor 1
+    it = [(1, 0, 0, 7.0, 50.0, 0.99, True), (1, 1, 0, 2.0, 50.0, 0.9, True)]
+    i = spark.createDataFrame(it, "page_id long, item_id long, id long, px double, py double, confidence double, valid boolean")
+    assert rows(A.assign_nearest(i, a, ["page_id"], 24.0), "item_id", "glyph_id") == [(1, 100)]
+
+
 def test_merge_boxes_joins_strokes(spark):
     b = [(1, 1, 10.0, 10.0, 20.0, 4.0, 50.0), (1, 2, 10.0, 17.0, 20.0, 4.0, 50.0), (1, 3, 10.0, 24.0, 20.0, 4.0, 50.0), (1, 4, 200.0, 10.0, 20.0, 20.0, 200.0)]
     df = spark.createDataFrame(b, "page_id long, box_id long, x double, y double, w double, h double, area double")
