@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkframe.constants import BLANK_DARK_THRESHOLD, BLANK_MAX_INK_RATIO, SKEW_RANGE_DEG
 from inkframe.functions.geometry import js_round
 from inkframe.operators.iterate import connected_components
-from inkframe.session import spread
+from inkframe.session import cut, spread
 
 TILE = 512  # rows handled together by components
 
@@ -230,6 +230,7 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = ("page_id",), tile: int =
     deep = runs.agg(F.max("y").alias("m"), F.min("y").alias("n")).first()
     if deep["m"] is None or deep["m"] // tile == deep["n"] // tile:
         return lab
+    lab = cut(lab)  # read several times below
     node = F.struct(*keys, "comp")
     low = lab.where(F.col("y") % tile == tile - 1).select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), node.alias("src"))
     high = lab.where(F.col("y") % tile == 0).select(*keys, "y", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), node.alias("dst"))
@@ -327,11 +328,11 @@ def crop(boxes: DataFrame, runs: DataFrame, sizes: DataFrame, keys: Sequence[str
     p = F.lit(0.0) if pad is None else pad
     b = boxes.select(*keys, box_id, (F.col("x0") - p).alias("x0"), (F.col("y0") - p).alias("y0"), (F.col("x1") + p).alias("x1"), (F.col("y1") + p).alias("y1"))
     j = ink_join(b, runs, keys, box_id, sizes)
-    cut = j.select(*keys, box_id, (F.col("y") - F.col("by0")).alias("y"), (F.col("x0") - F.col("bx0")).alias("x0"), (F.col("x1") - F.col("bx0")).alias("x1"))
+    clipped = j.select(*keys, box_id, (F.col("y") - F.col("by0")).alias("y"), (F.col("x0") - F.col("bx0")).alias("x0"), (F.col("x1") - F.col("bx0")).alias("x1"))
     dims = b.join(sizes, keys).select(
         *keys, box_id, (F.least("width", F.ceil("x1")) - F.greatest(F.lit(0), F.floor("x0"))).alias("__w"), (F.least("height", F.ceil("y1")) - F.greatest(F.lit(0), F.floor("y0"))).alias("__h")
     ).where("__w > 0 and __h > 0")
-    return cut, dims.withColumnsRenamed({"__w": "width", "__h": "height"})
+    return clipped, dims.withColumnsRenamed({"__w": "width", "__h": "height"})
 
 
 # --- gray levels ------------------------------------------------------------------------------
