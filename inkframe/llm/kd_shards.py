@@ -67,7 +67,7 @@ def kd_shards(rows: DataFrame, shards: int, dims: list[str], weight: str = "size
 def _split(rows: DataFrame, nodes: dict, dims: list[str], weight: str, tie: str, shards: int) -> DataFrame:
     at = F.col("__at")
     by_node = lambda f, kind="long": F.element_at(F.array(*[F.lit(f(nodes[i]) if i in nodes else 0).cast(kind) for i in range(shards)]), at + 1)
-    rows = rows.withColumn("__key", F.element_at(F.array(*dims), by_node(lambda n: n["dim"] + 1, "int")))
+    rows = rows.withColumn("__key", F.element_at(F.array(*dims), F.greatest(F.lit(1), by_node(lambda n: n["dim"] + 1, "int"))))
     left, right, still = F.lit(False), F.lit(False), F.col("__m") > 1
     for phase, key in enumerate(("__key", tie, "__row")):
         values = _crossing(rows.where(still), key, nodes, by_node, weight)

@@ -30,26 +30,36 @@ def _kd_sql(shards: int = 40) -> str:
     code = lambda c: f"coalesce(('0x' || rpad(substr(hex({c}), 1, 14), 14, '0'))::BIGINT, -1)"
     parts = [
         "r0 AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, coalesce(text, '') AS t, "
-        f"{code('source')} AS d1, {code('lang')} AS d2, coalesce(doc_id, -1) AS d3, 0 AS at, {shards} AS m FROM documents)",
+        f"{code('source')} AS d1, {code('lang')} AS d2, coalesce(doc_id, -1) AS d3, 0 AS nd, {shards} AS m FROM documents)",
         "whole AS (SELECT " + ", ".join(f"greatest(1, max({d}) - min({d})) AS g{k}" for k, d in enumerate(("size", "d1", "d2", "d3"))) + " FROM r0)",
     ]
+    crc = (
+        "(SELECT list(c ORDER BY i) AS l FROM (WITH RECURSIVE tb(k, i, c) AS (SELECT 0, i, i FROM range(256) r(i) UNION ALL "
+        "SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM tb WHERE k < 8) SELECT i, c FROM tb WHERE k = 8))"
+    )
+    parts += [
+        f"tab AS {crc}",
+        "hx AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents)",
+        "sums AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), "
+        "lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM hx, tab)",
+    ]
     levels = (shards - 1).bit_length()
     for k in range(levels):
         wide = [f"(max({d}) OVER n - min({d}) OVER n)::DOUBLE / g{j}" for j, d in enumerate(("size", "d1", "d2", "d3"))]
         parts += [
-            f"a{k} AS (SELECT r{k}.*, {', '.join(f'{w} AS w{j}' for j, w in enumerate(wide))}, sum(size) OVER n AS w FROM r{k}, whole WINDOW n AS (PARTITION BY at))",
+            f"a{k} AS (SELECT r{k}.*, {', '.join(f'{w} AS w{j}' for j, w in enumerate(wide))}, sum(size) OVER n AS w FROM r{k}, whole WINDOW n AS (PARTITION BY nd))",
             f"b{k} AS (SELECT *, CASE WHEN w0 >= greatest(w1, w2, w3) THEN size WHEN w1 >= greatest(w2, w3) THEN d1 WHEN w2 >= w3 THEN d2 ELSE d3 END AS k FROM a{k})",
-            f"c{k} AS (SELECT *, 2 * sum(size) OVER (PARTITION BY at ORDER BY k, d3 ROWS UNBOUNDED PRECEDING) - size AS middle FROM b{k})",
-            f"r{k + 1} AS (SELECT doc_id, size, t, d1, d2, d3, CASE WHEN m > 1 AND middle * m > 2 * w * (m // 2) THEN at + m // 2 ELSE at END AS at, "
+            f"c{k} AS (SELECT *, 2 * sum(size) OVER (PARTITION BY nd ORDER BY k, d3 ROWS UNBOUNDED PRECEDING) - size AS middle FROM b{k})",
+            f"r{k + 1} AS (SELECT doc_id, size, t, d1, d2, d3, CASE WHEN m > 1 AND middle * m > 2 * w * (m // 2) THEN nd + m // 2 ELSE nd END AS nd, "
             f"CASE WHEN m = 1 THEN 1 WHEN middle * m > 2 * w * (m // 2) THEN m - m // 2 ELSE m // 2 END AS m FROM c{k})",
         ]
     return (
-        f"WITH {', '.join(parts)} SELECT doc_id, size::BIGINT AS size, 'bytes' AS law, at::INTEGER AS shard, "
-        f"row_number() OVER (PARTITION BY at ORDER BY d3) - 1 AS slot, NULL::INTEGER AS grown_shard FROM r{levels}"
+        f"WITH {', '.join(parts)} SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, nd::INTEGER AS shard, "
+        f"row_number() OVER (PARTITION BY nd ORDER BY d3) - 1 AS slot, NULL::INTEGER AS grown_shard FROM r{levels} JOIN sums USING (doc_id)"
     )
 
 
-@query("op4_kd_shards")
+@query("op4_kd_shards", _kd_sql())
 def op4_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards.shard_documents(documents(spark, folder), 40)
 
