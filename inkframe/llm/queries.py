@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import kd_shards, mixing
+from inkframe.llm import kd_shards, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,14 @@ SELECT doc_id, size, source_size, target,
 @query("op8_mix_sources", MIX_SQL)
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(documents(spark, folder))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_sum_of_squares_packing")
+def op7_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder), tokenizer_path())
