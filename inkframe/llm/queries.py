@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import kd_shards, mixing, packing
+from inkframe.llm import kd_shards, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query("op7_sum_of_squares_packing")
 def op7_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), tokenizer_path())
+
+
+@query("op10_importance_resampling")
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.Classifier(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")).report()
