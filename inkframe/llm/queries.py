@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import kd_shards, mixing, packing, quality
+from inkframe.llm import kd_shards, mixing, near_dups, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op7_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_importance_resampling")
 def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return quality.Classifier(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")).report()
+
+
+@query("op1_consistent_sampling_dedup")
+def op1_consistent_sampling_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, folder))
