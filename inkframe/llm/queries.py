@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import kd_shards, mixing, near_dups, packing, quality
+from inkframe.llm import kd_shards, mixing, near_dups, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_consistent_sampling_dedup")
 def op1_consistent_sampling_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, folder))
+
+
+@query("op2_weak_supervision_pii")
+def op2_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(documents(spark, folder))
