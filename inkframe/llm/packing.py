@@ -24,8 +24,8 @@ from inkframe.session import cut
 LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
-#: Distinct words whose ids a worker keeps; the older half goes when it is reached.
-KEPT_WORDS = 400_000
+#: Distinct words whose ids a worker keeps; the newer half goes when it is reached.
+KEPT_WORDS = 1_200_000
 #: Stands between words that are tokenized together; a character that is one id by itself.
 MARK = "\x01"
 
@@ -40,32 +40,47 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = int(self._ids(MARK)[0])
+        self[b""] = b""
 
-    def learn(self, found: list[bytes]) -> None:
-        new = list(set(found) - self.keys())
+    def learn(self, found: set[bytes]) -> None:
+        new = [w for w in found if w not in self]
         if len(self) + len(new) > KEPT_WORDS:
-            for w in list(self)[: KEPT_WORDS // 2]:
+            for w in list(self)[KEPT_WORDS // 2 :]:  # words met early are the frequent ones
                 del self[w]
-            new = list(set(found) - self.keys())
-        for lo in range(0, len(new), 500):
-            self._encode(new[lo : lo + 500])
+            new = [w for w in found if w not in self]
+        parts = {w: _parts(w) for w in new}
+        todo = list({p for both in parts.values() for p in both if p not in self})
+        for lo in range(0, len(todo), 500):
+            self._encode(todo[lo : lo + 500])
+        for w, (stem, sign) in parts.items():
+            self[w] = self[stem] + self[sign]
 
     def _encode(self, part: list[bytes]) -> None:
         """Many words in one call, with a mark between them; one by one if a word has the mark itself."""
         ids = self._ids(f" {MARK} ".join([w.decode() for w in part]))
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) == len(part) - 1 and not any(MARK.encode() in w for w in part):
-            for w, lo, hi in zip(part, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-                self[w] = ids[lo:hi].tobytes()
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            for w, lo, hi in zip(part, [0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True):
+                self[w] = raw[lo:hi]
         else:
             for w in part:
                 self[w] = self._ids(w.decode()).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))  # bytes split at ASCII white space only
+    def of(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word in ASCII lower case without the comma or full stop that follows a letter, and that sign:
+    the tokenizer lowers case and divides there as well. Words that may hold special tokens stay whole."""
+    if b"<|" in word:
+        return word, b""
+    low = word.lower()
+    return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b",." and 97 <= low[-2] <= 122 else (low, b"")
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -83,10 +98,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for lo, hi in T.steps(batch.column(1)):
                 raw, at = T.bytes_of(batch.column(1).slice(lo, hi - lo))
-                ids.learn(raw.tobytes().split() if hi - lo == 1 else [w for i in range(hi - lo) for w in raw[at[i] : at[i + 1]].tobytes().split()])
+                split = [raw[at[i] : at[i + 1]].tobytes().split() for i in range(hi - lo)]  # bytes split at ASCII white space only
+                ids.learn(set().union(*split))
                 out = []
-                for i, key in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
-                    own = ids.of(raw[at[i] : at[i + 1]].tobytes()) + b"\0\0\0\0"
+                for key, own_words in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), split, strict=True):
+                    own = ids.of(own_words) + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(own), 4 * length)):
                         part = own[start : start + 4 * length]
                         out.append((key, k, start // 4, len(part) // 4, zlib.crc32(part)))
