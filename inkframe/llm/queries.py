@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import kd_shards, mixing, near_dups, packing, pii, quality
+from inkframe.llm import fingerprints, kd_shards, mixing, near_dups, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op1_consistent_sampling_dedup(spark: SparkSession, folder: str) -> DataFrame
 @query("op2_weak_supervision_pii")
 def op2_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(documents(spark, folder))
+
+
+@query("op6_one_permutation_minhash")
+def op6_one_permutation_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.report(documents(spark, folder))
