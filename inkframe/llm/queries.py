@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import fingerprints, kd_shards, mixing, near_dups, packing, pii, quality
+from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op2_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_one_permutation_minhash")
 def op6_one_permutation_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.report(documents(spark, folder))
+
+
+@query("op5_patience_licenses")
+def op5_patience_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
