@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm import text as T
@@ -28,7 +28,10 @@ from inkframe.operators.iterate import connected_components
 from inkframe.session import cut
 
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 14, 4
+#: The first samples, a byte of each, estimate a pair's similarity before its sets are fetched; a pair at the
+#: threshold agrees in fewer than SKETCH_LEAST of them once in 50,000 cases.
+SKETCH, SKETCH_LEAST = 32, 16
 IDF_BITS = 18
 #: Weights run from 1 (in every document) to 1 + IDF_SHARE (in one).
 IDF_SHARE = 0.5
@@ -38,14 +41,15 @@ DRAWS = 16
 MOST_CENTRES = 256
 
 _BASE = "node binary, doc_id long"
+_SKETCH = [f"s{k}" for k in range(SKETCH // 8)]
 
 
-def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables(seed: int) -> tuple[np.ndarray, ...]:
     rng = np.random.default_rng(seed)
     n = 1 << DRAWS
     r, c, beta = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
-    odd = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    return r, c, beta, odd
+    odd = rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    return *(x.astype(np.float32) for x in (r, 1 / r, c - r, beta)), odd
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -91,79 +95,95 @@ def signatures(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
         for batch in batches:
             for lo, hi in T.steps(batch.column(1)):
                 hashes, rows, counts, digests = shingle_rows(batch.column(1).slice(lo, hi - lo))
-                keys = consistent_samples(hashes, rows, counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)], hi - lo, draws)
-                has = np.bincount(rows, minlength=hi - lo) > 0
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32), keys[has].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists], names=["node", "doc_id", "bands"])
+                weights = counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
+                keys, sketch = consistent_samples(hashes, rows, weights, hi - lo, draws)
+                mass = np.bincount(rows, weights=weights, minlength=hi - lo)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((mass > 0) * BANDS)]).astype(np.int32), keys[mass > 0].reshape(-1).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists, pa.array(mass), *[pa.array(x) for x in sketch.view(np.int64).T]],
+                    names=["node", "doc_id", "bands", "mass", *_SKETCH],
+                )
+
+    return _own(docs).mapInArrow(run, f"{_BASE}, bands array<long>, mass double, {', '.join(f'{c} long' for c in _SKETCH)}")
 
-    return _own(docs).mapInArrow(run, f"{_BASE}, bands array<long>")
 
+def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, draws) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (n x BANDS) and a byte of each of the first SKETCH samples (n x SKETCH / 8 words).
 
-def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, draws) -> np.ndarray:
-    """Band keys (n x BANDS). Two texts agree in a sample with the probability of their weighted Jaccard similarity."""
-    r_, c_, beta_, odd = draws
-    keys = np.zeros((n, BANDS), dtype=np.uint64)
+    Two texts agree in a sample with the probability of their weighted Jaccard similarity.
+    """
+    r_, inverse_, c_, beta_, odd = draws
+    keys, sketch = np.zeros((n, BANDS), dtype=np.uint64), np.zeros((n, SKETCH // 8), dtype=np.uint64)
     if not len(hashes):
-        return keys
+        return keys, sketch
     edge = np.flatnonzero(np.diff(rows, prepend=-1))
-    owner, length = rows[edge], np.diff(np.append(edge, len(rows)))
-    log_w = np.log(weights)
+    owner, log_w = rows[edge], np.log(weights).astype(np.float32)
+    short, place = (hashes >> np.uint64(32)).astype(np.uint32), np.arange(len(hashes), dtype=np.uint64)
     for k in range(BANDS * ROWS):
-        at = ((hashes * odd[k]) >> np.uint64(64 - DRAWS)).astype(np.int64)
-        r = r_[at]
-        t = np.floor(log_w / r + beta_[at])
-        a = c_[at] - r * (t - beta_[at]) - r
-        least = np.minimum.reduceat(a, edge)
-        hit = np.flatnonzero(a == np.repeat(least, length))
-        first = hit[np.searchsorted(hit, edge)]  # the smallest hash on a tie
+        at = (short * odd[k]) >> np.uint32(32 - DRAWS)
+        beta = beta_[at]
+        t = np.floor(log_w * inverse_[at] + beta)
+        a = (c_[at] - r_[at] * (t - beta)).view(np.int32)
+        ordered = (a ^ ((a >> 31) | np.int32(-(1 << 31)))).view(np.uint32)  # unsigned in the order of the floats
+        # the smallest value, and of equal ones the smallest hash
+        first = (np.minimum.reduceat((ordered.astype(np.uint64) << np.uint64(32)) | place, edge) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         sample = T.mix(hashes[first] + T.mix(t[first].astype(np.int64).astype(np.uint64) + np.uint64(k)))
         keys[owner, k // ROWS] = T.mix(keys[owner, k // ROWS] * np.uint64(31) + sample)
-    return keys
+        if k < SKETCH:
+            sketch[owner, k // 8] |= (sample & np.uint64(255)) << np.uint64(8 * (k % 8))
+    return keys, sketch
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node -> sorted shingle hashes and weights, for nodes(node, doc_id) given by one of their documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node -> sorted shingle hashes and counts, for nodes(node, doc_id) given by one of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in T.steps(batch.column(1)):
                 hashes, rows, counts, digests = shingle_rows(batch.column(1).slice(lo, hi - lo))
-                weights = counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
                 ends = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
-                sets = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes.view(np.int64), weights)]
+                sets = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes.view(np.int64), counts.astype(np.int32))]
                 wanted = [a == b for a, b in zip(digests, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *sets], names=["node", "hashes", "weights"]).filter(pa.array(wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *sets], names=["node", "hashes", "counts"]).filter(pa.array(wanted))
 
     rep = nodes.select("node", F.col("doc_id").alias("rep"))
     texts = _own(docs).join(rep, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return texts.mapInArrow(run, "node binary, hashes array<long>, weights array<double>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node binary, hashes array<long>, counts array<int>").dropDuplicates(["node"])
 
 
-def _similar(threshold: float):
+def _similar(threshold: float, idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [(np.asarray(batch.column(k).values), np.asarray(batch.column(k).offsets)) for k in (2, 3, 4, 5)]
+            ha, ca, hb, cb = ((np.asarray(batch.column(k).values), np.asarray(batch.column(k).offsets)) for k in (2, 3, 4, 5))
+            wa, wb = (c * idf.value[(h.view(np.uint64) >> np.uint64(64 - IDF_BITS)).astype(np.int64)] for (h, _), (c, _) in ((ha, ca), (hb, cb)))
             keep = []
             for i in range(len(batch)):
-                ha, wa, hb, wb = (v[o[i] : o[i + 1]] for v, o in lists)
-                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                both = np.minimum(wa[ia], wb[ib]).sum()
-                keep.append(both >= threshold * (wa.sum() + wb.sum() - both) - 1e-9)
+                (a0, a1), (b0, b1) = ha[1][i : i + 2], hb[1][i : i + 2]
+                _, ia, ib = np.intersect1d(ha[0][a0:a1], hb[0][b0:b1], assume_unique=True, return_indices=True)
+                both = np.minimum(wa[a0:a1][ia], wb[b0:b1][ib]).sum()
+                keep.append(both >= threshold * (wa[a0:a1].sum() + wb[b0:b1].sum() - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, idf: np.ndarray) -> DataFrame:
     """The pairs(src, dst) whose weighted Jaccard similarity reaches the threshold."""
-    a = sets.select(F.col("node").alias("src"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    b = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    met = pairs.join(b, "dst").join(a, "src").select("src", "dst", "ha", "wa", "hb", "wb")
-    # of equal mass at best, the smaller set over the larger bounds the similarity
-    mass = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    near = F.least(mass("wa"), mass("wb")) >= threshold * F.greatest(mass("wa"), mass("wb")) - 1e-9
-    return met.where(near).mapInArrow(_similar(threshold), "src binary, dst binary")
+    a = sets.select(F.col("node").alias("src"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
+    b = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
+    met = pairs.join(b, "dst").join(a, "src").select("src", "dst", "ha", "ca", "hb", "cb")
+    return met.mapInArrow(_similar(threshold, pairs.sparkSession.sparkContext.broadcast(idf)), "src binary, dst binary")
+
+
+def _alike() -> Column:
+    """How many bytes of two sketches agree."""
+    differ = F.lit(0)
+    for c in _SKETCH:
+        x = F.col(c).bitwiseXOR(F.col(f"c_{c}"))
+        for n in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return SKETCH - differ
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,35 +195,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     idf = document_frequencies(docs)
     rows = cut(signatures(docs, idf))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
-    entries = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    members = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    facts = ["mass", *_SKETCH]
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("bands", *facts)])
+    entries = nodes.select("node", "doc_id", *facts, F.posexplode("bands").alias("band", "key"))
+    members = nodes.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(entries.join(members.select("band", "key"), ["band", "key"]).withColumn("spent", F.lit(False)))
-    wanted = buckets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(shingle_sets(docs, wanted, idf))
+    wanted = cut(buckets.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sets = cut(shingle_sets(docs, wanted))
     label = wanted.select("node", F.col("node").alias("component"))
     links, centres = None, 1
     while True:
         here = buckets.join(label, "node")
         state = here.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count_if(~F.col("spent")).alias("open"))
         here = here.join(state.where("a <> b and open > 1").select("band", "key"), ["band", "key"])
-        here = cut(here.join(label.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
+        grown = cut(label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")).select("component", F.lit(True).alias("grown"))
+        here = cut(here.join(grown, "component", "left"))
         if here.isEmpty():
             break
         # the next centres: unspent members, those of grown classes first (a row limit that runs before the shuffle)
-        order = Window.partitionBy("band", "key").orderBy(F.when(F.col("size") > 1, 0).otherwise(1), "doc_id", "node")
+        order = Window.partitionBy("band", "key").orderBy(F.col("grown").asc_nulls_last(), "doc_id", "node")
         chosen = here.where("not spent").withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres)
-        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of")))
-        pairs = here.where("not spent").join(chosen, ["band", "key"]).where("component <> of")
-        pairs = pairs.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
-        found = cut(verified(pairs, sets, threshold))
-        links = found if links is None else cut(links.union(found))
+        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), *[F.col(c).alias(f"c_{c}") for c in facts]))
+        # of equal mass at best, the smaller text over the larger bounds the similarity
+        bound = F.least("mass", "c_mass") >= threshold * F.greatest("mass", "c_mass") - 1e-9
+        met = here.where("not spent").alias("h").join(chosen.alias("c"), (F.col("h.band") == F.col("c.band")) & (F.col("h.key") == F.col("c.key")) & (F.col("component") != F.col("of")) & bound & (_alike() >= SKETCH_LEAST))
+        pairs = met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+        found = cut(verified(pairs, sets, threshold, idf))
         used = chosen.select("band", "key", F.col("centre").alias("node"), F.lit(True).alias("now"))
-        buckets = here.select("band", "key", "node", "doc_id", "spent").join(used, ["band", "key", "node"], "left")
-        buckets = cut(buckets.select("band", "key", "node", "doc_id", (F.col("spent") | F.coalesce("now", F.lit(False))).alias("spent")))
-        label = cut(connected_components(wanted.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"))
-        centres = min(4 * centres, MOST_CENTRES)
-    own = rows.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = own.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+        buckets = here.drop("component", "grown").join(used, ["band", "key", "node"], "left")
+        buckets = cut(buckets.withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now"))
+        links = found if links is None else cut(links.union(found))
+        if not found.isEmpty():
+            label = cut(connected_components(wanted.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"))
+        centres = min(16 * centres, MOST_CENTRES)
+    own = cut(rows.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = cut(own.groupBy("component").agg(F.min("doc_id").alias("class_id")))
     return own.join(least, "component").select("doc_id", "class_id")
-
