@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality
+from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op6_one_permutation_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_patience_licenses")
 def op5_patience_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
+
+
+@query("op9_maximal_repeats")
+def op9_maximal_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, folder))
