@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality, repeats
+from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality, repeats, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,9 @@ def op5_patience_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_maximal_repeats")
 def op9_maximal_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, folder))
+
+
+@query("op3_block_max_wand")
+def op3_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return search.more_like(docs, docs.where("doc_id % 20 = 0"))
