@@ -304,13 +304,16 @@ _EV = f"""SELECT user_id % 3 AS project_id, user_id % 7 AS aspect, user_id AS si
 
 
 _LEARN = with_(
-        "",
-        """SELECT aspect, sig, char, CAST(sum(total) AS BIGINT) AS total, CAST(max(last_seen) AS BIGINT) AS last_seen, CAST(least(80, sum(keys)) AS BIGINT) AS keys FROM (
-        SELECT project_id, aspect, sig, char, count(DISTINCT evidence_key) AS total, 0 AS last_seen, count(DISTINCT evidence_key) AS keys FROM ev WHERE NOT (char = '倪' AND evidence_key IN (SELECT evidence_key FROM old)) GROUP BY ALL
-        UNION ALL SELECT c_custkey % 3, c_custkey % 7, c_custkey, '倪', 2, 0, 1 FROM customer) GROUP BY project_id, aspect, sig, char""",
-        ev=_EV,
-        old="SELECT c_custkey || ':2024-01-05' AS evidence_key FROM customer",
-    )
+    "",
+    """SELECT aspect, sig, char, CAST(sum(total) AS BIGINT) AS total, CAST(sum(manual) AS BIGINT) AS manual, CAST(sum(model) AS BIGINT) AS model, CAST(sum(local) AS BIGINT) AS local,
+    round(sum(confidence_sum), 6) AS confidence_sum, CAST(max(last_seen) AS BIGINT) AS last_seen, CAST(least(80, sum(keys)) AS BIGINT) AS keys FROM (
+    SELECT project_id, aspect, sig, char, count(*) AS total, count(*) FILTER (WHERE source = 'manual') AS manual, count(*) FILTER (WHERE source = 'model') AS model, count(*) FILTER (WHERE source = 'local') AS local,
+      sum(confidence) AS confidence_sum, max(seen_at) AS last_seen, count(*) AS keys FROM once WHERE NOT (char = '倪' AND evidence_key IN (SELECT evidence_key FROM old)) GROUP BY ALL
+    UNION ALL SELECT c_custkey % 3, c_custkey % 7, c_custkey, '倪', 2, 1, 1, 0, 1.5, 0, 1 FROM customer) GROUP BY project_id, aspect, sig, char""",
+    ev=_EV,
+    once="SELECT project_id, aspect, sig, char, evidence_key, min(seen_at) AS seen_at, arg_min(source, seen_at) AS source, arg_min(confidence, seen_at) AS confidence FROM ev GROUP BY ALL",
+    old="SELECT c_custkey || ':2024-01-05' AS evidence_key FROM customer",
+)
 
 
 @query("a8_learn", _LEARN)
@@ -334,7 +337,10 @@ def remembered(t):
 
 
 def learnt(out):
-    return out.select("aspect", F.col("sig")[0].alias("sig"), "char", "total", F.lit(0).cast("long").alias("last_seen"), F.size("evidence_keys").alias("keys"))
+    return out.select(
+        "aspect", F.col("sig")[0].alias("sig"), "char", "total", "manual", "model", "local", F.round("confidence_sum", 6).alias("confidence_sum"), "last_seen",
+        F.size("evidence_keys").alias("keys"),
+    )
 
 
 def evidence(t):

@@ -462,7 +462,7 @@ def t14(t):
 
 @query(
     "t15_natural_key",
-    """SELECT page_id, array_to_string([CASE WHEN regexp_matches(k, '^[0-9]') THEN lpad(k, 12, '0') ELSE k END for k in regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)', 1)], '') AS key FROM pages""",
+    """SELECT page_id, array_to_string([CASE WHEN regexp_matches(k, '^[0-9]') THEN lpad(length(regexp_replace(k, '^0+([0-9])', '\\1'))::VARCHAR, 5, '0') || regexp_replace(k, '^0+([0-9])', '\\1') ELSE k END for k in regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)', 1)], '') AS key FROM pages""",
 )
 def t15(t):
     return t.pages.select("page_id", T.natural_key(F.col("url")).alias("key"))

@@ -84,13 +84,18 @@ def cache_key(*parts: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key under which 'p2' comes before 'p10': digit runs padded with zeros, case ignored."""
+def natural_key(c: Column) -> Column:
+    """Sort key under which 'p2' comes before 'p10': digit runs, without leading zeros, stand behind their
+    length in five digits; case ignored."""
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(tokens, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x))
+    padded = F.transform(tokens, lambda x: F.when(x.rlike(r"^\d"), _with_length(F.regexp_replace(x, r"^0+(?=\d)", ""))).otherwise(x))
     return F.array_join(padded, "")
 
 
+def _with_length(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 5, "0"), digits)
+
+
 def url_domain(c: Column) -> Column:
     """Host of a URL (scheme optional), 'unknown' when there is none."""
     full = F.when(c.contains("://"), c).otherwise(F.concat(F.lit("https://"), c))

@@ -22,35 +22,39 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
-def _segments(sig: Column, words: int, max_distance: int) -> Column:
-    """(segment, value) pairs: at least max_distance + 1 disjoint pieces, so close signatures share one."""
-    per_word = -(-(max_distance + 1) // words)
-    width = -(-64 // per_word)
-    parts = []
-    for w in range(words):
-        for s in range(per_word):
-            value = F.shiftrightunsigned(sig[w], s * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-            parts.append(F.struct(F.lit(w * per_word + s).alias("seg"), value.alias("val")))
-    return F.array(*parts)
-
-
-def near_signatures(left: DataFrame, right: DataFrame, words: int, max_distance: int) -> DataFrame:
+def _segments(sig: Column, bits: int, max_distance: int) -> Column:
+    """Values of max_distance + 1 disjoint pieces of the used bits: signatures that close agree in one.
+
+    Piece s holds every (max_distance + 1)-th bit from s on, so a blank border does not make a piece
+    the same everywhere.
+    """
+    pieces = max_distance + 1
+    if bits < pieces:
+        raise ValueError(f"{bits} bits cannot be cut into {pieces} pieces")
+    bit = lambda i, j: F.shiftleft(F.getbit(sig[i // 64], F.lit(i % 64)).cast("long"), j)
+    values = []
+    for s in range(pieces):
+        value = F.lit(0).cast("long")
+        for j, i in enumerate(range(s, bits, pieces)):
+            value = value.bitwiseOR(bit(i, j % 64))
+        values.append(value)
+    return F.array(*values)
+
+
+def near_signatures(left: DataFrame, right: DataFrame, bits: int, max_distance: int) -> DataFrame:
     """Pairs of distinct (aspect, sig) with aspect within one and at most max_distance differing bits.
 
-    Both sides hold each (aspect, sig) once. The join runs on (aspect, segment, value); a pair that
-    shares several segments is kept at its first one only, so nothing is deduplicated afterwards.
+    Both sides hold each (aspect, sig) once. The join runs on (aspect, piece, value); a pair that
+    shares several pieces is kept at its first one only, so nothing is deduplicated afterwards.
     """
-    a = left.select(F.col("aspect").alias("a_aspect"), F.col("sig").alias("a_sig"), F.explode(_segments(F.col("sig"), words, max_distance)).alias("s"))
-    a = a.select("*", F.explode(F.array(*[F.col("a_aspect") + d for d in (-1, 0, 1)])).alias("aspect"), "s.seg", "s.val").drop("s")
-    b = right.select("aspect", F.col("sig").alias("b_sig"), F.explode(_segments(F.col("sig"), words, max_distance)).alias("s"))
-    b = b.select("aspect", "b_sig", "s.seg", "s.val")
-    pairs = a.join(b, ["aspect", "seg", "val"])
-    dist = hamming(F.col("a_sig"), F.col("b_sig"))
-    shared = F.filter(
-        F.zip_with(_segments(F.col("a_sig"), words, max_distance), _segments(F.col("b_sig"), words, max_distance), lambda x, y: F.when(x["val"] == y["val"], x["seg"])),
-        lambda x: x.isNotNull(),
-    )
-    pairs = pairs.withColumn("distance", dist).where((F.col("distance") <= max_distance) & (shared[0] == F.col("seg")))
+    a = left.select(F.col("aspect").alias("a_aspect"), F.col("sig").alias("a_sig"), _segments(F.col("sig"), bits, max_distance).alias("a_parts"))
+    a = a.select("*", F.posexplode("a_parts").alias("seg", "val"))
+    a = a.withColumn("aspect", F.explode(F.array(*[F.col("a_aspect") + d for d in (-1, 0, 1)])))
+    b = right.select("aspect", F.col("sig").alias("b_sig"), _segments(F.col("sig"), bits, max_distance).alias("b_parts"))
+    b = b.select("*", F.posexplode("b_parts").alias("seg", "val"))
+    first = F.array_position(F.zip_with("a_parts", "b_parts", lambda x, y: x == y), True) - 1
+    pairs = a.join(b, ["aspect", "seg", "val"]).withColumn("distance", hamming(F.col("a_sig"), F.col("b_sig")))
+    pairs = pairs.where((F.col("distance") <= max_distance) & (first == F.col("seg")))
     return pairs.select("a_aspect", "a_sig", F.col("aspect").alias("b_aspect"), "b_sig", "distance")
 
 
@@ -59,11 +63,10 @@ def memory_candidates(glyphs: DataFrame, memory: DataFrame, bits: int, max_dista
 
     ``glyphs``: glyph_id, project_id, aspect, sig; ``memory``: memory_id, project_id, aspect, sig, char, counts.
     """
-    words = -(-bits // 64)
     q, m = glyphs.select("aspect", "sig").distinct(), memory.select("aspect", "sig").distinct()
     exact = q.join(m, ["aspect", "sig"], "left_semi")
     exact = exact.select(F.col("aspect").alias("a_aspect"), F.col("sig").alias("a_sig"), F.col("aspect").alias("b_aspect"), F.col("sig").alias("b_sig"), F.lit(0).alias("distance"))
-    near = near_signatures(q.join(m, ["aspect", "sig"], "left_anti"), m, words, max_distance)
+    near = near_signatures(q.join(m, ["aspect", "sig"], "left_anti"), m, bits, max_distance)
     pairs = exact.unionByName(near)
     g = glyphs.select("glyph_id", F.col("project_id").alias("g_project"), F.col("aspect").alias("a_aspect"), F.col("sig").alias("a_sig"))
     r = memory.withColumnsRenamed({"aspect": "b_aspect", "sig": "b_sig"})
@@ -112,11 +115,14 @@ def learn(memory: DataFrame, evidence: DataFrame, char_class: str = CJK_CLASS, k
     """Memory after the evidence: counts by source, summed confidence, newest sighting, last evidence keys.
 
     ``evidence``: MEMORY_KEY, source ('manual'|'model'|'local'), confidence, evidence_key, seen_at.
-    Evidence with a key that is already stored, or twice in the batch, counts once. Only the newest
+    Evidence with a key that is already stored counts no more; of a key that comes twice in the batch the
+    earliest sighting counts (then source and confidence decide). Only the newest
     ``kept`` keys of a record travel (ranked, cut before the shuffle), whatever the batch holds.
     """
     key = list(MEMORY_KEY)
-    e = evidence.where(is_cjk(F.col("char"), char_class)).dropDuplicates([*key, "evidence_key"])
+    # of evidence under one key the earliest counts; all its columns decide, so row order never does
+    facts = F.struct("seen_at", "source", "confidence")
+    e = evidence.where(is_cjk(F.col("char"), char_class)).groupBy(*key, "evidence_key").agg(F.min(facts).alias("__e")).select(*key, "evidence_key", "__e.*")
     known = memory.select(*key, F.explode("evidence_keys").alias("evidence_key"))
     on = [e[k].eqNullSafe(known[k]) for k in key] + [e["evidence_key"] == known["evidence_key"]]
     e = e.join(known, on, "left_anti")

@@ -68,12 +68,49 @@ def test_near_signatures_find_exactly_the_close_ones(spark):
         near.append(t)
     a = spark.createDataFrame([(3, s) for s in sigs], "aspect long, sig array<long>")
     b = spark.createDataFrame([(4, s) for s in near] + [(6, s) for s in sigs], "aspect long, sig array<long>")
-    got = {(tuple(r["a_sig"]), tuple(r["b_sig"]), r["distance"]) for r in M.near_signatures(a, b, 7, 28).collect()}
+    got = {(tuple(r["a_sig"]), tuple(r["b_sig"]), r["distance"]) for r in M.near_signatures(a, b, 448, 28).collect()}
     d = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
     want = {(tuple(x), tuple(y), d(x, y)) for x in sigs for y in near if d(x, y) <= 28}
     assert got == want and want
 
 
+def test_signatures_at_real_sizes(spark):
+    rnd = random.Random(11)
+    for bits, reach in ((256, 56), (400, 28)):
+        words = -(-bits // 64)
+        spread = lambda v: [((v >> (64 * w)) & ((1 << 64) - 1)) - (1 << 64 if (v >> (64 * w + 63)) & 1 else 0) for w in range(words)]  # noqa: E731, B023
+        base = [rnd.getrandbits(bits) for _ in range(12)]
+        other = [b ^ sum(1 << p for p in rnd.sample(range(bits), rnd.choice([reach - 4, reach, reach + 1]))) for b in base]
+        a = spark.createDataFrame([(0, spread(v)) for v in base], "aspect long, sig array<long>")
+        b = spark.createDataFrame([(0, spread(v)) for v in other], "aspect long, sig array<long>")
+        got = {(tuple(r["a_sig"]), tuple(r["b_sig"])) for r in M.near_signatures(a, b, bits, reach).collect()}
+        assert got == {(tuple(spread(x)), tuple(spread(y))) for x in base for y in other if (x ^ y).bit_count() <= reach} and got
+    with pytest.raises(ValueError):
+        M.near_signatures(a, b, 20, 28)
+
+
+def test_blank_borders_do_not_fill_a_piece(spark):
+    rnd = random.Random(12)
+    inner = [r * 20 + c for r in range(4, 16) for c in range(4, 16)]
+    sigs = [sum(1 << p for p in inner if rnd.random() < 0.5) for _ in range(60)]
+    rows_ = [([((v >> (64 * w)) & ((1 << 64) - 1)) - (1 << 64 if (v >> (64 * w + 63)) & 1 else 0) for w in range(7)],) for v in sigs]
+    df = spark.createDataFrame(rows_, "sig array<long>")
+    parts = df.select(M.F.posexplode(M._segments(M.F.col("sig"), 400, 28)).alias("seg", "val"))
+    assert parts.groupBy("seg", "val").count().agg({"count": "max"}).first()[0] < 30
+
+
+def test_learning_does_not_depend_on_row_order(spark):
+    facts = [(1, 0, [5], "公", s, c, "k", t) for s, c, t in (("manual", 1.0, 3), ("local", 0.1, 2), ("model", 0.5, 2), ("local", 0.1, 9))] + [(1, 0, [5], "公", "model", 0.25, "m", 4)]
+    none = spark.createDataFrame([], "project_id long, aspect long, sig array<long>, char string, total long, manual long, model long, local long, confidence_sum double, last_seen long, evidence_keys array<string>")
+    seen = set()
+    for k in range(6):
+        random.Random(k).shuffle(facts)
+        e = spark.createDataFrame(facts, "project_id long, aspect long, sig array<long>, char string, source string, confidence double, evidence_key string, seen_at long").repartition(3)
+        r = M.learn(none, e).first()
+        seen.add((r["total"], r["manual"], r["model"], r["local"], round(r["confidence_sum"], 9), r["last_seen"], tuple(r["evidence_keys"])))
+    assert seen == {(2, 0, 1, 1, 0.35, 4, ("k", "m"))}
+
+
 def test_memory_visibility(spark):
     cases = [("a", "a", 0, 0.5, True), ("a", "b", 9, 1.0, False), ("a", None, 2, 0.97, True), ("a", None, 2, 0.969, False), ("a", None, 1, 1.0, False), (None, None, 5, 1.0, False)]
     df = spark.createDataFrame(cases, "g_project string, project_id string, manual long, similarity double, want boolean")
