@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import mixing, near_dups, packing, pii, quality
+from inkframe.llm.names import fresh
 from inkframe.llm.queries import tokenizer_path
 from inkframe.session import cut, ensure_checkpoint_dir
 
@@ -27,8 +28,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Repeated rows of that doc_id keep one row; of a class without doc_ids one row stays.
     """
     classes = near_dups.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "kept_id")
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(name)).distinct()
+    known = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     return known.unionByName(nameless)
 

@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
                 hashes, rows, counts, digests = shingle_rows(batch.column(1).slice(lo, hi - lo))
                 weights = counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
                 keys, sketch = consistent_samples(hashes, rows, weights, hi - lo, draws)
-                mass = np.bincount(rows, weights=weights, minlength=hi - lo)
+                mass = np.bincount(rows, weights=weights, minlength=hi - lo).astype(np.float64)  # integers if there are no words
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((mass > 0) * BANDS)]).astype(np.int32), keys[mass > 0].reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists, pa.array(mass), *[pa.array(x) for x in sketch.view(np.int64).T]],

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.llm.names import fresh
 from inkframe.session import cut
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -218,10 +219,12 @@ def redact(docs: DataFrame, model: SpanClassifier) -> DataFrame:
 
     One pass, kind by kind in the order of KINDS; rows without spans come back as they are.
     """
-    text = F.col("text").cast("string")
+    columns, text = docs.columns, F.col("text").cast("string")
     for kind in KINDS:
-        old, instead = text, _instead(kind, model)
-        docs = docs.withColumn(f"__text_{kind}", F.when(_may_match(kind, old), F.array_join(F.transform(_matches(kind, old), instead), "")).otherwise(old))
-        text = F.col(f"__text_{kind}")
-    named = {"text": text, "n_chars": F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return docs.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(c) for c in docs.columns if not c.startswith("__text")])
+        old, instead, name = text, _instead(kind, model), fresh(docs, f"text_{kind}")
+        docs = docs.withColumn(name, F.when(_may_match(kind, old), F.array_join(F.transform(_matches(kind, old), instead), "")).otherwise(old))
+        text = F.col(name)
+    named = {"text": text}
+    if "n_chars" in columns:
+        named["n_chars"] = F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return docs.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(c) for c in columns])

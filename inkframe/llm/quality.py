@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inkframe.llm import text as T
+from inkframe.llm.names import fresh
 from inkframe.llm.select import kth_largest
 from inkframe.session import cut
 
 BITS = 18
-#: Labelled rows that the target model and the cut are fitted on, the lowest hashes of all; a bound, so they can be broadcast.
-MAX_LABELLED = 20_000
+#: Labelled rows in use, those with the lowest hashes; a bound, so they can be broadcast. The target model is
+#: fitted on half of them and the cut is chosen on the other half, which the model has not seen.
+MAX_LABELLED = 40_000
 #: Log ratios within this of zero are taken for sampling noise.
 NOISE = 1.0
 #: Features added to each text's count, so very short texts are not judged by a single one.
@@ -56,11 +58,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, clean (0/1) of at most ``most`` labelled documents; contradicting rows count as not clean."""
+    """doc_id, clean (0/1) and fit (whether the model may see it) of at most ``most`` labelled documents; contradicting rows count as not clean."""
     one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("clean")
     )
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    half = F.xxhash64("doc_id", F.lit("half")).bitwiseAND(F.lit(1)) == 1
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("fit", half)
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -77,7 +80,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(raw[met]), pa.array(target[met])], names=["cell", "raw", "target"])
 
-    marked = _texts(docs).join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("clean", F.lit(0)).alias("clean"))
+    marked = _texts(docs).join(F.broadcast(sample), "doc_id", "left").select("text", (F.coalesce("clean", F.lit(0)) * F.coalesce("fit", F.lit(False)).cast("int")).alias("clean"))
     sums = marked.mapInArrow(count, "cell int, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in sums.toArrow().to_batches():  # 2^BITS rows at most
@@ -136,7 +139,7 @@ class Classifier:
         sample = cut(labelled_sample(labels))
         self.seed, self.ratios = seed, log_ratios(docs, sample)
         scored = cut(with_weight(_texts(docs), self.ratios).select("doc_id", "log_weight"))
-        seen = scored.join(F.broadcast(sample), "doc_id").select("log_weight", "clean").toArrow()  # as many rows as the sample
+        seen = scored.join(F.broadcast(sample.where("not fit")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("clean").alias("clean")).toArrow()  # no more rows than the sample
         scores, clean = seen["log_weight"].to_numpy(), seen["clean"].to_numpy() == 1
         self.cut, self.distance = best_cut(scores, clean)
         self.scored = scored.select("doc_id", "log_weight", self._key())
@@ -152,7 +155,7 @@ class Classifier:
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The drawn rows of docs. Weights are computed again, which costs less than moving the texts."""
-        out = docs.withColumns({"__text": F.col("text").cast("string")})
-        out = with_weight(out, self.ratios, "__text", "log_weight").withColumn("__id", F.col("doc_id").cast("long"))
-        key = F.col("log_weight") + gumbel(F.col("__id"), self.seed) * (TEMPERATURE * max(0.0, self.distance))
+        text, weight, own = (fresh(docs, c) for c in ("text_string", "log_weight", "id_long"))
+        out = with_weight(docs.withColumn(text, F.col("text").cast("string")), self.ratios, text, weight).withColumn(own, F.col("doc_id").cast("long"))
+        key = F.col(weight) + gumbel(F.col(own), self.seed) * (TEMPERATURE * max(0.0, self.distance))
         return out.where(key >= self.limit).select(*docs.columns)
