@@ -25,7 +25,7 @@ LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
 #: Distinct words whose ids a worker keeps; the newer half goes when it is reached.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 600_000
 #: Stands between words that are tokenized together; a character that is one id by itself.
 MARK = "\x01"
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 SHINGLE = 5
 
 _WORD = np.zeros(256, dtype=bool)
