@@ -86,6 +86,13 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
 _tokenizers: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's own table, which outlives a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
+    return _tokenizers[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document: its ids, then id 0, cut after each
     ``length`` ids. A null or empty text is the id 0 alone."""
@@ -94,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _tokenizers.setdefault(tokenizer, None) or _tokenizers.update({tokenizer: WordIds(tokenizer)}) or _tokenizers[tokenizer]
+        ids = word_ids(tokenizer)
         for batch in batches:
             for lo, hi in T.steps(batch.column(1)):
                 raw, at = T.bytes_of(batch.column(1).slice(lo, hi - lo))
