@@ -43,6 +43,22 @@ def test_script_round_trip_and_reject(spark):
     assert got[("TEXT_CHARS", 1)]["text"] is None and got[("SIDE_CHARS", 0)]["grp"] == "pageno" and got[("BORDER_RECTS", 0)]["n3"] == 4.0
 
 
+def test_script_defaults_brackets_and_escapes(spark):
+    texts = ["]", "a]b)", "[(", "\n\t\x7f\x01", "公\\", '"', "'", "", "x" * 20_000]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "page_id long, ord long, text string")
+    made = [r[0] for r in df.orderBy("ord").select(scripts.py_string(F.col("text"))).collect()]
+    glyphs = ", ".join(f'({m}, {i}, 2, 7.5, "C{i}")' for i, m in enumerate(made))
+    page = '{ "BORDER_RECTS": [(1, 2, 3, 4, "]R")], "TEXT_CHARS": [' + glyphs + '], "SIDE_CHARS": [("\\u516c\\n", 1, 1, 9, "S")] }'
+    files = spark.createDataFrame([("two", f"PAGES = [{page}, {page}]"), ("open", "BORDER_RECTS = ((1, 2, 3, 4, \"R\"),)\nTEXT_CHARS = []\n")], "f string, code string")
+    pages, items, bad = scripts.extract_script_tables(files, "f", "code")
+    assert bad.count() == 0
+    assert rows(pages, "f", "idx", "width", "height", "px_per_mm", "body_pt") == [("open", 0, 1200.0, 1600.0, 11.811, 0.0), ("two", 0, 1200.0, 1600.0, 11.811, 7.5), ("two", 1, 1200.0, 1600.0, 11.811, 7.5)]
+    got = items.where("f = 'two' and section = 'TEXT_CHARS'").orderBy("idx", "ord").collect()
+    assert [r["text"] for r in got] == texts * 2
+    assert items.where("f = 'two' and section = 'SIDE_CHARS'").first()["text"] == "公\n"
+    assert items.where("f = 'open'").count() == 1
+
+
 def test_literals(spark):
     df = spark.createDataFrame([('a"\\\n\x7f公', 1.5), ("b", -0.00049), ("c", 12345678.1239)], "s string, n double")
     got = [(r[0], r[1]) for r in df.select(scripts.py_string(F.col("s")), scripts.number_text(F.col("n"))).collect()]
