@@ -44,11 +44,10 @@ def to_traditional(c: Column) -> Column:
 def normalize_variants(df: DataFrame, char: str, variants: DataFrame) -> DataFrame:
     """Keep the character and add ``normalized``, its standard form if it is a listed variant.
 
-    ``variants(variant, standard)`` is a dictionary of single characters, so it is broadcast: its
-    size is bounded by the script's character set.
+    Whether ``variants(variant, standard)`` is broadcast is left to Spark's size check.
     """
     v = variants.groupBy("variant").agg(F.min("standard").alias("normalized"))
-    return df.join(F.broadcast(v), F.col(char) == F.col("variant"), "left").drop("variant")
+    return df.join(v, F.col(char) == F.col("variant"), "left").drop("variant")
 
 
 def term_chars(terms: DataFrame, col: str = "word") -> DataFrame:

@@ -6,17 +6,22 @@ every round is written to the checkpoint folder, so a lost executor costs one ro
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.session import cut
 
 
-class NotConverged(RuntimeError):
-    pass
+#: Edges of one component that a single task settles; larger components go on in rounds.
+SETTLED_EDGES = 200_000
+#: Rounds between two attempts to settle the small components at once.
+ROUNDS = 4
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each component: nodes(id), edges(src, dst) -> (id, component).
 
     Alternating large-star and small-star contraction; the number of rounds grows with the log of
@@ -25,7 +30,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     e = edges.select("src", "dst").where("src <> dst")
     e = cut(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,15 +49,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
                 "id", F.coalesce("component", "id").alias("component")
             )
         state = tuple(now)
-    raise NotConverged(f"connected_components: no fixpoint after {max_rounds} rounds")
 
 
-def greedy_keep(items: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_keep(items: DataFrame, edges: DataFrame) -> DataFrame:
     """Keep an item unless a better kept neighbour exists: items(id, prio), edges(a, b) -> kept ids.
 
     ``prio`` is any orderable value, larger is better; equal priorities fall back to the smaller id.
     The result is the one a sequential pass in that order gives. Each round keeps every undecided
-    item that beats all its undecided neighbours and drops the neighbours of what was kept.
+    item that beats all its undecided neighbours and drops the neighbours of what was kept. Long
+    chains would take a round for every other item, so from time to time components of at most
+    SETTLED_EDGES open edges are settled in one grouped pass.
     """
     ranked = items.select("id", "prio")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
@@ -62,30 +68,55 @@ def greedy_keep(items: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
     better = both.distinct().join(pa, "a").join(pb, "b")
     better = better.where("pb > pa or (pb = pa and b < a)").select(F.col("a").alias("worse"), F.col("b").alias("better"))
     open_edges = cut(better)
-    linked = open_edges.select(F.col("worse").alias("id")).union(open_edges.select(F.col("better").alias("id"))).distinct()
-    undecided = cut(linked)
-    dropped_all = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
-        blocked = open_edges.select(F.col("worse").alias("id")).distinct()
-        kept = undecided.join(blocked, "id", "left_anti")
-        dropped = open_edges.join(kept.withColumnRenamed("id", "better"), "better", "left_semi")
-        dropped = cut(dropped.select(F.col("worse").alias("id")).distinct())
+    dropped_all, rounds = None, 0
+    while not open_edges.isEmpty():
+        rounds += 1
+        if rounds % ROUNDS:
+            ends = open_edges.select(F.col("worse").alias("id")).union(open_edges.select(F.col("better").alias("id"))).distinct()
+            kept = ends.join(open_edges.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
+            dropped = open_edges.join(kept.withColumnRenamed("id", "better"), "better", "left_semi")
+            dropped = cut(dropped.select(F.col("worse").alias("id")).distinct())
+            left = open_edges
+        else:
+            dropped, left = _settle_small(open_edges)
         dropped_all = dropped if dropped_all is None else dropped_all.union(dropped)
         # an edge is settled once its worse end is dropped, or its better end is dropped
         gone_w, gone_b = dropped.withColumnRenamed("id", "worse"), dropped.withColumnRenamed("id", "better")
-        open_edges = open_edges.join(gone_w, "worse", "left_anti").join(gone_b, "better", "left_anti")
-        open_edges = cut(open_edges)
-        undecided = undecided.join(dropped, "id", "left_anti")
-    else:
-        raise NotConverged(f"greedy_keep: still open after {max_rounds} rounds")
+        open_edges = cut(left.join(gone_w, "worse", "left_anti").join(gone_b, "better", "left_anti"))
     if dropped_all is None:
         return ranked.select("id")
     return ranked.select("id").join(dropped_all, "id", "left_anti")
 
 
-def greedy_match(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _settle_small(open_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids that a sequential pass drops in components of bounded size, edges of the other components)."""
+    ends = open_edges.select(F.col("worse").alias("id")).union(open_edges.select(F.col("better").alias("id"))).distinct()
+    of = connected_components(ends, open_edges.select(F.col("worse").alias("src"), F.col("better").alias("dst")))
+    e = open_edges.join(of.withColumnRenamed("id", "worse"), "worse")
+    small = cut(e.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SETTLED_EDGES).select("component"))
+    kind = dict(open_edges.dtypes)["worse"]
+    dropped = e.join(small, "component").groupBy("component").applyInPandas(_sequential_pass, f"id {kind}")
+    return cut(dropped), cut(e.join(small, "component", "left_anti").select("worse", "better"))
+
+
+def _sequential_pass(rows: pd.DataFrame) -> pd.DataFrame:
+    worse, better = rows["worse"].tolist(), rows["better"].tolist()
+    waits, under = Counter(worse), defaultdict(list)
+    for w, b in zip(worse, better, strict=True):
+        under[b].append(w)
+    todo, dropped = [x for x in dict.fromkeys(better) if not waits[x]], set()
+    while todo:  # every item after all better neighbours
+        x = todo.pop()
+        for w in under[x]:
+            if x not in dropped:
+                dropped.add(w)
+            waits[w] -= 1
+            if not waits[w]:
+                todo.append(w)
+    return pd.DataFrame({"id": pd.Series(list(dropped), dtype=rows["worse"].dtype)})
+
+
+def greedy_match(edges: DataFrame) -> DataFrame:
     """One-to-one matching in strict edge order: edges(l, r, cost) -> chosen edges.
 
     ``cost`` is any orderable value (a struct works) and must order all edges strictly. An edge that
@@ -94,9 +125,7 @@ def greedy_match(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     open_edges = cut(edges.select("l", "r", "cost"))
     chosen = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         best_l = open_edges.groupBy("l").agg(F.min("cost").alias("cl"))
         best_r = open_edges.groupBy("r").agg(F.min("cost").alias("cr"))
         taken = open_edges.join(best_l, "l").join(best_r, "r").where("cost = cl and cost = cr").select("l", "r", "cost")
@@ -105,6 +134,4 @@ def greedy_match(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         open_edges = cut(
             open_edges.join(taken.select("l"), "l", "left_anti").join(taken.select("r"), "r", "left_anti")
         )
-    else:
-        raise NotConverged(f"greedy_match: still open after {max_rounds} rounds")
     return chosen if chosen is not None else open_edges

@@ -159,7 +159,7 @@ def fingerprint(aspect: Column, bits: Column) -> Column:
     return fnv1a(F.concat_ws(":", aspect.cast("string"), bits))
 
 
-def leader_cluster(fps: DataFrame, keys: Sequence[str], order: str, max_distance: int, batch: int = 64, max_rounds: int = 500) -> DataFrame:
+def leader_cluster(fps: DataFrame, keys: Sequence[str], order: str, max_distance: int, batch: int = 64) -> DataFrame:
     """Sequential leader clustering per page: each signature joins the first leader within reach, else leads.
 
     ``fps``: keys, ``order``, sig. Signatures without ink are left out and copies follow their first
@@ -173,9 +173,7 @@ def leader_cluster(fps: DataFrame, keys: Sequence[str], order: str, max_distance
     open_ = cut(distinct)
     settled = None
     near = lambda a, b: hamming(a, b) <= max_distance
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         w = Window.partitionBy(*keys).orderBy("__o")
         head = open_.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= batch)
         entry = F.struct(F.col("__o").alias("o"), F.col("sig").alias("s"))
@@ -190,8 +188,6 @@ def leader_cluster(fps: DataFrame, keys: Sequence[str], order: str, max_distance
         done = judged.where("leader is not null")
         settled = done if settled is None else settled.unionByName(done)
         open_ = judged.where("leader is null").drop("leader")
-    else:
-        raise RuntimeError(f"leader_cluster: still open after {max_rounds} rounds")
     if settled is None:
         return ink.select(*keys, order, F.col(order).alias("leader"))
     return ink.join(settled.drop("__o"), [*keys, "sig"]).select(*keys, order, "leader")

@@ -116,7 +116,7 @@ def split_at_valley(boxes: DataFrame, runs: DataFrame, axis: str, keys: Sequence
     return j.select(*keys, box_id, F.explode(F.when(ok, F.array(*halves)).otherwise(F.array(whole))).alias("s")).select(*keys, box_id, "s.*")
 
 
-def merge_boxes(boxes: DataFrame, keys: Sequence[str], sizes: DataFrame, cell: float = 64.0, max_rounds: int = 60) -> DataFrame:
+def merge_boxes(boxes: DataFrame, keys: Sequence[str], sizes: DataFrame, cell: float = 64.0) -> DataFrame:
     """Join broken strokes: keys, box_id, x, y, w, h, area, merged.
 
     Two boxes belong together when their union is no larger than 1.4 typical areas and, along the
@@ -128,7 +128,7 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], sizes: DataFrame, cell: f
     keys = list(keys)
     cols = ["x", "y", "w", "h", "area"]
     cur = cut(boxes.select(*keys, "box_id", *[F.col(c).cast("double").alias(c) for c in cols], F.lit(False).alias("merged")))
-    for _ in range(max_rounds):
+    while True:  # every round but the last merges a pair
         j = cur.join(sizes.select(*keys, "typical_area", "typical_side"), keys)
         reach = F.col("typical_side") * MERGE_GAP_FACTOR
         a = j.select(*keys, "typical_area", "typical_side", *[F.col(c).alias(f"a_{c}") for c in ("box_id", *cols)])
@@ -157,7 +157,6 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], sizes: DataFrame, cell: f
             F.sum("area").alias("area"), (F.max("merged") | (F.count(F.lit(1)) > 1)).alias("merged"),
         )
         cur = cut(g.select(*keys, "box_id", "x", "y", (F.col("__x1") - F.col("x")).alias("w"), (F.col("__y1") - F.col("y")).alias("h"), "area", "merged"))
-    raise RuntimeError("merge_boxes did not settle")
 
 
 def drop_line_residue(glyphs: DataFrame, runs: DataFrame, lines: DataFrame, nodes: DataFrame, sizes: DataFrame, sides: DataFrame, keys: Sequence[str] = ("page_id",), cell: float = 64.0) -> DataFrame:

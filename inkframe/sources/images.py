@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 PATTERN = "*.{png,jpg,jpeg,webp,tif,tiff,PNG,JPG,JPEG,WEBP,TIF,TIFF}"
 
 
-def read_page_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Images of a folder: origin, height, width, channels, data. Undecodable files are left out."""
-    img = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", PATTERN).load(folder)
-    return img.select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+def read_page_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Images of a folder (origin, height, width, channels, data) and rejects (origin): files that the
+    decoder cannot read, webp among them, as an empty table of images would hide them."""
+    img = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", PATTERN).load(folder).select("image.*")
+    good = img.where(F.length("data") > 0).select("origin", "height", "width", F.col("nChannels").alias("channels"), "data")
+    return good, img.where(F.coalesce(F.length("data"), F.lit(0)) == 0).select("origin")
 
 
 def explode_pixels(images: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -86,8 +86,9 @@ def test_image_folder_keeps_images_only(spark):
     png(f"{d}/a.png")
     open(f"{d}/b.txt", "w").write("x")
     open(f"{d}/c.png", "wb").write(b"broken")
-    img = images.read_page_images(spark, d)
-    assert img.count() == 1
+    open(f"{d}/e.webp", "wb").write(b"RIFF0000WEBPVP8 ")
+    img, bad = images.read_page_images(spark, d)
+    assert img.count() == 1 and sorted(r["origin"].rsplit("/", 1)[1] for r in bad.collect()) == ["c.png", "e.webp"]
     px = rows(images.explode_pixels(img.withColumn("page_id", F.lit(1)), ["page_id"]), "gray")
     assert px == [((200 * 299 + 100 * 587 + 50 * 114) // 1000,)] * 2
 

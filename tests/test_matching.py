@@ -57,6 +57,27 @@ def test_pile_of_copies_stays_linear(spark):
     assert L.dedupe_boxes(g, ["page_id"], "glyph_id", sides, 20.0).count() == 2001
 
 
+def test_greedy_keep_settles_a_long_chain(spark):
+    n = 10_000
+    items = spark.range(n).select("id", (-F.col("id")).alias("prio"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    kept = {r["id"] for r in I.greedy_keep(items, edges).collect()}
+    assert kept == set(range(0, n, 2))
+
+
+def test_greedy_keep_equals_a_sequential_pass(spark):
+    rnd = random.Random(8)
+    prio = {i: rnd.randrange(20) for i in range(300)}
+    pairs = {tuple(sorted(rnd.sample(range(300), 2))) for _ in range(500)}
+    near = {i: {a + b - i for a, b in pairs if i in (a, b)} for i in prio}
+    kept = set()
+    for i in sorted(prio, key=lambda i: (-prio[i], i)):
+        if not near[i] & kept:
+            kept.add(i)
+    got = I.greedy_keep(spark.createDataFrame(list(prio.items()), "id long, prio long"), spark.createDataFrame(list(pairs), "a long, b long"))
+    assert {r["id"] for r in got.collect()} == kept
+
+
 def test_near_signatures_find_exactly_the_close_ones(spark):
     rnd = random.Random(9)
     sigs = [[rnd.getrandbits(63) for _ in range(7)] for _ in range(40)]
