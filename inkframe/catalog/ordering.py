@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkframe import bindings as B
@@ -20,8 +21,8 @@ _CJK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
 def lane(t):
     """Glyphs with the word's place in its line as a given column."""
     g = B.glyphs(t)
-    mid = g.groupBy("page_id", "w").agg(F.median("cx").alias("col_center"))
-    return g.withColumn("col", F.col("w")).join(mid, ["page_id", "w"]).join(median_side(g, PK), PK)
+    center = F.median("cx").over(Window.partitionBy("page_id", "w"))
+    return C.with_side(g.withColumns({"col": F.col("w"), "col_center": center}), PK)
 
 
 _LANE = """SELECT g.*, w AS col, median(cx) OVER (PARTITION BY page_id, w) AS center, s AS side FROM glyph g JOIN (SELECT page_id, median((x1 - x0 + (y1 - y0)) / 2) AS s FROM glyph GROUP BY 1) USING (page_id)"""
@@ -34,7 +35,7 @@ _KIND = """SELECT page_id, col, count(*) AS col_n, max(cx) - min(cx) AS spread,
 def w1(t):
     """No SQL twin (running median); the tests compare with a sequential pass."""
     g = B.glyphs(t)
-    return C.column_clusters(g, PK, median_side(g, PK)).select("glyph_id", "col", "col_center")
+    return C.column_clusters(g, PK).select("glyph_id", "col", "col_center")
 
 
 @query("w2_cluster_first_fit")
@@ -77,8 +78,7 @@ def w6(t):
     ),
 )
 def w7(t):
-    g = lane(t)
-    return C.spacing_anomalies(g, PK, C.column_kind(g, PK))
+    return C.spacing_anomalies(lane(t), PK)
 
 
 @query(

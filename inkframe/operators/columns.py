@@ -2,7 +2,7 @@
 
 Clusters are functions of the value alone: equal values always fall together, so each fold runs
 over the distinct values of a page (counted before the shuffle), cut first at gaps that no cluster
-can cross. What is folded is bounded by the page's geometry, not by its number of glyphs.
+can cross. Where values are fractions, what is folded may reach the number of the island's glyphs.
 """
 
 from __future__ import annotations
@@ -110,9 +110,18 @@ def cluster_ratio(df: DataFrame, keys: Sequence[str], value: str, ratio: float =
     return _attach(df, _fold(df, keys, value, _ratio_fit(ratio, max_groups), None, None, False, 0), keys, value, name)
 
 
-def column_clusters(glyphs: DataFrame, keys: Sequence[str], sides: DataFrame) -> DataFrame:
-    """Glyphs with ``col``, ``col_center`` and mid_side: x clusters within .4 sides, at most .48 wide."""
-    g = glyphs.join(sides, list(keys))
+def with_side(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Glyphs with mid_side, the typical box side of their page, in the page's own partition."""
+    side = ((F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0"))) / 2
+    return glyphs.withColumn("mid_side", F.median(side).over(Window.partitionBy(*keys)))
+
+
+def column_clusters(glyphs: DataFrame, keys: Sequence[str], sides: DataFrame | None = None) -> DataFrame:
+    """Glyphs with ``col``, ``col_center`` and mid_side: x clusters within .4 sides, at most .48 wide.
+
+    Without ``sides`` the page's own boxes give the side.
+    """
+    g = with_side(glyphs, keys) if sides is None else glyphs.join(sides, list(keys))
     return cluster_1d(g, keys, "cx", F.col("mid_side") * 0.4, F.col("mid_side") * 0.48)
 
 
@@ -120,47 +129,48 @@ def column_kind(glyphs: DataFrame, keys: Sequence[str], col: str = "col") -> Dat
     """Per column: col_n and col_kind. Three or more evenly spaced (gap std < 8, mean > .5 sides) are vertical
     names; two side by side are a rank label; the rest is mixed."""
     keys = [*keys, col]
-    gap = F.col("cy") - F.lag("cy").over(Window.partitionBy(*keys).orderBy("cy", "glyph_id"))
-    g = glyphs.withColumn("__gap", gap)
-    c = g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("col_n"), F.avg("__gap").alias("mean"), F.coalesce(F.stddev_pop("__gap"), F.lit(0.0)).alias("std"),
-        (F.max("cx") - F.min("cx")).alias("spread"), (F.max("cy") - F.min("cy")).alias("height"), F.min("mid_side").alias("s"),
-    )
+    c = _with_kind(glyphs, keys).groupBy(*keys).agg(*[F.min(x).alias(x) for x in ("col_n", "spread", "col_kind")])
+    return c.select(*keys, "col_n", "spread", "col_kind")
+
+
+def _with_kind(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Glyphs with __up, __down (gaps to their neighbours), col_n, spread and col_kind, all in the column's partition."""
+    w, whole = Window.partitionBy(*keys).orderBy("cy", "glyph_id"), Window.partitionBy(*keys)
+    g = glyphs.withColumns({"__up": F.col("cy") - F.lag("cy").over(w), "__down": F.lead("cy").over(w) - F.col("cy")})
+    n, spread_ = F.count(F.lit(1)).over(whole), F.max("cx").over(whole) - F.min("cx").over(whole)
+    g = g.withColumns({
+        "col_n": n, "spread": spread_, "__mean": F.avg("__up").over(whole), "__std": F.coalesce(F.stddev_pop("__up").over(whole), F.lit(0.0)),
+        "__height": F.max("cy").over(whole) - F.min("cy").over(whole), "__side": F.min("mid_side").over(whole),
+    })
     kind = (
-        F.when((F.col("col_n") >= 3) & (F.col("std") < 8) & (F.col("mean") > F.col("s") * 0.5), "vertical_name")
-        .when((F.col("col_n") == 2) & (F.col("height") < F.col("s") * 0.35) & (F.abs(F.col("spread") - F.col("s")) < 15), "rank_label")
+        F.when((F.col("col_n") >= 3) & (F.col("__std") < 8) & (F.col("__mean") > F.col("__side") * 0.5), "vertical_name")
+        .when((F.col("col_n") == 2) & (F.col("__height") < F.col("__side") * 0.35) & (F.abs(F.col("spread") - F.col("__side")) < 15), "rank_label")
         .otherwise("mixed")
     )
-    return c.select(*keys, "col_n", "spread", kind.alias("col_kind"))
+    return g.withColumn("col_kind", kind).drop("__mean", "__std", "__height", "__side")
 
 
 def reading_order(glyphs: DataFrame, keys: Sequence[str], col: str = "col", center: str = "col_center") -> DataFrame:
-    """Place of each glyph on its page: columns right to left, top to bottom inside.
-
-    The offset of a column is a running count over the page's columns; only a column is ever sorted.
-    """
-    keys = list(keys)
-    cols = glyphs.groupBy(*keys, col).agg(F.max(center).alias("__c"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("__c"), F.desc(col)).rowsBetween(Window.unboundedPreceding, -1)
-    cols = cols.select(*keys, col, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    j = glyphs.join(cols, [*keys, col])
-    inside = F.row_number().over(Window.partitionBy(*keys, col).orderBy("cy", "glyph_id"))
-    return j.withColumn("position", F.col("__off") + inside).drop("__off")
+    """Place of each glyph on its page: columns right to left, top to bottom inside. One sort of a page's glyphs."""
+    middle = F.max(center).over(Window.partitionBy(*keys, col))
+    order = Window.partitionBy(*keys).orderBy(F.desc("__c"), F.desc(col), "cy", "glyph_id")
+    return glyphs.withColumn("__c", middle).withColumn("position", F.row_number().over(order).cast("long")).drop("__c")
 
 
-def spacing_anomalies(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col: str = "col") -> DataFrame:
+def spacing_anomalies(glyphs: DataFrame, keys: Sequence[str], col: str = "col") -> DataFrame:
     """Glyph ids with suspicious spacing in columns of three or more: uneven (std around the median
-    gap > 3: all of them) or next to a gap above 1.85 medians. Wide columns that are no names are skipped."""
+    gap > 3: all of them) or next to a gap above 1.85 medians. Wide columns that are no names are skipped.
+
+    Kind, median and deviation are windows over the column, so a column moves once.
+    """
     keys = [*keys, col]
-    w = Window.partitionBy(*keys).orderBy("cy", "glyph_id")
-    g = glyphs.join(kinds, keys).where((F.col("col_n") >= 3) & ((F.col("col_kind") == "vertical_name") | (F.col("spread") <= F.col("mid_side") * 0.65)))
-    g = g.withColumns({"__up": F.col("cy") - F.lag("cy").over(w), "__down": F.lead("cy").over(w) - F.col("cy")})
-    med = g.groupBy(*keys).agg(F.median("__up").alias("__med"))
-    g = g.join(med, keys)
-    dev = g.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("__up") - F.col("__med"), F.lit(2)))).alias("__std"))
+    whole = Window.partitionBy(*keys)
+    g = _with_kind(glyphs, keys).where((F.col("col_n") >= 3) & ((F.col("col_kind") == "vertical_name") | (F.col("spread") <= F.col("mid_side") * 0.65)))
+    g = g.withColumn("__med", F.median("__up").over(whole))
+    g = g.withColumn("__dev", F.sqrt(F.avg(F.pow(F.col("__up") - F.col("__med"), F.lit(2))).over(whole)))
     limit = F.col("__med") * 1.85
-    odd = (F.col("__std") > 3) | F.coalesce(F.col("__up") > limit, F.lit(False)) | F.coalesce(F.col("__down") > limit, F.lit(False))
-    return g.join(dev, keys).where(odd).select("glyph_id")
+    odd = (F.col("__dev") > 3) | F.coalesce(F.col("__up") > limit, F.lit(False)) | F.coalesce(F.col("__down") > limit, F.lit(False))
+    return g.where(odd).select("glyph_id")
 
 
 def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col: str = "col", center: str = "col_center") -> DataFrame:
@@ -261,7 +271,7 @@ def apply_columns(glyphs: DataFrame, pages: DataFrame, keys: Sequence[str], side
     kept = dedupe_boxes(glyphs, keys, "glyph_id", sides, max_side)
     g = cut(column_clusters(kept, keys, sides))
     kinds = column_kind(g, keys)
-    flags = spacing_anomalies(g, keys, kinds).withColumn("__flag", F.lit(True))
+    flags = spacing_anomalies(g, keys).withColumn("__flag", F.lit(True))
     pairs = detect_pairs(g, keys)
     mates = pairs.select("first_id", "second_id")
     members = mates.select(F.explode(F.array("first_id", "second_id")).alias("glyph_id"), "first_id", "second_id")

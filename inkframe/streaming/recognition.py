@@ -13,34 +13,52 @@ from inkframe.operators.memory import learn
 from inkframe.operators.votes import consensus, defer_incomplete
 
 
+#: Stands for a round in the state of an item that was emitted.
+SETTLED = -1
+
+
 def collect_rounds(votes: DataFrame, rounds: int = 3, delay: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
     """Votes (item_id, round, char, confidence, ts) -> one row per item, emitted when its last round arrives or the wait is over.
 
-    State per item is the first vote of each round: at most ``rounds`` entries.
+    State per item is one vote of each round, the largest character as in the batch form: at most
+    ``rounds`` entries. A settled item leaves a mark until the watermark has passed it by ``wait_ms``,
+    so votes that come again or late open no second row.
     """
     schema = "item_id string, complete boolean, votes array<struct<round:long,char:string,confidence:double>>"
     state = "rounds array<long>, chars array<string>, confs array<double>"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState):
         have = {r: (c, f) for r, c, f in zip(*st.get)} if st.exists else {}
-        done, newest = False, 0
+        done, newest, settled = False, 0, SETTLED in have
+        none = pd.DataFrame({"item_id": [], "complete": [], "votes": []})
+        if settled:
+            if st.hasTimedOut:
+                st.remove()
+            else:
+                for _ in batches:
+                    pass
+                st.setTimeoutTimestamp(st.getCurrentWatermarkMs() + wait_ms)
+            yield none
+            return
         if st.hasTimedOut:
             done = bool(have)
         else:
             for pdf in batches:
                 newest = max(newest, int(pdf["ts_ms"].max()) if len(pdf) else 0)
                 for r, c, f in zip(pdf["round"], pdf["char"], pdf["confidence"]):
-                    have.setdefault(int(r), (None if pd.isna(c) else c, float(f)))
+                    vote = (None if pd.isna(c) else c, float(f))
+                    have[int(r)] = max(have.get(int(r), vote), vote, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
             done = len(have) >= rounds
         if done:
-            st.remove()
+            st.update(([SETTLED], [None], [0.0]))
+            st.setTimeoutTimestamp(max(newest, st.getCurrentWatermarkMs()) + wait_ms)
             rows = [{"round": r, "char": c, "confidence": f} for r, (c, f) in sorted(have.items())]
             yield pd.DataFrame({"item_id": [key[0]], "complete": [len(have) >= rounds], "votes": [rows]})
         elif have:
             st.update(([*have], [v[0] for v in have.values()], [v[1] for v in have.values()]))
             # wait from the newest vote on; the watermark itself starts at zero
             st.setTimeoutTimestamp(max(newest, st.getCurrentWatermarkMs()) + wait_ms)
-            yield pd.DataFrame({"item_id": [], "complete": [], "votes": []})
+            yield none
 
     v = votes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     v = v.withColumn("ts_ms", F.unix_millis("ts"))

@@ -106,7 +106,7 @@ def test_spacing_flags_ends_of_wide_gap(spark):
     g = frame(spark, [glyph(i, "公", 50, y) for i, y in enumerate(ys)])
     sides = spark.createDataFrame([(1, 20.0)], "page_id long, mid_side double")
     cols = C.column_clusters(g, ["page_id"], sides)
-    flagged = rows(C.spacing_anomalies(cols, ["page_id"], C.column_kind(cols, ["page_id"])))
+    flagged = rows(C.spacing_anomalies(cols, ["page_id"]))
     # std around the median gap is above 3, so the whole column is flagged
     assert flagged == [(i,) for i in range(6)]
 

@@ -22,9 +22,9 @@ def as_stream(spark, df, parts=3):
 
 def test_progress_equals_batch(spark, tables):
     e = tables.events.selectExpr("user_id AS page_id", "length(event_type) AS status_rank", "ts")
-    q = logs.stream_progress(as_stream(spark, e), "progress", tmp())
-    q.awaitTermination(120)
-    assert rows(spark.table("progress")) == rows(logs.page_progress(e))
+    out = tmp()
+    logs.stream_progress(as_stream(spark, e), out, tmp()).awaitTermination(120)
+    assert rows(logs.progress_now(spark, out)) == rows(logs.page_progress(e))
 
 
 def test_audit_retention_equals_batch(spark, tables):
@@ -46,6 +46,29 @@ def test_consensus_equals_batch(spark, tables):
     assert rows(spark.read.parquet(out), "item_id", "char", "confidence", "note") == rows(want)
 
 
+def test_settled_items_stay_settled(spark):
+    at = "2024-01-01 00:{:02d}:00"
+    votes = [("a", 1, "公", 0.5, 0), ("a", 2, "公", 0.5, 0), ("a", 2, "氏", 0.4, 0), ("a", 3, "公", 0.5, 1), ("b", 1, "世", 0.9, 0)]
+    again = [("a", 1, "公", 0.5, 2), ("a", 3, "祖", 0.9, 3)]
+    far = [("z", r, "公", 0.9, 59) for r in (1, 2, 3)]
+    d = tmp()
+    schema = "item_id string, round long, char string, confidence double, m int"
+    for k, part in enumerate((votes, again, far, [("y", 1, "公", 0.9, 59)])):
+        df = spark.createDataFrame([(*v[:4], at.format(v[4])) for v in part], "item_id string, round long, char string, confidence double, t string")
+        df.select("item_id", "round", "char", "confidence", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(d)
+        import time
+
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema.replace("m int", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(d)
+    out = tmp()
+    recognition.stream_consensus(stream, out, tmp()).awaitTermination(180)
+    got = {r["item_id"]: r for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == len(got) and set(got) >= {"a", "z", "b"}
+    full = spark.createDataFrame([v[:4] for v in votes if v[0] == "a"], "item_id string, round long, char string, confidence double")
+    assert got["a"]["char"] == V.consensus(full, ["item_id"]).first()["char"]
+    assert got["b"]["confidence"] <= 0.5
+
+
 def test_learn_equals_batch_and_ignores_repeats(spark, tables):
     from inkframe.catalog.matching import evidence
 
