@@ -8,6 +8,7 @@ from inkframe import bindings as B
 from inkframe.bindings import ALPHABET
 from inkframe.catalog import query
 from inkframe.catalog.sql import with_
+from inkframe.constants import EVIDENCE_KEYS_KEPT
 from inkframe.functions.geometry import iou
 from inkframe.operators import iterate as I
 from inkframe.operators import layout as L
@@ -319,14 +320,14 @@ _LEARN = with_(
 @query("a8_learn", _LEARN)
 def a8(t):
     """Customers are records that already know the evidence of one day; every event brings evidence."""
-    return learnt(M.learn(remembered(t), evidence(t)))
+    return learnt(M.learn(remembered(t), evidence(t), kept=EVIDENCE_KEYS_KEPT))
 
 
 @query("m2_learn_in_batches", _LEARN)
 def m2(t):
     """The first half of the month, then everything: what was seen before counts once."""
-    first = M.learn(remembered(t), evidence(t).where("day(ts) <= 15").drop("ts"))
-    return learnt(M.learn(first, evidence(t).drop("ts")))
+    first = M.learn(remembered(t), evidence(t).where("day(ts) <= 15").drop("ts"), kept=EVIDENCE_KEYS_KEPT)
+    return learnt(M.learn(first, evidence(t).drop("ts"), kept=EVIDENCE_KEYS_KEPT))
 
 
 def remembered(t):

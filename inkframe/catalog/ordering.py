@@ -151,7 +151,7 @@ _TXT = "'倪氏宗譜公子世祖'"
         "word",
         """SELECT source AS project_id, title, votes FROM (SELECT *, count(*) OVER (PARTITION BY source, votes) AS ties, row_number() OVER (PARTITION BY source ORDER BY votes DESC) AS k FROM
         (SELECT source, title, count(*) AS votes FROM cl GROUP BY 1, 2)) WHERE k = 1 AND ties = 1 AND votes >= 2""",
-        pg="SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 60",
+        pg="SELECT doc_id, source FROM documents",
         cl=f"""SELECT source, doc_id, string_agg(substring({_TXT}, 1 + (l + doc_id % 2) % 8, 1), '' ORDER BY l) AS title FROM word JOIN pg USING (doc_id) WHERE w = 0 GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 8 AND max(doc_id % 7) <> 3""",
     ),
 )

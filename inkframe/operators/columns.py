@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.constants import CONFIDENCE_THRESHOLD, TITLE_MIN_VOTES, TITLE_SCAN_PAGES
+from inkframe.constants import CONFIDENCE_THRESHOLD, TITLE_MIN_VOTES
 from inkframe.operators.ordered import gap_groups, in_order
 from inkframe.operators.spatial import box_join
 from inkframe.session import spread
@@ -321,15 +321,16 @@ def page_order(glyphs: DataFrame, keys: Sequence[str], height: float) -> DataFra
     return in_order(g, keys, ["band", "__left", "glyph_id"], F.floor(F.col("band") / 64), number="position").drop("__left")
 
 
-def infer_title(glyphs: DataFrame, pages: DataFrame, project: str = "project_id", scan: int = TITLE_SCAN_PAGES, min_votes: int = TITLE_MIN_VOTES, min_conf: float = CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Title of each project by a vote of its first pages: (project, title, votes).
+def infer_title(glyphs: DataFrame, pages: DataFrame, project: str = "project_id", scan: int | None = None, min_votes: int = TITLE_MIN_VOTES, min_conf: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+    """Title of each project by a vote of its pages, or of its first ``scan`` ones: (project, title, votes).
 
     A page votes once per text of a left-half title column of 2 to 8 glyphs that are all certain.
     The title needs ``min_votes`` and strictly more votes than the runner-up.
     ``pages``: project, page_id, idx, width.
     """
     w = Window.partitionBy(project).orderBy("idx", "page_id")
-    first = pages.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= scan).select(project, "page_id", "width")
+    first = pages if scan is None else pages.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= scan)
+    first = first.select(project, "page_id", "width")
     g = glyphs.where("kind = 'side' and grp = 'title'").join(first, "page_id").where(F.col("cx") <= F.col("width") * 0.5)
     wide = g.groupBy("page_id").agg(F.median(F.col("x1") - F.col("x0")).alias("__w"))
     g = g.join(wide, "page_id").withColumn("__tol", F.when(F.col("__w") == 0, 20.0).otherwise(F.col("__w")) * 0.75)

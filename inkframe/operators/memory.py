@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.constants import CONFIDENCE_THRESHOLD, DICT_CANDIDATE_CONF, DICT_LOW_CONF_MAX, EVIDENCE_KEYS_KEPT, LEGACY_MIN_SIMILARITY, STRUCTURAL_CHARS
+from inkframe.constants import CONFIDENCE_THRESHOLD, DICT_CANDIDATE_CONF, DICT_LOW_CONF_MAX, LEGACY_MIN_SIMILARITY, STRUCTURAL_CHARS
 from inkframe.functions.text import CJK_CLASS, fnv1a, is_cjk
 from inkframe.operators.review import user_locked
 from inkframe.session import cut
@@ -111,13 +111,14 @@ def recall(candidates: DataFrame, char_class: str = CJK_CLASS) -> DataFrame:
 MEMORY_KEY = ("project_id", "aspect", "sig", "char")
 
 
-def learn(memory: DataFrame, evidence: DataFrame, char_class: str = CJK_CLASS, kept: int = EVIDENCE_KEYS_KEPT) -> DataFrame:
+def learn(memory: DataFrame, evidence: DataFrame, char_class: str = CJK_CLASS, kept: int | None = None) -> DataFrame:
     """Memory after the evidence: counts by source, summed confidence, newest sighting, last evidence keys.
 
     ``evidence``: MEMORY_KEY, source ('manual'|'model'|'local'), confidence, evidence_key, seen_at.
     Evidence with a key that is already stored counts no more; of a key that comes twice in the batch the
-    earliest sighting counts (then source and confidence decide). Only the newest
-    ``kept`` keys of a record travel (ranked, cut before the shuffle), whatever the batch holds.
+    earliest sighting counts (then source and confidence decide). With
+    ``kept`` a record remembers its newest keys only (ranked, cut before the shuffle); older evidence
+    would then count again.
     """
     key = list(MEMORY_KEY)
     # of evidence under one key the earliest counts; all its columns decide, so row order never does
@@ -136,7 +137,9 @@ def learn(memory: DataFrame, evidence: DataFrame, char_class: str = CJK_CLASS, k
         F.max("seen_at").alias("last_seen"),
     )
     w = Window.partitionBy(*key).orderBy(F.desc("seen_at"), F.desc("evidence_key"))
-    newest = e.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kept)
+    newest = e.withColumn("__r", F.row_number().over(w))
+    if kept is not None:
+        newest = newest.where(F.col("__r") <= kept)
     keys = newest.groupBy(*key).agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("__r", "evidence_key"))), lambda x: x["evidence_key"])).alias("evidence_keys"))
     sums = ["total", "manual", "model", "local", "confidence_sum"]
     add = fresh.withColumnsRenamed({c: f"f_{c}" for c in fresh.columns}).join(
@@ -150,7 +153,7 @@ def learn(memory: DataFrame, evidence: DataFrame, char_class: str = CJK_CLASS, k
         *[F.when(is_new, F.col(f"f_{k}")).otherwise(F.col(k)).alias(k) for k in key],
         *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"f_{c}", F.lit(0))).alias(c) for c in sums],
         F.greatest("last_seen", "f_last_seen").alias("last_seen"),
-        F.slice(all_keys, F.greatest(F.lit(1), F.size(all_keys) - kept + 1), kept).alias("evidence_keys"),
+        (all_keys if kept is None else F.slice(all_keys, F.greatest(F.lit(1), F.size(all_keys) - kept + 1), kept)).alias("evidence_keys"),
     )
 
 

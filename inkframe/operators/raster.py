@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,7 +160,9 @@ def _label_groups(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
     """8-connected labels of whole tiles (sorted by group, y, x0): each run gets the first (y, x0) of its component."""
     new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
     # rows of different groups are moved apart so that they never look adjacent
-    ys = (pdf["y"].to_numpy() % TILE_SPAN + new.cumsum() * (TILE_SPAN + 2)).tolist()
+    y, first = pdf["y"].to_numpy(), new.nonzero()[0]
+    inside = y - np.repeat(y[first], np.diff(np.append(first, len(y))))
+    ys = (inside + new.cumsum() * (inside.max(initial=0) + 3)).tolist()
     x0s, x1s = pdf["x0"].tolist(), pdf["x1"].tolist()
     parent = list(range(len(ys)))
 
@@ -188,9 +191,6 @@ def _label_groups(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
     return pdf.assign(ly=pdf["y"].to_numpy()[roots], lx=pdf["x0"].to_numpy()[roots])
 
 
-TILE_SPAN = 1 << 20  # beyond any page height
-
-
 def _label_sorted(group: list[str]):
     """Stream a sorted partition tile by tile; only the tile at a batch border is held back."""
 
@@ -416,16 +416,16 @@ def projection_bands(runs: DataFrame, sizes: DataFrame, axis: str, coverage_shar
 
 
 # --- geometry of rasters ----------------------------------------------------------------------
-def estimate_skew(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+def estimate_skew(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("page_id",), stride: Column | int = 1) -> DataFrame:
     """Skew in degrees (one decimal): the shear whose row projection varies most, coarse then fine.
 
-    Pages below 100 sampled ink pixels get 0. Large pages are sampled with the pixel stride the
-    operator defines. Every pixel meets a fixed set of angles; counts are combined before the shuffle.
+    Pages below 100 ink pixels get 0. With a ``stride`` (a number, or a column over the page's sizes)
+    only every so many pixels count, on pages of all sizes alike. Every pixel meets a fixed set of angles; counts are combined before the shuffle.
     """
     keys = list(keys)
-    stride = F.greatest(F.lit(1), F.floor(F.col("width") * F.col("height") / 400000))
-    ink = run_points(runs, keys).join(sizes, keys).withColumn("__s", stride)
-    ink = ink.where((F.col("y") * F.col("width") + F.col("x")) % F.col("__s") == 0)
+    ink = run_points(runs, keys).join(sizes, keys)
+    if not isinstance(stride, int) or stride != 1:
+        ink = ink.where((F.col("y") * F.col("width") + F.col("x")) % (F.lit(stride) if isinstance(stride, int) else stride) == 0)
     enough = ink.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 100").select(*keys)
     ink = ink.join(enough, keys, "left_semi").select(*keys, "x", "y", "height")
 

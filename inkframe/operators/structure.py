@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.constants import CHAR_MAX_SIZE, CHAR_MIN_AREA, CHAR_MIN_SIZE, KERNEL_LEN, KERNEL_LINE_V_LEN, MAX_ARTIFACTS, MIN_LINE_LEN, NODE_R_MAX, NODE_R_MIN
+from inkframe.constants import CHAR_MAX_SIZE, CHAR_MIN_AREA, CHAR_MIN_SIZE, KERNEL_LEN, KERNEL_LINE_V_LEN, MIN_LINE_LEN, NODE_R_MAX, NODE_R_MIN
 from inkframe.functions.geometry import iou, js_round, norm_to_px
 from inkframe.operators import layout as L
 from inkframe.operators import raster as R
@@ -338,8 +338,8 @@ def inversions(rects: DataFrame, runs: DataFrame, sizes: DataFrame, min_area: in
     return rects.select(*keys, rect_id).join(n, rect_id, "left").select(*keys, rect_id, F.coalesce("shapes", F.lit(0)).alias("shapes"))
 
 
-def detect_artifacts(runs: DataFrame, lines: DataFrame, limit: int = MAX_ARTIFACTS, min_area: int = CHAR_MIN_AREA, char_size: tuple[int, int] = (CHAR_MIN_SIZE, CHAR_MAX_SIZE), keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Long thin leftovers that are neither line nor glyph: keys, artifact_id, x1, y1, x2, y2, width_px; at most ``limit`` per page, top first."""
+def detect_artifacts(runs: DataFrame, lines: DataFrame, limit: int | None = None, min_area: int = CHAR_MIN_AREA, char_size: tuple[int, int] = (CHAR_MIN_SIZE, CHAR_MAX_SIZE), keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Long thin leftovers that are neither line nor glyph: keys, artifact_id, x1, y1, x2, y2, width_px, numbered from the top; with ``limit`` no more of a page."""
     keys = list(keys)
     pad = F.ceil(F.col("width_px") / 2) + 2
     b = lines.select(
@@ -352,7 +352,9 @@ def detect_artifacts(runs: DataFrame, lines: DataFrame, limit: int = MAX_ARTIFAC
     glyph = (short >= char_size[0]) & (long_ <= char_size[1])
     c = c.where((F.col("area") >= min_area) & ~glyph & (aspect >= 3) & (width <= 12)).withColumn("width_px", width)
     w = Window.partitionBy(*keys).orderBy(F.col("comp.y"), F.col("comp.x0"))
-    c = c.withColumn("artifact_id", F.row_number().over(w)).where(F.col("artifact_id") <= limit)
+    c = c.withColumn("artifact_id", F.row_number().over(w))
+    if limit is not None:
+        c = c.where(F.col("artifact_id") <= limit)
     return c.select(*keys, "artifact_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), "width_px")
 
 

@@ -141,11 +141,13 @@ def test_memory_visibility(spark):
 def test_learn_is_idempotent_and_keeps_last_keys(spark):
     empty = spark.createDataFrame([], "project_id string, aspect long, sig array<long>, char string, total long, manual long, model long, local long, confidence_sum double, last_seen long, evidence_keys array<string>")
     ev = lambda ks: spark.createDataFrame([("a", 1, [5], "公", "model", 2.0, f"k{k}", k) for k in ks], "project_id string, aspect long, sig array<long>, char string, source string, confidence double, evidence_key string, seen_at long")
-    once = M.learn(empty, ev(range(100)))
-    twice = M.learn(once, ev([*range(90, 103), 99]))
+    once = M.learn(empty, ev(range(100)), kept=80)
+    twice = M.learn(once, ev([*range(90, 103), 99]), kept=80)
     r = twice.first()
     assert (r["total"], r["model"], r["confidence_sum"], r["last_seen"]) == (103, 103, 103.0, 102)
     assert r["evidence_keys"] == [f"k{k}" for k in range(23, 103)]
+    # without a limit the oldest evidence stays known
+    assert M.learn(M.learn(empty, ev(range(100))), ev([0, 1, 100])).first()["total"] == 101
     assert M.learn(empty, ev([1]).withColumn("char", F.lit("A"))).count() == 0
 
 
