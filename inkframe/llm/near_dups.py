@@ -29,9 +29,9 @@ from inkframe.session import cut
 
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-#: The first samples, a byte of each, estimate a pair's similarity before its sets are fetched; a pair at the
-#: threshold agrees in fewer than SKETCH_LEAST of them once in 50,000 cases.
-SKETCH, SKETCH_LEAST = 32, 16
+#: Further samples of candidates only, a byte of each, estimate a pair's similarity before its sets are fetched.
+#: A pair at the threshold agrees in fewer than SKETCH_LEAST of them (four deviations) once in 20,000 cases.
+SKETCH, SKETCH_LEAST = 192, 131
 IDF_BITS = 18
 #: Weights run from 1 (in every document) to 1 + IDF_SHARE (in one).
 IDF_SHARE = 0.5
@@ -48,7 +48,7 @@ def _tables(seed: int) -> tuple[np.ndarray, ...]:
     rng = np.random.default_rng(seed)
     n = 1 << DRAWS
     r, c, beta = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
-    odd = rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    odd = rng.integers(1, 1 << 31, BANDS * ROWS + SKETCH, dtype=np.uint32) | np.uint32(1)
     return *(x.astype(np.float32) for x in (r, 1 / r, c - r, beta)), odd
 
 
@@ -96,30 +96,29 @@ def signatures(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
             for lo, hi in T.steps(batch.column(1)):
                 hashes, rows, counts, digests = shingle_rows(batch.column(1).slice(lo, hi - lo))
                 weights = counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
-                keys, sketch = consistent_samples(hashes, rows, weights, hi - lo, draws)
+                keys = band_keys(hashes, rows, weights, hi - lo, draws)
                 mass = np.bincount(rows, weights=weights, minlength=hi - lo).astype(np.float64)  # integers if there are no words
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((mass > 0) * BANDS)]).astype(np.int32), keys[mass > 0].reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists, pa.array(mass), *[pa.array(x) for x in sketch.view(np.int64).T]],
-                    names=["node", "doc_id", "bands", "mass", *_SKETCH],
+                    [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists, pa.array(mass)],
+                    names=["node", "doc_id", "bands", "mass"],
                 )
 
-    return _own(docs).mapInArrow(run, f"{_BASE}, bands array<long>, mass double, {', '.join(f'{c} long' for c in _SKETCH)}")
+    return _own(docs).mapInArrow(run, f"{_BASE}, bands array<long>, mass double")
 
 
-def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, draws) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x BANDS) and a byte of each of the first SKETCH samples (n x SKETCH / 8 words).
+def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, which: range, draws) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, row, sample) of the k-th sample of each text that has shingles, for k in ``which``.
 
     Two texts agree in a sample with the probability of their weighted Jaccard similarity.
     """
     r_, inverse_, c_, beta_, odd = draws
-    keys, sketch = np.zeros((n, BANDS), dtype=np.uint64), np.zeros((n, SKETCH // 8), dtype=np.uint64)
     if not len(hashes):
-        return keys, sketch
+        return
     edge = np.flatnonzero(np.diff(rows, prepend=-1))
     owner, log_w = rows[edge], np.log(weights).astype(np.float32)
     short, place = (hashes >> np.uint64(32)).astype(np.uint32), np.arange(len(hashes), dtype=np.uint64)
-    for k in range(BANDS * ROWS):
+    for k in which:
         at = (short * odd[k]) >> np.uint32(32 - DRAWS)
         beta = beta_[at]
         t = np.floor(log_w * inverse_[at] + beta)
@@ -127,28 +126,44 @@ def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray
         ordered = (a ^ ((a >> 31) | np.int32(-(1 << 31)))).view(np.uint32)  # unsigned in the order of the floats
         # the smallest value, and of equal ones the smallest hash
         first = (np.minimum.reduceat((ordered.astype(np.uint64) << np.uint64(32)) | place, edge) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        sample = T.mix(hashes[first] + T.mix(t[first].astype(np.int64).astype(np.uint64) + np.uint64(k)))
+        yield k, owner, T.mix(hashes[first] + T.mix(t[first].astype(np.int64).astype(np.uint64) + np.uint64(k)))
+
+
+def band_keys(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, draws) -> np.ndarray:
+    keys = np.zeros((n, BANDS), dtype=np.uint64)
+    for k, owner, sample in consistent_samples(hashes, rows, weights, range(BANDS * ROWS), draws):
         keys[owner, k // ROWS] = T.mix(keys[owner, k // ROWS] * np.uint64(31) + sample)
-        if k < SKETCH:
-            sketch[owner, k // 8] |= (sample & np.uint64(255)) << np.uint64(8 * (k % 8))
-    return keys, sketch
+    return keys
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node -> sorted shingle hashes and counts, for nodes(node, doc_id) given by one of their documents."""
+def sketches(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, draws) -> np.ndarray:
+    """A byte of each of SKETCH samples that no band uses, eight to a word."""
+    out = np.zeros((n, SKETCH // 8), dtype=np.uint64)
+    for k, owner, sample in consistent_samples(hashes, rows, weights, range(BANDS * ROWS, BANDS * ROWS + SKETCH), draws):
+        k -= BANDS * ROWS
+        out[owner, k // 8] |= (sample & np.uint64(255)) << np.uint64(8 * (k % 8))
+    return out
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
+    """node -> sorted shingle hashes, counts and sketch, for nodes(node, doc_id) given by one of their documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = _tables(seed)
         for batch in batches:
             for lo, hi in T.steps(batch.column(1)):
                 hashes, rows, counts, digests = shingle_rows(batch.column(1).slice(lo, hi - lo))
+                weights = counts * shared.value[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
+                sketch = [pa.array(x) for x in sketches(hashes, rows, weights, hi - lo, draws).view(np.int64).T]
                 ends = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
                 sets = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes.view(np.int64), counts.astype(np.int32))]
                 wanted = [a == b for a, b in zip(digests, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *sets], names=["node", "hashes", "counts"]).filter(pa.array(wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *sets, *sketch], names=["node", "hashes", "counts", *_SKETCH]).filter(pa.array(wanted))
 
     rep = nodes.select("node", F.col("doc_id").alias("rep"))
     texts = _own(docs).join(rep, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return texts.mapInArrow(run, "node binary, hashes array<long>, counts array<int>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, f"node binary, hashes array<long>, counts array<int>, {', '.join(f'{c} long' for c in _SKETCH)}").dropDuplicates(["node"])
 
 
 def _similar(threshold: float, idf):
@@ -196,12 +211,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = document_frequencies(docs)
     rows = cut(signatures(docs, idf))
     facts = ["mass", *_SKETCH]
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("bands", *facts)])
-    entries = nodes.select("node", "doc_id", *facts, F.posexplode("bands").alias("band", "key"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("mass").alias("mass"))
+    entries = nodes.select("node", "doc_id", "mass", F.posexplode("bands").alias("band", "key"))
     members = nodes.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(entries.join(members.select("band", "key"), ["band", "key"]).withColumn("spent", F.lit(False)))
     wanted = cut(buckets.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = cut(shingle_sets(docs, wanted))
+    sets = cut(shingle_sets(docs, wanted, idf))
+    buckets = cut(buckets.join(sets.select("node", *_SKETCH), "node"))
     label = wanted.select("node", F.col("node").alias("component"))
     links, centres = None, 1
     while True:

@@ -98,7 +98,7 @@ def test_consistent_samples_estimate_weighted_jaccard():
     true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
     agree = []
     for seed in range(12):
-        _, s = near_dups.consistent_samples(np.tile(hashes, 2), np.repeat([0, 1], 400), np.concatenate([wa, wb]), 2, near_dups._tables(seed))
+        s = near_dups.sketches(np.tile(hashes, 2), np.repeat([0, 1], 400), np.concatenate([wa, wb]), 2, near_dups._tables(seed))
         agree.append((s[0].view(np.uint8) == s[1].view(np.uint8)).mean())
     assert abs(np.mean(agree) - true) < 0.06
 
