@@ -15,13 +15,14 @@ the least place stays - the same intervals at full depth, by map-side-combined m
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import text as T
@@ -200,15 +201,33 @@ def _whole_strings(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{_KEYS}, start long, key binary")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, dig, text), texts all different -> spans (doc_id, dig, start, end) in bytes whose every
-    byte lies in a string of SPAN bytes that also starts earlier; they may overlap."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _places(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id, dig, places of the anchors whose gram occurs again, but for copies of whole texts."""
     again = _grams(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = cut(_grams(docs).join(again, "h").groupBy("doc_id", "dig").agg(F.collect_list("place").alias("places")))
+    met = _grams(docs).join(again, "h").join(copies, ["doc_id", "dig"], "left_anti")
+    return cut(met.groupBy("doc_id", "dig").agg(F.collect_list("place").alias("places")))
+
+
+def _settled(docs: DataFrame, places: DataFrame) -> DataFrame:
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _surroundings(docs.join(places, ["doc_id", "dig"]))
-    dealt = rows.repartition(n, F.coalesce("h", F.xxhash64("doc_id", "start"))).sortWithinPartitions("h")
-    found = cut(_spans(dealt))
+    return cut(_spans(rows.repartition(n, F.coalesce("h", F.xxhash64("doc_id", "start"))).sortWithinPartitions("h")))
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is cut off already, instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs(doc_id, dig, text) without copies(doc_id, dig) -> spans (doc_id, dig, start, end) in bytes whose
+    every byte lies in a string of SPAN bytes that also starts earlier; they may overlap. The texts that
+    are left are all different. Copies are taken out of the anchors, so no text moves for it."""
+    places = _places(docs, copies)
+    _release(docs.sparkSession)
+    found = _settled(docs, places)
+    _release(docs.sparkSession)
     large = _whole_strings(found.where("h is not null"))
     place = F.struct("doc_id", "dig", "start")
     first = large.groupBy("key").agg(F.min(place).alias("first"))
@@ -230,10 +249,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     first = light.groupBy("sum").agg(F.min(F.struct("doc_id", "dig")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = light.join(first, "sum").where(F.struct("doc_id", "dig") > F.col("f")).select("doc_id", "dig").distinct()
     copies = cut(copies)
-    distinct = own.join(copies, ["doc_id", "dig"], "left_anti")
+    distinct = own.select("doc_id", "dig", "text")
     if clash:
         distinct = distinct.dropDuplicates(["doc_id", "dig"])
-    spans = repeated_spans(distinct.select("doc_id", "dig", "text"))
+    spans = repeated_spans(distinct, copies)
     lists = cut(spans.groupBy("doc_id", "dig").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     marked = own.join(lists, ["doc_id", "dig"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "dig"], "left")
     if clash:
