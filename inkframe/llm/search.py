@@ -1,23 +1,23 @@
 """Exact BM25 top-k by block-max WAND over a sharded inverted index.
 
-Each task that reads documents builds the index of its own shards (SHARD_DOCS documents at most): per
-term its documents, counts and, per block of postings, the largest count and the shortest length,
-which bound any score in the block. The index is a table in the shared folder. Document frequencies,
-number and mean length of documents come from all shards, so scores of different shards compare and
-the k best of all shards' k best are exact. A query travels only to shards that have one of its
-terms, together with those terms' postings.
+Each task that reads documents builds the index of its own shards (SHARD_DOCS documents at most): a
+row of the shard with its documents, lengths, postings and counts, and a row per term with the number
+of its documents. The index is a table in the shared folder. Document frequencies, number and mean
+length of documents come from all shards, so scores of different shards compare. All words of a query
+count. Queries go in passes of QUERY_TERMS words, which bounds what is broadcast; a pass streams the
+shards, and a task carries the k best of each query from shard to shard as the limit that a block's
+bound has to reach.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +28,12 @@ from inkframe.session import ensure_checkpoint_dir
 K1, B = 1.2, 0.75
 SHARD_DOCS = 8192
 BLOCK = 64
-#: Queries that meet a shard in one task.
-QUERY_BLOCK = 20_000
+#: Words of the queries of one pass over the index.
+QUERY_TERMS = 2_000_000
+#: Queries of more words are scored by whole blocks instead of document by document.
+WAND_TERMS = 8
 _NO_ID = -(1 << 63)
+_PACKED = ["ids", "lengths", "terms", "ends", "docs", "counts"]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -46,9 +49,10 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """(shard, term, n, words, docs, counts): places of the n documents in the shard (uint16) and counts (uint16, at most
-    65,535) as bytes. Row term null of a shard: the documents' ids (int64) and lengths (int32),
-    and how many words they have.
+    """(shard, term, n, words, ids, lengths, terms, ends, docs, counts). A row with a term has only its n
+    documents. Row term null of a shard: ids (int64) and lengths (int32) of its n documents, how many words
+    they have, its terms (int64) in order, where the postings of each end (int32), and of all postings the
+    documents' places (uint16) and counts (uint16, at most 65,535), each as bytes.
 
     Documents without words are listed and match nothing; a shard orders its documents by id.
     """
@@ -69,7 +73,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if held:
             yield from _shard(base + k, held)
 
-    return written(_own(docs).mapInArrow(run, "shard long, term long, n long, words long, docs binary, counts binary"))
+    return written(_own(docs).mapInArrow(run, f"shard long, term long, n long, words long, {', '.join(f'{c} binary' for c in _PACKED)}"))
 
 
 def _shard(shard: int, held: list) -> Iterator[pa.RecordBatch]:
@@ -79,16 +83,16 @@ def _shard(shard: int, held: list) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), dtype=np.uint16)
     place[order] = np.arange(len(ids))
+    terms = terms.view(np.int64)
     by = np.lexsort((place[rows], terms))
-    terms, docs, counts = terms[by].view(np.int64), place[rows][by], np.minimum(counts[by], 65_535).astype(np.uint16)
+    terms, docs, counts = terms[by], place[rows][by], np.minimum(counts[by], 65_535).astype(np.uint16)
     edge = np.append(np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, dtype=np.int64), len(terms))
-    ends = pa.py_buffer((2 * edge).astype(np.int32).tobytes())
-    lists = [pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, ends, pa.py_buffer(x.tobytes())]) for x in (docs, counts)]
-    names = ["shard", "term", "n", "words", "docs", "counts"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge) - 1, shard)), pa.array(terms[edge[:-1]]), pa.array(np.diff(edge)), pa.nulls(len(edge) - 1, pa.int64()), *lists], names=names)
+    known, m = terms[edge[:-1]], len(edge) - 1
+    names = ["shard", "term", "n", "words", *_PACKED]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard)), pa.array(known), pa.array(np.diff(edge)), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.binary()) for _ in _PACKED]], names=names)
+    packed = [ids[order], lengths[order].astype(np.int32), known, edge[1:].astype(np.int32), docs, counts]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([shard]), pa.array([None], type=pa.int64()), pa.array([len(ids)]), pa.array([int(lengths.sum())]), pa.array([ids[order].tobytes()], type=pa.binary()), pa.array([lengths[order].astype(np.int32).tobytes()], type=pa.binary())],
-        names=names,
+        [pa.array([shard]), pa.array([None], type=pa.int64()), pa.array([len(ids)]), pa.array([int(lengths.sum())]), *[pa.array([x.tobytes()], type=pa.binary()) for x in packed]], names=names
     )
 
 
@@ -178,60 +182,111 @@ def block_max_wand(lists: list[Postings], k: int) -> list[tuple[float, int]]:
                     p.seek(doc)
 
 
-def _answer(k: int, mean: float):
-    def run(key: tuple, postings: pd.DataFrame, routed: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        if len(postings) and len(routed):
-            table = postings[postings["is_table"]].iloc[0]
-            ids, lengths = np.frombuffer(table["docs"], dtype=np.int64), np.frombuffer(table["counts"], dtype=np.int32)
-            terms = {}
-            for t, d, c in postings.loc[~postings["is_table"], ["own_term", "docs", "counts"]].itertuples(index=False):
-                docs, counts = np.frombuffer(d, dtype=np.uint16), np.frombuffer(c, dtype=np.uint16).astype(float)
-                own = lengths[docs]
-                share = counts * (K1 + 1) / (counts + K1 * (1 - B + B * own / mean))
-                first = np.arange(0, len(docs), BLOCK)
-                high, short = np.maximum.reduceat(counts, first), np.minimum.reduceat(own, first)
-                terms[int(t)] = docs, share, high * (K1 + 1) / (high + K1 * (1 - B + B * short / mean))
-            for query, rows in routed.sort_values(["query", "term"]).groupby("query"):
-                lists = [Postings(d, w * s, w * b) for w, (d, s, b) in ((w, terms[t]) for t, w in zip(rows["term"], rows["idf"], strict=True))]
-                out += [(query, ids[d], s) for s, d in block_max_wand(lists, k)]
-        found = pd.DataFrame(out, columns=["query", "doc_id", "score"])
-        return found.astype({"query": "int64", "doc_id": "int64", "score": "float64"})
+class Shard:
+    """Postings of a shard with their shares of a score (without idf), and the largest share in each block.
+
+    Block b has the documents at the places from b * BLOCK on.
+    """
+
+    def __init__(self, row: dict, mean: float):
+        self.ids, lengths = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["lengths"], dtype=np.int32)
+        self.terms, counts = np.frombuffer(row["terms"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint16).astype(float)
+        self.edge = np.append(0, np.frombuffer(row["ends"], dtype=np.int32)).astype(np.int64)
+        self.docs = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int64)
+        self.shares = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.docs] / mean))
+        new = np.diff(self.docs // BLOCK, prepend=-1) != 0
+        new[self.edge[:-1]] = True
+        first = np.flatnonzero(new)
+        self.blocks, self.highs = self.docs[first] // BLOCK, np.maximum.reduceat(self.shares, first) if len(first) else self.shares
+        self.block_edge = np.searchsorted(first, self.edge)
+
+    def best(self, at: np.ndarray, idf: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, places) of a query's documents that may be among the k best, given places of its terms; none
+        that scores limit or more is left out, unless k of this shard stand before it."""
+        if len(at) <= WAND_TERMS:
+            found = block_max_wand([self.postings(t, w) for t, w in zip(at.tolist(), idf.tolist(), strict=True)], k)
+            return np.array([s for s, _ in found]), np.array([d for _, d in found], dtype=np.int64)
+        lo, hi = self.edge[at].tolist(), self.edge[at + 1].tolist()
+        docs = np.concatenate([self.docs[a:b] for a, b in zip(lo, hi, strict=True)])
+        keep = None
+        if limit > 0:
+            first, end = self.block_edge[at].tolist(), self.block_edge[at + 1].tolist()
+            bounds = np.concatenate([self.highs[a:b] for a, b in zip(first, end, strict=True)]) * np.repeat(idf, np.subtract(end, first))
+            bound = np.bincount(np.concatenate([self.blocks[a:b] for a, b in zip(first, end, strict=True)]), bounds)
+            open_ = bound + 1e-9 >= limit  # bounds are added as scores are, of shares that are no smaller
+            if not open_.any():
+                return np.zeros(0), np.zeros(0, dtype=np.int64)
+            if open_.mean() < 0.5:
+                keep = open_[docs // BLOCK]
+        parts = np.concatenate([self.shares[a:b] for a, b in zip(lo, hi, strict=True)]) * np.repeat(idf, np.subtract(hi, lo))
+        scores = np.bincount(docs, parts) if keep is None else np.bincount(docs[keep], parts[keep])
+        if limit <= 0 and len(scores) > k:
+            limit = np.partition(scores, len(scores) - k)[len(scores) - k]
+        places = np.flatnonzero((scores >= limit) & (scores > 0))
+        return scores[places], places
+
+    def postings(self, t: int, idf: float) -> Postings:
+        docs, scores = self.docs[self.edge[t] : self.edge[t + 1]], idf * self.shares[self.edge[t] : self.edge[t + 1]]
+        return Postings(docs, scores, np.maximum.reduceat(scores, np.arange(0, len(docs), BLOCK)))
+
+
+def _answer(k: int, mean: float, asked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, edge, terms, idf = asked.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for j in range(len(batch)):
+                shard = Shard({c: batch.column(i)[j].as_buffer() for i, c in enumerate(_PACKED)}, mean)
+                if not len(shard.terms):
+                    continue
+                place = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
+                known = shard.terms[place] == terms
+                for q in range(len(queries)):
+                    own = slice(edge[q], edge[q + 1])
+                    met = known[own]
+                    if not met.any():
+                        continue
+                    scores, ids = held.get(q, (np.zeros(0), np.zeros(0, dtype=np.int64)))
+                    more, places = shard.best(place[own][met], idf[own][met], k, scores[-1] if len(scores) == k else 0.0)
+                    if len(more):
+                        scores, ids = np.append(scores, more), np.append(ids, shard.ids[places])
+                        order = np.lexsort((ids, -scores))[:k]
+                        held[q] = scores[order], ids[order]
+        for q, (scores, ids) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), queries[q])), pa.array(ids), pa.array(scores)], names=["query", "doc_id", "score"])
 
     return run
 
 
-def search(index: DataFrame, terms: DataFrame, k: int, most_terms: int) -> DataFrame:
+def search(index: DataFrame, terms: DataFrame, k: int, most_terms: int | None = None) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each query by BM25, equal scores by smaller id.
 
-    Of terms(query, term) the rarest most_terms of each query count. Queries none of whose terms stand
-    in two documents have no rows. Null ids come back as null.
+    All terms(query, term) count, or of each query the rarest most_terms that two documents have, if the
+    caller wants fewer. Queries none of whose terms stands in a document have no rows. Null ids come back as null.
     """
     spark = index.sparkSession
-    postings, tables = index.where("term is not null"), index.where("term is null")
-    frequencies = postings.groupBy("term").agg(F.sum("n").alias("df"))
+    tables = index.where("term is null")
+    frequencies = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
     n, words = tables.agg(F.sum("n"), F.sum("words")).first()
     n, mean = n or 0, max(1.0, (words or 0) / max(1, n or 0))
-    chosen = written(rarest_terms(terms, frequencies, most_terms))
+    chosen = terms.join(frequencies, "term") if most_terms is None else rarest_terms(terms, frequencies, most_terms)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    blocks = max(1, math.ceil(chosen.select("query").distinct().count() / QUERY_BLOCK))
-    asked = chosen.select("query", "term", idf.alias("idf"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
-    places = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    routed = asked.join(places.select("term", "shard"), "term").select("shard", "block", "query", "term", "idf")
-    routed = written(routed)
-    wanted = routed.select("shard", "block", "term").distinct()
-    met = wanted.join(places, ["shard", "term"]).select("shard", "block", "term", "docs", "counts")
-    met = met.union(wanted.select("shard", "block").distinct().join(tables, "shard").select("shard", "block", "term", "docs", "counts"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asking = routed.toDF("to_shard", "to_block", "query", "term", "idf").repartition(parts, "to_shard", "to_block").groupBy("to_shard", "to_block")
-    met = met.toDF("at_shard", "at_block", "own_term", "docs", "counts").withColumn("is_table", F.col("own_term").isNull())
-    met = met.fillna({"own_term": 0}).repartition(parts, "at_shard", "at_block").groupBy("at_shard", "at_block")
-    found = met.cogroup(asking).applyInPandas(_answer(k, mean), "query long, doc_id long, score double")
+    asked = written(chosen.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t")).select("query", "t.term", "t.idf"))
+    passes = max(1, -(-(asked.agg(F.sum(F.size("term"))).first()[0] or 0) // QUERY_TERMS))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    parts = tables.select(*_PACKED).coalesce(2 * spark.sparkContext.defaultParallelism)  # bounds the rows that come out
+    for p in range(passes):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p).toArrow()  # about QUERY_TERMS words
+        term, weight = (block[c].combine_chunks() for c in ("term", "idf"))
+        edge = np.append(0, np.cumsum(pc.list_value_length(term))).tolist()
+        shared = spark.sparkContext.broadcast((block["query"].to_numpy(), edge, term.flatten().to_numpy(), weight.flatten().to_numpy()))
+        parts.mapInArrow(_answer(k, mean, shared), "query long, doc_id long, score double").write.mode("append").parquet(folder)
+        shared.unpersist()
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = spark.read.schema("query long, doc_id long, score double").parquet(folder).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query", "rank", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "score")
 
 
-def more_like(docs: DataFrame, queries: DataFrame, k: int = 10, most_terms: int = 8) -> DataFrame:
+def more_like(docs: DataFrame, queries: DataFrame, k: int = 10, most_terms: int | None = None) -> DataFrame:
     """search() with documents as queries, over an index of all docs."""
     return search(build_index(docs), query_terms(queries), k, most_terms)

@@ -185,6 +185,67 @@ def test_search_is_exact(spark, docs):
     assert mean and n
 
 
+def bm25(texts, query, k=10):
+    """The k best (score, doc_id) of (doc_id, text) by all distinct words of a text."""
+    words = [(i, Counter(re.findall(WORD, (t or "").lower()))) for i, t in texts]
+    df = Counter(w for _, c in words for w in c)
+    n, mean = len(words), sum(sum(c.values()) for _, c in words) / len(words)
+    scores, asked = [], set(re.findall(WORD, query.lower()))
+    for i, c in words:
+        norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+        score = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w in asked if w in c)
+        scores += [(score, i)] if score else []
+    return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def check_search(found, texts, asked):
+    """Equal scores to 9 digits may stand in another order, as sums are added in another one."""
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got[r["query"]].append(r)
+    for q, text in asked:
+        want = bm25(texts, text, len(texts))
+        mine = got.pop(q, [])
+        assert [r["rank"] for r in mine] == list(range(1, min(10, len(want)) + 1))
+        assert np.allclose([r["score"] for r in mine], [s for s, _ in want[:10]], rtol=1e-9)
+        assert len({r["doc_id"] for r in mine}) == len(mine)
+        by = {d: s for s, d in want}
+        assert all(abs(by[r["doc_id"]] - r["score"]) < 1e-7 for r in mine)
+    assert not got
+
+
+def test_search_takes_all_words(spark, docs):
+    check_search(rows(queries.QUERIES["op3_block_max_wand"](spark, SMALL)), docs, [(i, t) for i, t in docs if i % 20 == 0])
+
+
+def test_search_finds_rare_words_over_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 500)) for k in range(400)] + [(400, "lone words here"), (401, "other single")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(900, "lone"), (901, "w1 w2 lone"), (902, "unheard"), *texts[:30], texts[400]]
+    shared = search.build_index(frame.repartition(7))
+    monkeypatch.setattr(search, "QUERY_TERMS", 300)
+    check_search(rows(search.search(shared, search.query_terms(spark.createDataFrame(asked, "doc_id long, text string")), 10)), texts, asked)
+
+
+def test_blocks_equal_all_scores():
+    rng = np.random.default_rng(9)
+    ids, lengths, n = np.arange(3000), rng.integers(20, 90, 3000), 40
+    lists = [np.sort(rng.choice(3000, rng.integers(1, 300), replace=False)) for _ in range(n)]
+    lists[0] = np.arange(640, 660)
+    counts = [rng.integers(1, 4, len(x)) for x in lists]
+    row = {"ids": ids, "lengths": lengths.astype(np.int32), "terms": np.arange(n), "ends": np.cumsum([len(x) for x in lists]).astype(np.int32)}
+    row |= {"docs": np.concatenate(lists).astype(np.uint16), "counts": np.concatenate(counts).astype(np.uint16)}
+    shard, idf = search.Shard(row, 50.0), rng.random(n) * np.where(np.arange(n) == 0, 90, 1)
+    scores = np.zeros(3000)
+    for x, c, w in zip(lists, counts, idf, strict=True):
+        scores[x] += w * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * lengths[x] / 50))
+    for limit in (0.0, np.sort(scores)[-10], np.sort(scores)[-25], scores.max(), scores.max() + 1):
+        s, d = shard.best(np.arange(n), idf, 10, limit)
+        top = set(np.flatnonzero(scores >= max(limit - 1e-9, np.sort(scores)[-10] if limit == 0 else 0)).tolist())
+        assert set(d.tolist()) == top and np.allclose(s, scores[d])
+
+
 def test_wand_equals_all_scores():
     rng = np.random.default_rng(5)
     for _ in range(60):
