@@ -4,7 +4,7 @@ Tokenizing runs inside the scan and only piece lengths go on. Pieces that fill a
 packing. The others are dealt over groups of bounded size, and a group is packed in one task: each
 piece, largest first, goes where the sum over all gaps of (open sequences with that gap)^2 becomes
 smallest. Sequences that a group leaves short go through further rounds with others, so each round
-leaves about one share of a group.
+leaves about one share of a group. Pieces that cannot fill sequences stay as a round has packed them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from inkframe.session import cut
 LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
+#: A round that leaves more than this share of its pieces in short sequences is the last one.
+STALLED = 0.9
 #: Distinct words whose ids a worker keeps; the newer half goes when it is reached.
 KEPT_WORDS = 600_000
 #: Stands between words that are tokenized together; a character that is one id by itself.
@@ -162,9 +164,10 @@ def pack(rows: DataFrame, length: int = LENGTH, group: int = GROUP_PIECES) -> Da
         groups = max(1, -(-n // group))
         key = F.pmod(F.xxhash64("__row", F.lit(round_)), F.lit(groups)).cast("int")
         packed = cut(left.withColumn("__g", key).groupBy("__g").applyInPandas(_packer(length, round_), "__row long, length long, sequence_id long, offset long, used long"))
-        last = groups == 1
+        short = packed.where(F.col("used") < length)
+        last = groups == 1 or short.count() > STALLED * n
         done.append(packed.where(F.lit(last) | (F.col("used") == length)).select("__row", "sequence_id", "offset"))
-        left = packed.where(F.col("used") < length).select("__row", "length")
+        left = short.select("__row", "length")
         round_ += 1
         if last:
             break

@@ -400,6 +400,21 @@ def test_packing_in_rounds(spark):
     assert sorted(r["length"] for r in found) == sorted(sizes) and len({r["sequence_id"] for r in found}) <= 1.02 * sum(sizes) / 1000 + 1
 
 
+@pytest.mark.parametrize("sizes", [[600] * 900, [600] * 800 + [51] * 30 + [400] * 20, [501 + k % 400 for k in range(900)]])
+def test_packing_ends_when_nothing_fills(spark, sizes, monkeypatch):
+    made, cut = [], packing.cut
+
+    def counted(df):
+        made.append(1)
+        assert len(made) < 30, "rounds do not end"
+        return cut(df)
+
+    monkeypatch.setattr(packing, "cut", counted)
+    found = rows(packing.pack(spark.createDataFrame([(s,) for s in sizes], "length long"), 1000, group=200))
+    check_sequences(found, 1000)
+    assert sorted(r["length"] for r in found) == sorted(sizes) and len({r["sequence_id"] for r in found}) <= sum(s > 500 for s in sizes)
+
+
 def test_packing_odd(odd, empty):
     got = rows(packing.pack_documents(odd, queries.tokenizer_path(), 64))
     check_sequences(got, 64)
