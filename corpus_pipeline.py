@@ -23,16 +23,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, the one with the smallest doc_id (operator 1).
+    """Keeps one row of each class of near duplicates (operator 1), that with the smallest doc_id.
 
-    Repeated rows of that doc_id keep one row; of a class without doc_ids one row stays.
+    Rows of one doc_id with different texts belong to the classes of their texts, and so do rows without
+    doc_id, which stand for a class only if none of its rows has one.
     """
-    classes = near_dups.near_duplicates(docs)
-    name = fresh(docs, "kept_id")
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(name)).distinct()
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return known.unionByName(nameless)
+    row, key = fresh(docs, "text_digest"), fresh(docs, "own_id")
+    kept_id, kept_digest = fresh(docs, "kept_id"), fresh(docs, "kept_digest")
+    kept = near_dups.representatives(docs).toDF(kept_id, kept_digest)
+    named = docs.withColumns({row: near_dups.text_digest(F.col("text")), key: F.col("doc_id").cast("long")})
+    one = named.join(kept, F.col(key).eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_digest)), "left_semi")
+    return one.dropDuplicates([key, row]).drop(key, row)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

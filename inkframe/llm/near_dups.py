@@ -87,7 +87,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
-    """node (digest of the words), doc_id and the keys of the bands; texts without words have no bands."""
+    """node (digest of the words), doc_id, digest of the text and the keys of the bands; texts without words have no bands."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +100,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
                 mass = np.bincount(rows, weights=weights, minlength=hi - lo).astype(np.float64)  # integers if there are no words
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((mass > 0) * BANDS)]).astype(np.int32), keys[mass > 0].reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), lists, pa.array(mass)],
-                    names=["node", "doc_id", "bands", "mass"],
+                    [pa.array(digests, type=pa.binary()), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), lists, pa.array(mass)],
+                    names=["node", "doc_id", "digest", "bands", "mass"],
                 )
 
-    return _own(docs).mapInArrow(run, f"{_BASE}, bands array<long>, mass double")
+    return _own(docs).withColumn("digest", text_digest(F.col("text"))).mapInArrow(run, f"{_BASE}, digest binary, bands array<long>, mass double")
 
 
 def consistent_samples(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, which: range, draws) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -201,6 +201,11 @@ def _alike() -> Column:
     return SKETCH - differ
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id for every row: class_id is the smallest doc_id of the class.
 
@@ -208,6 +213,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     than five words have one shingle. Rows without doc_id belong to the class of their text; a class
     of such rows only has class_id null. Repeated rows stay rows. An empty table gives no rows.
     """
+    own = cut(labelled(docs, threshold))
+    least = cut(own.groupBy("component").agg(F.min("doc_id").alias("class_id")))
+    return own.join(least, "component").select("doc_id", "class_id")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, digest (of the text) of one row of each class: the smallest doc_id, null only if no row has one;
+    of its texts the smallest digest."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    return labelled(docs, threshold).groupBy("component").agg(first.alias("r")).select("r.doc_id", "r.digest")
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, digest (of the text), component (names the class) for every row."""
     idf = document_frequencies(docs)
     rows = cut(signatures(docs, idf))
     facts = ["mass", *_SKETCH]
@@ -244,6 +263,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not found.isEmpty():
             label = cut(connected_components(wanted.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"))
         centres = min(16 * centres, MOST_CENTRES)
-    own = cut(rows.select("node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least = cut(own.groupBy("component").agg(F.min("doc_id").alias("class_id")))
-    return own.join(least, "component").select("doc_id", "class_id")
+    return rows.select("node", "doc_id", "digest").join(label, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))

@@ -42,3 +42,22 @@ def test_odd(spark):
             now = stage(spark, now, SMALL).cache()
             assert name == "packing" or now.columns == docs.columns
             assert (now.count() > 0) == (table is docs)
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    passage = [" ".join(f"{w}{i}" for i in range(200)) for w in "abcd"]
+    near = [p.replace("100", "new") for p in passage]
+    table = [
+        (10, "a" * 300), (10, "b" * 250),  # one id, two classes
+        (3, passage[0]), (20, near[0]), (20, passage[1]),  # the unique text stays under an id that is a near copy elsewhere
+        (None, passage[2]), (None, near[2]), (None, passage[2]),  # a class without ids
+        (7, passage[3]), (None, near[3]), (None, passage[3]), (7, passage[3]),  # nameless copies of a named original
+        (30, None), (None, ""), (30, "  "), (31, "."),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r["doc_id"], r["text"]) for r in rows(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL)))
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 1 and nameless[0] in (passage[2], near[2])
+    empty = [t for i, t in kept if i == 30]
+    assert len(empty) == 1 and empty[0] in (None, "  ")
+    assert kept == Counter([(10, "a" * 300), (10, "b" * 250), (3, passage[0]), (20, passage[1]), (None, nameless[0]), (7, passage[3]), (30, empty[0])])
