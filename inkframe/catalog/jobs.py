@@ -346,8 +346,7 @@ def j18(t):
     """No SQL twin; guides that claim a frame on every page."""
     runs, sizes = R.to_runs(B.pixels(t), 150), B.page_sizes(t)
     f = sizes.select("page_id", F.lit(True).alias("has_outer_frame"), *[F.lit(0.0).alias(f"inset_{s}") for s in ("top", "right", "bottom", "left")], F.lit(3.0).alias("thickness_px"))
-    none = rects6(t).where("w > 1000")
-    return T.synth_frame(f, none, runs, sizes)
+    return T.synth_frame(f, rects6(t), runs, sizes)
 
 
 @query("q25_merge_layout")
@@ -376,17 +375,17 @@ def q2(t):
 
 @query("r15_normalize_glyph")
 def r15(t):
-    """No SQL twin; ink of each normalised bitmap (16 x 16 here)."""
-    n = G.normalize_glyph(small_boxes(t), B.runs(t), B.page_sizes(t), size=16)
+    """No SQL twin; ink of each normalised bitmap (64 x 64)."""
+    n = G.normalize_glyph(small_boxes(t), B.runs(t), B.page_sizes(t), size=64)
     return n.groupBy("glyph_id").agg(F.count(F.lit(1)).alias("ink"))
 
 
 @query("q7_match_score")
 def q7(t):
-    """No SQL twin; each box against the next one (16 x 16 bitmaps)."""
-    n = cut(G.normalize_glyph(small_boxes(t), B.runs(t), B.page_sizes(t), size=16).withColumnRenamed("glyph_id", "id"))
+    """No SQL twin; each box against the next one (64 x 64 bitmaps)."""
+    n = cut(G.normalize_glyph(small_boxes(t), B.runs(t), B.page_sizes(t), size=64).withColumnRenamed("glyph_id", "id"))
     pairs = n.select(F.col("id").alias("a_id")).distinct().withColumn("b_id", F.col("a_id") + 1)
-    return G.match_score(pairs, n, n, 16)
+    return G.match_score(pairs, n, n, 64)
 
 
 @query("q24_resolve_page_votes")
