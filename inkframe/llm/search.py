@@ -52,7 +52,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """(shard, term, n, words, ids, lengths, terms, ends, docs, counts). A row with a term has only its n
     documents. Row term null of a shard: ids (int64) and lengths (int32) of its n documents, how many words
     they have, its terms (int64) in order, where the postings of each end (int32), and of all postings the
-    documents' places (uint16) and counts (uint16, at most 65,535), each as bytes.
+    documents' places (uint16) and counts (uint32), each as bytes.
 
     Documents without words are listed and match nothing; a shard orders its documents by id.
     """
@@ -85,7 +85,7 @@ def _shard(shard: int, held: list) -> Iterator[pa.RecordBatch]:
     place[order] = np.arange(len(ids))
     terms = terms.view(np.int64)
     by = np.lexsort((place[rows], terms))
-    terms, docs, counts = terms[by], place[rows][by], np.minimum(counts[by], 65_535).astype(np.uint16)
+    terms, docs, counts = terms[by], place[rows][by], counts[by].astype(np.uint32)
     edge = np.append(np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, dtype=np.int64), len(terms))
     known, m = terms[edge[:-1]], len(edge) - 1
     names = ["shard", "term", "n", "words", *_PACKED]
@@ -190,7 +190,7 @@ class Shard:
 
     def __init__(self, row: dict, mean: float):
         self.ids, lengths = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["lengths"], dtype=np.int32)
-        self.terms, counts = np.frombuffer(row["terms"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint16).astype(float)
+        self.terms, counts = np.frombuffer(row["terms"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint32).astype(float)
         self.edge = np.append(0, np.frombuffer(row["ends"], dtype=np.int32)).astype(np.int64)
         self.docs = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int64)
         self.shares = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.docs] / mean))

@@ -228,6 +228,12 @@ def test_search_finds_rare_words_over_shards(spark, monkeypatch):
     check_search(rows(search.search(shared, search.query_terms(spark.createDataFrame(asked, "doc_id long, text string")), 10)), texts, asked)
 
 
+def test_search_counts_beyond_two_bytes(spark):
+    texts = [(0, "often " * 70_000 + "rare"), (1, "often rare"), (2, "other words")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    check_search(rows(search.more_like(frame, frame)), texts, texts)
+
+
 def test_blocks_equal_all_scores():
     rng = np.random.default_rng(9)
     ids, lengths, n = np.arange(3000), rng.integers(20, 90, 3000), 40
@@ -235,7 +241,7 @@ def test_blocks_equal_all_scores():
     lists[0] = np.arange(640, 660)
     counts = [rng.integers(1, 4, len(x)) for x in lists]
     row = {"ids": ids, "lengths": lengths.astype(np.int32), "terms": np.arange(n), "ends": np.cumsum([len(x) for x in lists]).astype(np.int32)}
-    row |= {"docs": np.concatenate(lists).astype(np.uint16), "counts": np.concatenate(counts).astype(np.uint16)}
+    row |= {"docs": np.concatenate(lists).astype(np.uint16), "counts": np.concatenate(counts).astype(np.uint32)}
     shard, idf = search.Shard(row, 50.0), rng.random(n) * np.where(np.arange(n) == 0, 90, 1)
     scores = np.zeros(3000)
     for x, c, w in zip(lists, counts, idf, strict=True):
