@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality, repeats, search
+from inkframe.llm import fingerprints, kd_shards, language_ratio, licenses, mixing, near_dups, packing, pii, quality, repeats, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+CRC_TABLE = (
+    "(SELECT list(c ORDER BY i) AS l FROM (WITH RECURSIVE tb(k, i, c) AS (SELECT 0, i, i FROM range(256) r(i) UNION ALL "
+    "SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM tb WHERE k < 8) SELECT i, c FROM tb WHERE k = 8))"
+)
+
+
 def _kd_sql(shards: int = 40) -> str:
     code = lambda c: f"coalesce(('0x' || rpad(substr(hex({c}), 1, 14), 14, '0'))::BIGINT, -1)"
     parts = [
@@ -33,12 +39,8 @@ def _kd_sql(shards: int = 40) -> str:
         f"{code('source')} AS d1, {code('lang')} AS d2, coalesce(doc_id, -1) AS d3, 0 AS nd, {shards} AS m FROM documents)",
         "whole AS (SELECT " + ", ".join(f"greatest(1, max({d}) - min({d})) AS g{k}" for k, d in enumerate(("size", "d1", "d2", "d3"))) + " FROM r0)",
     ]
-    crc = (
-        "(SELECT list(c ORDER BY i) AS l FROM (WITH RECURSIVE tb(k, i, c) AS (SELECT 0, i, i FROM range(256) r(i) UNION ALL "
-        "SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM tb WHERE k < 8) SELECT i, c FROM tb WHERE k = 8))"
-    )
     parts += [
-        f"tab AS {crc}",
+        f"tab AS {CRC_TABLE}",
         "hx AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents)",
         "sums AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), "
         "lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM hx, tab)",
@@ -129,3 +131,45 @@ def op9_maximal_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op3_block_max_wand(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return search.more_like(docs, docs.where("doc_id % 20 = 0"))
+
+
+RATIO_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+wd AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, a, b, c, e) AS n FROM (
+  SELECT r, i, x, lead(x) OVER o AS a, lead(x, 2) OVER o AS b, lead(x, 3) OVER o AS c, lead(x, 4) OVER o AS e FROM wd WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE e IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM win, range(5) g(j) WHERE n > 1 GROUP BY r),
+b AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d JOIN ln USING (r) LEFT JOIN rep USING (r)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+tab AS {CRC_TABLE},
+strings AS (SELECT x FROM wd UNION SELECT substr(x, 1, 4) FROM wd),
+crc AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(x)) // 2),
+  lambda i: ('0x' || substr(hex(x), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS c FROM strings, tab),
+cells AS (
+  SELECT r, unnest([c1 & 1048575, (c2 * 7) & 1048575, (before * 31 + c1) & 1048575]) AS cell FROM (
+    SELECT r, f.c AS c1, g.c AS c2, lag(f.c) OVER (PARTITION BY r ORDER BY i) AS before FROM wd JOIN crc f USING (x) JOIN crc g ON g.x = substr(wd.x, 1, 4))),
+one AS (SELECT doc_id, min((quality = 1 AND coalesce(toxic, 0) = 0)::INT) AS clean FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT doc_id, clean, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS fit FROM one ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 40000),
+n AS (SELECT cell, count(*) AS raw, count(lab.doc_id) AS trusted FROM (SELECT DISTINCT r, cell FROM cells WHERE cell IS NOT NULL) JOIN d USING (r)
+  LEFT JOIN lab ON d.doc_id = lab.doc_id AND fit AND clean = 1 GROUP BY cell),
+shares AS (SELECT cell, trusted + 1.0::DOUBLE AS had, raw * ((sum(trusted) OVER ())::DOUBLE / sum(raw) OVER ()) + 1.0::DOUBLE AS expected FROM n),
+ratios AS (SELECT cell, round(sign(ln(had / expected)) * greatest(0, abs(ln(had / expected)) - 0.5::DOUBLE - 3.0::DOUBLE * sqrt(1 / had + 1 / expected)) * 1000000)::BIGINT AS weight FROM shares),
+s AS (SELECT r, sum(weight)::BIGINT::DOUBLE / count(*) / 1000000 AS log_ratio FROM cells JOIN ratios USING (cell) GROUP BY r),
+scored AS (SELECT base.*, coalesce(log_ratio, 0.0::DOUBLE) AS log_ratio FROM base LEFT JOIN s USING (r)),
+held AS (SELECT doc_id, clean, min(log_ratio) AS log_ratio FROM scored JOIN lab USING (doc_id) WHERE NOT fit AND NOT base_failed GROUP BY ALL),
+per AS (SELECT log_ratio, sum(clean) AS good, sum(1 - clean) AS bad FROM held GROUP BY log_ratio),
+gains AS (SELECT (coalesce(lag(log_ratio) OVER (ORDER BY log_ratio), log_ratio) + log_ratio) / 2 AS cut, sum(good) OVER () AS goods, sum(bad) OVER () AS bads,
+  coalesce(sum(bad) OVER p, 0)::DOUBLE / sum(bad) OVER () - 4.0::DOUBLE * (coalesce(sum(good) OVER p, 0)::DOUBLE / sum(good) OVER ()) AS gain
+  FROM per WINDOW p AS (ORDER BY log_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT cut FROM gains WHERE goods > 0 AND bads > 0 ORDER BY round(gain, 9) DESC, cut LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio,
+  NOT base_failed AND log_ratio >= coalesce((SELECT cut FROM best), -1e300) AS kept FROM scored
+"""
+
+
+@query("op12_likelihood_ratio_rules", RATIO_SQL)
+def op12_likelihood_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return language_ratio.report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))

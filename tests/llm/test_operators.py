@@ -54,7 +54,8 @@ def shingles(text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     res = con.execute(queries.ORACLES[name])
     cols = [d[0] for d in res.description]
     key = lambda r: tuple((x is None, str(x)) for x in r)
