@@ -148,16 +148,14 @@ tab AS {CRC_TABLE},
 strings AS (SELECT x FROM wd UNION SELECT substr(x, 1, 4) FROM wd),
 crc AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(x)) // 2),
   lambda i: ('0x' || substr(hex(x), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS c FROM strings, tab),
-cells AS (
-  SELECT r, unnest([c1 & 1048575, (c2 * 7) & 1048575, (before * 31 + c1) & 1048575]) AS cell FROM (
-    SELECT r, f.c AS c1, g.c AS c2, lag(f.c) OVER (PARTITION BY r ORDER BY i) AS before FROM wd JOIN crc f USING (x) JOIN crc g ON g.x = substr(wd.x, 1, 4))),
+grams AS (SELECT r, 0 AS kind, c, c & 1048575 AS cell FROM wd JOIN crc USING (x) UNION ALL SELECT r, 1, c, (c * 7) & 1048575 FROM wd JOIN crc ON crc.x = substr(wd.x, 1, 4)),
 one AS (SELECT doc_id, min((quality = 1 AND coalesce(toxic, 0) = 0)::INT) AS clean FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT doc_id, clean, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS fit FROM one ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 40000),
-n AS (SELECT cell, count(*) AS raw, count(lab.doc_id) AS trusted FROM (SELECT DISTINCT r, cell FROM cells WHERE cell IS NOT NULL) JOIN d USING (r)
+n AS (SELECT cell, count(*) AS raw, count(lab.doc_id) AS trusted FROM (SELECT DISTINCT * FROM grams) JOIN d USING (r)
   LEFT JOIN lab ON d.doc_id = lab.doc_id AND fit AND clean = 1 GROUP BY cell),
 shares AS (SELECT cell, trusted + 1.0::DOUBLE AS had, raw * ((sum(trusted) OVER ())::DOUBLE / sum(raw) OVER ()) + 1.0::DOUBLE AS expected FROM n),
 ratios AS (SELECT cell, round(sign(ln(had / expected)) * greatest(0, abs(ln(had / expected)) - 0.5::DOUBLE - 3.0::DOUBLE * sqrt(1 / had + 1 / expected)) * 1000000)::BIGINT AS weight FROM shares),
-s AS (SELECT r, sum(weight)::BIGINT::DOUBLE / count(*) / 1000000 AS log_ratio FROM cells JOIN ratios USING (cell) GROUP BY r),
+s AS (SELECT r, sum(weight)::BIGINT::DOUBLE / count(*) / 1000000 AS log_ratio FROM grams JOIN ratios USING (cell) GROUP BY r),
 scored AS (SELECT base.*, coalesce(log_ratio, 0.0::DOUBLE) AS log_ratio FROM base LEFT JOIN s USING (r)),
 held AS (SELECT doc_id, clean, min(log_ratio) AS log_ratio FROM scored JOIN lab USING (doc_id) WHERE NOT fit AND NOT base_failed GROUP BY ALL),
 per AS (SELECT log_ratio, sum(clean) AS good, sum(1 - clean) AS bad FROM held GROUP BY log_ratio),
