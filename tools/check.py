@@ -62,7 +62,7 @@ def main(argv):
             t2 = time.time()
             if sorted(cols) != sorted(ocols):
                 raise AssertionError(f"columns {sorted(cols)} vs {sorted(ocols)}")
-            want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+            want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "int": "INTEGER"}
             odd = {c: (types[c], otypes[c]) for c in cols if want.get(types[c], types[c]) != otypes[c]}
             perm = sorted(range(len(cols)), key=lambda i: cols[i])
             operm = sorted(range(len(ocols)), key=lambda i: ocols[i])
