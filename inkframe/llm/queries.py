@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import fingerprints, hard_negatives, kd_shards, language_ratio, licenses, mixing, near_dups, packing, pii, quality, repeats, search
+from inkframe.llm import alignment, fingerprints, hard_negatives, kd_shards, language_ratio, licenses, mixing, near_dups, packing, pii, quality, repeats, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,8 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
 @query("op13_cover_tree_negatives", NEGATIVES_SQL)
 def op13_cover_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op11_fragment_alignment")
+def op11_fragment_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))

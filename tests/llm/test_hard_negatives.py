@@ -99,4 +99,4 @@ def test_search_reads_few_rows_of_clustered_data():
     score, vec_id, _ = descent.best(H.NONE, 10, -np.inf, np.inf, 0, True, 0)
     want = sorted((-float(x[i] @ x[0]), i) for i in range(1, len(x)))[:10]
     assert list(zip(-score, vec_id, strict=True)) == want
-    assert sum(len(n) for n, _, _ in descent.bounds.values()) < 1000
+    assert sum(len(n) for n, _, _ in descent.bounds.values()) < len(x) / 2
