@@ -36,10 +36,13 @@ FAN = 8
 #: Bytes of text whose documents form a batch.
 BATCH_BYTES = 4_000_000
 #: Bytes of distinct pieces that a task keeps.
-KEPT_BYTES = 8_000_000
+KEPT_BYTES = 2_000_000
+#: Distinct pieces that one call of a tokenizer takes.
+PIECES = 500
 #: An id pair is first id << PAIR_BITS | second id.
 PAIR_BITS = 15
 _WHITE, _BLACK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+_ENDS_WHITE = re.compile(rf"{_WHITE}\Z")
 PIECE = re.compile(rf"[ \n]?{_WHITE}*{_BLACK}+(?:(?![ \n]){_WHITE}+{_BLACK}+)*(?:{_WHITE}+\Z)?|{_WHITE}+\Z")
 
 
@@ -105,6 +108,33 @@ def fragment(tokens: Tokens, begins: bool) -> Fragment:
     return Fragment(part((0, 0), edges[0]), True, tuple(g for g, _ in groups), tuple(p for _, own in groups for p in own), part(edges[-1], (None, None)))
 
 
+_DIGITS = np.zeros((1 << 16, 6), dtype=np.uint8)
+_DIGITS[:, :5] = np.array([list(b"%-5d" % i) for i in range(1 << 16)], dtype=np.uint8)
+_WIDTH = np.array([len(str(i)) for i in range(1 << 16)])
+
+
+def aligned_pieces(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(text of the groups, n_a n_b n_groups, pairs, first pair) of each piece, all pieces at once; ends are the bytes at
+    which tokens and pieces end. Each stretch between neighbouring ends is where one pair of tokens overlaps."""
+    joint = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    of_a, of_b = np.searchsorted(joint, a_ends), np.searchsorted(joint, b_ends)
+    place_a = np.arange(len(a)) + np.searchsorted(of_b, of_a)
+    place_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")
+    ids, marks = np.zeros(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+    ids[place_a], ids[place_b] = a, b
+    marks[place_a[np.diff(of_a, append=-1) != 0]], marks[place_b[np.diff(of_b, append=-1) != 0]] = ord("|"), ord(";")
+    letters, width = _DIGITS[ids], _WIDTH[ids]
+    letters[np.arange(len(ids)), width] = marks
+    raw = letters[np.arange(6) <= width[:, None]].tobytes()
+    n_a, n_b, n_groups = (np.searchsorted(x, ends, side="right") for x in (a_ends, b_ends, joint))
+    at = np.append(0, np.cumsum(width + 1))[n_a + n_b].tolist()
+    texts = [raw[lo : hi - 1] for lo, hi in zip([0, *at[:-1]], at, strict=True)]
+    stretches = np.union1d(a_ends, b_ends)
+    pairs = a[np.searchsorted(a_ends, stretches)] << PAIR_BITS | b[np.searchsorted(b_ends, stretches)]
+    sizes = np.diff(np.array([n_a, n_b, n_groups]), axis=1, prepend=0)
+    return texts, sizes, pairs, np.searchsorted(stretches, ends, side="right")
+
+
 class Aligner:
     """Both tokenizers with the pieces that a task has met."""
 
@@ -116,42 +146,63 @@ class Aligner:
         self.first = Tokenizer.from_file(byte_bpe)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
-        self.a_size = {i: len(t) for t, i in self.first.get_vocab().items()}  # a character of a byte-level token is a byte
+        vocabulary = self.first.get_vocab()
+        self.a_size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.a_size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a byte-level token is a byte
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.second.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.b_size = np.array([len(x) for x in self.b_bytes])
         self.blank = self.second.piece_to_id("▁")
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.kept, self.groups, self.pairs, self.sizes = 0, [], [], []
-        self.flat, self.edge, self.table = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((4, 0), dtype=np.int64)
-
-    def tokens(self, pieces: list[str]) -> Iterator[Tokens | None]:
-        """Tokens of each piece; None where the second side's bytes are others."""
-        first = [e.ids for e in self.first.encode_batch_fast(pieces, add_special_tokens=False)]
-        second = self.second.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)  # it puts a blank before
-        for piece, a, b in zip(pieces, first, second, strict=True):
-            raw = piece.encode()
-            if piece[0] != " ":
-                b = b[1:] if b[:1] == [self.blank] else [0]
-            parts = [self.b_bytes[x] for x in b]
-            a_ends = np.cumsum([self.a_size[x] for x in a]).tolist()
-            yield Tokens(tuple(a), tuple(a_ends), tuple(b), tuple(np.cumsum([len(p) for p in parts]).tolist())) if b"".join(parts) == raw and a_ends[-1] == len(raw) else None
+        self.groups: list[bytes | None] = []
+        self.kept, self.flat, self.edge, self.table = 0, np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros((3, 0), dtype=np.int64)
+
+    def both(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for a text that begins with a blank or line feed; None where their bytes differ."""
+        a, b = self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.second.encode(text[text[0] == " " :])  # it puts a blank before
+        if text[0] != " ":
+            if b[:1] != [self.blank]:
+                return None
+            b = b[1:]
+        return (a, b) if b"".join([self.b_bytes[x] for x in b]) == text.encode() else None
+
+    def tokens(self, piece: str) -> Tokens | None:
+        ids = self.both(piece)
+        return ids and Tokens(tuple(ids[0]), tuple(np.cumsum(self.a_size[ids[0]]).tolist()), tuple(ids[1]), tuple(np.cumsum(self.b_size[ids[1]]).tolist()))
 
     def learn(self, pieces: set[str]) -> None:
+        """Tokenizes new pieces, many in one text; those that end in white space, and those of a text whose bytes differ, alone."""
         new = [p for p in pieces if p not in self.place]
-        for lo in range(0, len(new), 1000):
-            for piece, found in zip(new[lo : lo + 1000], self.tokens(new[lo : lo + 1000]), strict=True):
-                whole = fragment(found, True) if found else None
-                self.place[piece] = len(self.groups)
-                self.kept += len(piece)
-                self.groups.append(b";".join(whole.groups) if whole else None)
-                self.pairs.append(np.array(whole.pairs if whole else (), dtype=np.int64))
-                self.sizes.append((len(found.a), len(found.b), len(whole.groups), 1) if whole else (0, 0, 0, 0))
-        if new:
-            self.flat, self.table = np.concatenate(self.pairs), np.array(self.sizes, dtype=np.int64).T
-            self.edge = np.append(0, np.cumsum([len(p) for p in self.pairs]))
+        if not new:
+            return
+        plain = [p for p in new if not _ENDS_WHITE.search(p)]
+        jobs = [plain[lo : lo + PIECES] for lo in range(0, len(plain), PIECES)] + [[p] for p in new if _ENDS_WHITE.search(p)]
+        good, bad, a, b = [], [], [], []
+        while jobs:
+            job = jobs.pop()
+            ids = self.both("".join(job))
+            if ids:
+                good += job
+                a.append(np.array(ids[0], dtype=np.int64))
+                b.append(np.array(ids[1], dtype=np.int64))
+            elif len(job) > 1:
+                jobs += [[p] for p in job]
+            else:
+                bad += job
+        start = len(self.groups)
+        if good:
+            a, b = np.concatenate(a), np.concatenate(b)
+            ends = np.cumsum([len(p.encode()) for p in good])
+            texts, sizes, pairs, last = aligned_pieces(a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b]), ends)
+            self.groups += texts
+            self.table, self.edge, self.flat = np.hstack([self.table, sizes]), np.append(self.edge, self.edge[-1] + last), np.append(self.flat, pairs)
+        self.groups += [None] * len(bad)
+        self.table, self.edge = np.hstack([self.table, np.zeros((3, len(bad)), dtype=np.int64)]), np.append(self.edge, np.full(len(bad), self.edge[-1]))
+        self.place.update(zip(good + bad, range(start, len(self.groups)), strict=True))
+        self.kept += sum(map(len, new))
 
     def places(self, texts: list[str | None]) -> list[list[int]]:
         """The pieces of a blank and each text; a null or empty text has none."""
@@ -183,9 +234,9 @@ def _aligned_short(byte_bpe: str, piece_bpe: str):
                 places = aligner.places(texts)
                 at, row = np.array([p for own in places for p in own], dtype=np.int64), np.repeat(np.arange(len(texts)), [len(p) for p in places])
                 bad = np.zeros(len(texts), dtype=bool)
-                bad[row[aligner.table[3][at] == 0]] = True
+                bad[row[aligner.table[0][at] == 0]] = True
                 at, row = at[~bad[row]], row[~bad[row]]
-                sizes = np.array([np.bincount(row, weights=c[at], minlength=len(texts)) for c in aligner.table[:3]])
+                sizes = np.array([np.bincount(row, weights=c[at], minlength=len(texts)) for c in aligner.table])
                 whole = [not b and bool(own) for b, own in zip(bad, places, strict=True)]
                 digests = [hashlib.sha256(b";".join(map(aligner.groups.__getitem__, own))).hexdigest() if w else "" for w, own in zip(whole, places, strict=True)]
                 held = aligner.edge[at + 1] - aligner.edge[at]
@@ -244,7 +295,7 @@ def range_fragment(aligner: Aligner, begin: int, lo: int, hi: int, part: str) ->
             inner.append(k)
             n += aligner.table[:2, k]
         else:  # a border inside a piece
-            whole = next(aligner.tokens([piece]))
+            whole = aligner.tokens(piece)
             own = Tokens(whole.a, tuple(x + at for x in whole.a_ends), whole.b, tuple(x + at for x in whole.b_ends)).slice(lo, hi)
             n += len(own.a), len(own.b)
             if at < lo:
@@ -253,7 +304,7 @@ def range_fragment(aligner: Aligner, begin: int, lo: int, hi: int, part: str) ->
                 after = fragment(own, True)
         at = end
     if inner:
-        before += Fragment(Tokens(), True, tuple(aligner.groups[k] for k in inner), tuple(p for k in inner for p in aligner.pairs[k].tolist()), Tokens())
+        before += Fragment(Tokens(), True, tuple(aligner.groups[k] for k in inner), tuple(np.concatenate([aligner.flat[aligner.edge[k] : aligner.edge[k + 1]] for k in inner]).tolist()), Tokens())
     return before + after, sound, *n.tolist()
 
 
