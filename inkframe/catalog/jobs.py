@@ -231,7 +231,7 @@ def r19(t):
 def r20(t):
     """No SQL twin; checked on a drawn page."""
     runs, sizes = big(t)
-    mask = R.mask_runs(rects6(t).where("kind = 'tag' and w < 22"), sizes)
+    mask = R.mask_runs(rects6(t).where("kind = 'tag'"), sizes)
     return T.detect_lines(runs, mask, sizes, 18, 12)
 
 
@@ -253,7 +253,7 @@ def r22(t):
 def r23(t):
     """No SQL twin; checked on a drawn page."""
     runs, sizes = big(t)
-    return T.detect_artifacts(runs, lines6(t).where("orientation = 'h' and width_px < 2"), char_size=(12, 400))
+    return T.detect_artifacts(runs, lines6(t), char_size=(12, 400))
 
 
 @query("r24_margin_graphics")
@@ -305,7 +305,7 @@ def w21(t):
 def r27(t):
     """No SQL twin (rounds of closest pairs); checked on fixtures."""
     runs = B.runs(t)
-    c = R.components(R.label_runs(runs)).withColumn("box_id", F.xxhash64("page_id", "comp")).where("area >= 3")
+    c = R.components(R.label_runs(runs)).withColumn("box_id", F.xxhash64("page_id", "comp"))
     typ = c.select("page_id").distinct().withColumns({"typical_area": F.lit(60.0), "typical_side": F.lit(8.0)})
     return S.merge_boxes(c.select("page_id", "box_id", "x", "y", "w", "h", "area"), PK, typ, 16.0)
 
@@ -314,8 +314,7 @@ def r27(t):
 def r28(t):
     """No SQL twin: the whole segmentation job."""
     runs, sizes = big(t)
-    ln = lines6(t).where("orientation = 'h' and width_px < 2")
-    return S.segment(cut(runs), sizes, ln, rects6(t).where("kind = 'tag' and w < 21"))
+    return S.segment(cut(runs), sizes, lines6(t), rects6(t).where("kind = 'tag'"))
 
 
 @query("r30_preprocess")
