@@ -39,9 +39,12 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__({b"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = int(self._ids(MARK)[0])
+
+    def forget(self) -> None:
+        self.clear()
         self[b""] = b""
 
     def learn(self, found: set[bytes]) -> None:
@@ -89,7 +92,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own table, which outlives a task."""
+    """The worker's own tokenizer; a task empties the table when it ends, so other stages have the memory."""
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
@@ -104,21 +107,24 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = word_ids(tokenizer)
-        for batch in batches:
-            for lo, hi in T.steps(batch.column(1)):
-                raw, at = T.bytes_of(batch.column(1).slice(lo, hi - lo))
-                split = [raw[at[i] : at[i + 1]].tobytes().split() for i in range(hi - lo)]  # bytes split at ASCII white space only
-                ids.learn(set().union(*split))
-                out = []
-                for key, own_words in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), split, strict=True):
-                    own = ids.of(own_words) + b"\0\0\0\0"
-                    for k, start in enumerate(range(0, len(own), 4 * length)):
-                        part = own[start : start + 4 * length]
-                        out.append((key, k, start // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        try:
+            for batch in batches:
+                for lo, hi in T.steps(batch.column(1)):
+                    raw, at = T.bytes_of(batch.column(1).slice(lo, hi - lo))
+                    split = [raw[at[i] : at[i + 1]].tobytes().split() for i in range(hi - lo)]  # bytes split at ASCII white space only
+                    ids.learn(set().union(*split))
+                    out = []
+                    for key, own_words in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), split, strict=True):
+                        own = ids.of(own_words) + b"\0\0\0\0"
+                        for k, start in enumerate(range(0, len(own), 4 * length)):
+                            part = own[start : start + 4 * length]
+                            out.append((key, k, start // 4, len(part) // 4, zlib.crc32(part)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                        names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    )
+        finally:
+            ids.forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
