@@ -150,7 +150,7 @@ crc AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, l
   lambda i: ('0x' || substr(hex(x), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS c FROM strings, tab),
 grams AS (SELECT r, 0 AS kind, c, c & 1048575 AS cell FROM wd JOIN crc USING (x) UNION ALL SELECT r, 1, c, (c * 7) & 1048575 FROM wd JOIN crc ON crc.x = substr(wd.x, 1, 4)),
 one AS (SELECT doc_id, min((quality = 1 AND coalesce(toxic, 0) = 0)::INT) AS clean FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-lab AS (SELECT doc_id, clean, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS fit FROM one ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 40000),
+lab AS (SELECT doc_id, clean, substr(md5(doc_id::VARCHAR), 32, 1) < '8' AS fit FROM one ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 40000),
 n AS (SELECT cell, count(*) AS raw, count(lab.doc_id) AS trusted FROM (SELECT DISTINCT * FROM grams) JOIN d USING (r)
   LEFT JOIN lab ON d.doc_id = lab.doc_id AND fit AND clean = 1 GROUP BY cell),
 shares AS (SELECT cell, trusted + 1.0::DOUBLE AS had, raw * ((sum(trusted) OVER ())::DOUBLE / sum(raw) OVER ()) + 1.0::DOUBLE AS expected FROM n),
