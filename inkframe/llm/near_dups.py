@@ -9,7 +9,8 @@ Texts with equal words are one node from the start, so groups of exact copies co
 Inside a bucket nothing is paired all with all: some members, first those that are linked already,
 stand as centres for the rest, links are verified, and buckets whose members have become one class
 are done. The others go on with further centres until every pair of classes that meets in a bucket
-has been compared through all its members. Document frequencies are counted over all documents in
+has been compared through all its members. A pair that agrees in several bands is met in the first of
+them only: an entry carries the keys of the bands before its own. Document frequencies are counted over all documents in
 2^IDF_BITS cells (less the mean load of a cell), which bounds what is broadcast.
 """
 
@@ -146,7 +147,10 @@ def sketches(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int,
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, seed: int = 5) -> DataFrame:
-    """node -> sorted shingle hashes, counts and sketch, for nodes(node, doc_id) given by one of their documents."""
+    """node -> sorted shingle hashes, counts and sketch, for nodes(node, doc_id, digest) given by one of their documents.
+
+    Rows without doc_id are first reduced to one row of each text, so that they meet no node but their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +165,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, seed: int =
                 wanted = [a == b for a, b in zip(digests, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), *sets, *sketch], names=["node", "hashes", "counts", *_SKETCH]).filter(pa.array(wanted))
 
-    rep = nodes.select("node", F.col("doc_id").alias("rep"))
-    texts = _own(docs).join(rep, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return texts.mapInArrow(run, f"node binary, hashes array<long>, counts array<int>, {', '.join(f'{c} long' for c in _SKETCH)}").dropDuplicates(["node"])
+    own = _own(docs).withColumn("digest", text_digest(F.col("text")))
+    named = own.where("doc_id is not null").join(nodes, ["doc_id", "digest"]).select("node", "text")
+    nameless = own.where("doc_id is null").join(nodes.where("doc_id is null").select("node", "digest"), "digest")
+    nameless = nameless.groupBy("node").agg(F.any_value("text").alias("text"))
+    return named.union(nameless).mapInArrow(run, f"node binary, hashes array<long>, counts array<int>, {', '.join(f'{c} long' for c in _SKETCH)}").dropDuplicates(["node"])
 
 
 def _similar(threshold: float, idf):
@@ -191,10 +197,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, idf: np.ndarra
 
 
 def _alike() -> Column:
-    """How many bytes of two sketches agree."""
+    """How many bytes of the sketches ``a`` and ``b`` agree."""
     differ = F.lit(0)
     for c in _SKETCH:
-        x = F.col(c).bitwiseXOR(F.col(f"c_{c}"))
+        x = F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))
         for n in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, n))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
@@ -229,14 +235,16 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, digest (of the text), component (names the class) for every row."""
     idf = document_frequencies(docs)
     rows = cut(signatures(docs, idf))
-    facts = ["mass", *_SKETCH]
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("mass").alias("mass"))
-    entries = nodes.select("node", "doc_id", "mass", F.posexplode("bands").alias("band", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    nodes = rows.groupBy("node").agg(first.alias("r"), F.any_value("bands").alias("bands"), F.any_value("mass").alias("mass"))
+    entries = nodes.select("node", "r.doc_id", "r.digest", "mass", "bands", F.posexplode("bands").alias("band", "key"))
+    entries = entries.withColumn("bands", F.slice("bands", F.lit(1), F.col("band")))  # those before the entry's own
     members = nodes.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(entries.join(members.select("band", "key"), ["band", "key"]).withColumn("spent", F.lit(False)))
-    wanted = cut(buckets.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    wanted = cut(buckets.select("node", "doc_id", "digest").distinct())
+    buckets = buckets.drop("digest")
     sets = cut(shingle_sets(docs, wanted, idf))
-    buckets = cut(buckets.join(sets.select("node", *_SKETCH), "node"))
+    looks = cut(sets.select("node", *_SKETCH))
     label = wanted.select("node", F.col("node").alias("component"))
     links, centres = None, 1
     while True:
@@ -250,11 +258,14 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # the next centres: unspent members, those of grown classes first (a row limit that runs before the shuffle)
         order = Window.partitionBy("band", "key").orderBy(F.col("grown").asc_nulls_last(), "doc_id", "node")
         chosen = here.where("not spent").withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres)
-        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), *[F.col(c).alias(f"c_{c}") for c in facts]))
+        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("mass").alias("c_mass"), F.col("bands").alias("c_bands")))
         # of equal mass at best, the smaller text over the larger bounds the similarity
         bound = F.least("mass", "c_mass") >= threshold * F.greatest("mass", "c_mass") - 1e-9
-        met = here.where("not spent").alias("h").join(chosen.alias("c"), (F.col("h.band") == F.col("c.band")) & (F.col("h.key") == F.col("c.key")) & (F.col("component") != F.col("of")) & bound & (_alike() >= SKETCH_LEAST))
+        met_before = F.exists(F.zip_with("bands", "c_bands", lambda x, y: x == y), lambda x: x)
+        met = here.where("not spent").alias("h").join(chosen.alias("c"), (F.col("h.band") == F.col("c.band")) & (F.col("h.key") == F.col("c.key")) & (F.col("component") != F.col("of")) & bound & ~met_before)
         pairs = met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+        near = pairs.join(looks.alias("a"), F.col("src") == F.col("a.node")).join(looks.alias("b"), F.col("dst") == F.col("b.node")).where(_alike() >= SKETCH_LEAST)
+        pairs = near.select("src", "dst")
         found = cut(verified(pairs, sets, threshold, idf))
         used = chosen.select("band", "key", F.col("centre").alias("node"), F.lit(True).alias("now"))
         buckets = here.drop("component", "grown").join(used, ["band", "key", "node"], "left")

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from inkframe.llm import fingerprints, kd_shards, licenses, mixing, near_dups, packing, pii, quality, queries, repeats, search
 from inkframe.llm import select as selecting
@@ -84,6 +86,39 @@ def test_near_duplicate_hot_group(spark):
     assert all(got[k] == 0 for k in range(60)) and all(got[k] == k for k in range(100, 120))
 
 
+def test_near_duplicates_are_the_components_of_all_similar_pairs(spark, docs):
+    """Against all pairs, by the operator's own weights and from its threshold of 0.8."""
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    idf = near_dups.document_frequencies(table)
+    hashes, owner, counts, digests = near_dups.shingle_rows(pa.array([t for _, t in docs], type=pa.string()))
+    weights = counts * idf[(hashes >> np.uint64(64 - near_dups.IDF_BITS)).astype(int)]
+    sets = [dict(zip(hashes[owner == k].tolist(), weights[owner == k].tolist(), strict=True)) for k in range(len(docs))]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = sum(min(w, sets[j][h]) for h, w in sets[i].items() if h in sets[j])
+            if digests[i] == digests[j] or (both and both >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - both) - 1e-9):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(set(root)) < len(docs) - 5
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dups.near_duplicates(table))}
+    assert got == {docs[k][0]: docs[r][0] for k, r in enumerate(root)}
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without doc_id meet their own texts only, and near copies among them are found as well."""
+    words = [[f"t{k}w{i}" for i in range(60)] for k in range(40)]
+    texts = [(None, " ".join(w)) for w in words] * 3 + [(None, " ".join([*w[:-1], "other"])) for w in words[:20]]
+    texts += [(7, " ".join(words[0])), (8, " ".join([*words[1][1:], "end"]))]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dups.labelled(table).join(table.select("text", near_dups.text_digest(F.col("text")).alias("digest")).distinct(), "digest")
+    by: dict = {}
+    for r in rows(got):
+        by.setdefault(r["component"], set()).add(r["text"].split("w")[0])
+    assert len(rows(got)) == len(texts) and len(by) == 40 and all(len(v) == 1 for v in by.values())
+    assert sorted(str(r["class_id"]) for r in rows(near_dups.near_duplicates(table))).count("7") == 5
+
+
 def test_near_duplicates_odd(odd, empty):
     got = rows(near_dups.near_duplicates(odd))
     assert len(got) == len(ROWS)
