@@ -258,14 +258,12 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # the next centres: unspent members, those of grown classes first (a row limit that runs before the shuffle)
         order = Window.partitionBy("band", "key").orderBy(F.col("grown").asc_nulls_last(), "doc_id", "node")
         chosen = here.where("not spent").withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres)
-        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("mass").alias("c_mass"), F.col("bands").alias("c_bands")))
+        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("mass").alias("c_mass"), F.col("bands").alias("c_bands")).join(looks.withColumnRenamed("node", "centre"), "centre"))
         # of equal mass at best, the smaller text over the larger bounds the similarity
         bound = F.least("mass", "c_mass") >= threshold * F.greatest("mass", "c_mass") - 1e-9
         met_before = F.exists(F.zip_with("bands", "c_bands", lambda x, y: x == y), lambda x: x)
-        met = here.where("not spent").alias("h").join(chosen.alias("c"), (F.col("h.band") == F.col("c.band")) & (F.col("h.key") == F.col("c.key")) & (F.col("component") != F.col("of")) & bound & ~met_before)
+        met = here.where("not spent").join(looks, "node").alias("a").join(chosen.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("component") != F.col("of")) & bound & ~met_before & (_alike() >= SKETCH_LEAST))
         pairs = met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
-        near = pairs.join(looks.alias("a"), F.col("src") == F.col("a.node")).join(looks.alias("b"), F.col("dst") == F.col("b.node")).where(_alike() >= SKETCH_LEAST)
-        pairs = near.select("src", "dst")
         found = cut(verified(pairs, sets, threshold, idf))
         used = chosen.select("band", "key", F.col("centre").alias("node"), F.lit(True).alias("now"))
         buckets = here.drop("component", "grown").join(used, ["band", "key", "node"], "left")
