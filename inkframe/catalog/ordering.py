@@ -31,23 +31,46 @@ _KIND = """SELECT page_id, col, count(*) AS col_n, max(cx) - min(cx) AS spread,
    WHEN count(*) = 2 AND max(cy) - min(cy) < any_value(side) * 0.35 AND abs(max(cx) - min(cx) - any_value(side)) < 15 THEN 'rank_label' ELSE 'mixed' END AS col_kind FROM gp GROUP BY 1, 2"""
 
 
-@query("w1_cluster_1d")
+def _successors(value: str, breaks: str, params: str = "CAST(NULL AS DOUBLE) AS tol, CAST(NULL AS DOUBLE) AS span", limit: str = "TRUE") -> dict[str, str]:
+    """Clusters as jumps from each cluster's first place s in the sorted values l to the next one's: the first place j of
+    ``near``, the values from s on within the span, that breaks with the median of those before it."""
+    first = f"list_filter(range(2, len(near) + 1), lambda j: {breaks.format(x='near[j]', median='((near[j // 2] + near[(j + 1) // 2]) / 2)')})[1]"
+    jump = f"""SELECT page_id, l, tol, span, k, s, CASE WHEN {limit} THEN coalesce(s - 1 + {first}, s + len(near)) ELSE len(l) + 1 END
+        FROM (SELECT *, list_filter(l[s:], lambda x: span IS NULL OR x - lo <= span) AS near FROM """
+    return {
+        "sorted": f"SELECT page_id, list_sort(list({value})) AS l, {params} FROM glyph GROUP BY page_id",
+        "jump(page_id, l, tol, span, k, s, e)": f"""{jump}(SELECT *, CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS s, l[1] AS lo FROM sorted))
+        UNION ALL {jump}(SELECT page_id, l, tol, span, k + 1 AS k, e AS s, l[e] AS lo FROM jump WHERE e <= len(l)))""",
+        "cluster": "SELECT page_id, l[s] AS lo, l[e - 1] AS hi, (l[s + (e - s - 1) // 2] + l[s + (e - s) // 2]) / 2 AS center FROM jump",
+    }
+
+
+def _clusters_sql(value: str, name: str, breaks: str, **more: str) -> str:
+    body = f"SELECT glyph_id, lo AS {name}, center AS {name}_center FROM glyph g JOIN cluster c ON g.page_id = c.page_id AND {value} BETWEEN lo AND hi"
+    return with_("glyph", body, **_successors(value, breaks, **more)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "w1_cluster_1d",
+    _clusters_sql(
+        "cx", "col", "{x} - {median} >= tol",
+        params="median((x1 - x0 + (y1 - y0)) / 2) * CAST(0.4 AS DOUBLE) AS tol, median((x1 - x0 + (y1 - y0)) / 2) * CAST(0.48 AS DOUBLE) AS span",
+    ),
+)
 def w1(t):
-    """No SQL twin (running median); the tests compare with a sequential pass."""
     g = B.glyphs(t)
     return C.column_clusters(g, PK).select("glyph_id", "col", "col_center")
 
 
-@query("w2_cluster_first_fit")
+@query("w2_cluster_first_fit", _clusters_sql("cy", "row", "{x} - {median} > 9"))
 def w2(t):
-    """No SQL twin (running median); the tests compare with a sequential pass."""
+    """A value that one cluster no longer takes is too far for all earlier ones, so the twin jumps from cluster to cluster."""
     g = B.glyphs(t)
     return C.cluster_first_fit(g.select("page_id", "glyph_id", "cy"), PK, "cy", F.lit(9.0), "row").select("glyph_id", "row", "row_center")
 
 
-@query("w3_cluster_ratio")
+@query("w3_cluster_ratio", _clusters_sql("(y1 - y0)", "size", "{x} > {median} * CAST(1.15 AS DOUBLE)", limit="k < 4"))
 def w3(t):
-    """No SQL twin (running median); the tests compare with a sequential pass."""
     g = B.glyphs(t).withColumn("h", F.col("y1") - F.col("y0"))
     return C.cluster_ratio(g.select("page_id", "glyph_id", "h"), PK, "h").select("glyph_id", "size", "size_center")
 

@@ -7,10 +7,8 @@ can cross. Where values are fractions, what is folded may reach the number of th
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,72 +17,65 @@ from inkframe.operators.ordered import gap_groups, in_order
 from inkframe.operators.spatial import box_join
 from inkframe.session import spread
 
-def _clusters(v, n, belongs) -> list[tuple[int, float]]:
-    """(lowest value, median) of the cluster of each value; v ascending, n its multiplicities.
-
-    ``belongs(clusters, x)`` names the cluster x joins, or None. Members arrive in order, so a
-    cluster's median is a look-up in its cumulative counts.
-    """
-    out, cl = [0] * len(v), []
-    for i, x in enumerate(v):
-        c = belongs(cl, x)
-        if c is None:
-            cl.append({"vals": [x], "cum": [int(n[i])], "med": x, "lo": x})
-            out[i] = len(cl) - 1
-            continue
-        m = cl[c]
-        m["vals"].append(x)
-        m["cum"].append(m["cum"][-1] + int(n[i]))
-        total = m["cum"][-1]
-        m["med"] = (m["vals"][bisect_left(m["cum"], (total + 1) // 2)] + m["vals"][bisect_left(m["cum"], (total + 2) // 2)]) / 2
-        out[i] = c
-    return [(cl[c]["lo"], cl[c]["med"]) for c in out]
-
-
-def _next_fit(tol, span):
-    return lambda cl, x: len(cl) - 1 if cl and x - cl[-1]["med"] < tol and (span is None or x - cl[-1]["lo"] <= span) else None
 
+def _median(a: Column, first: Column, end: Column) -> Column:
+    """Median of the rows under entries first to end - 1 of ``a``, an array of (v, upto); upto counts rows from the left.
 
-def _first_fit(tol, span):
-    def find(cl, x):
-        return next((i for i, c in enumerate(cl) if abs(c["med"] - x) <= tol), None)
+    The entry that holds the middle row is found by halving.
+    """
+    before = F.coalesce(F.get(a, first - 1)["upto"], F.lit(0))
+    total = F.get(a, end - 1)["upto"] - before
+    middle, above = before + F.floor((total + 1) / 2), before + F.floor((total + 2) / 2)
 
-    return find
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        left = F.get(a, mid)["upto"] >= middle
+        return F.when(left, F.struct(at["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), at["hi"].alias("hi")))
 
+    def value(at: Column) -> Column:
+        here = F.get(a, at["lo"])
+        return (here["v"] + F.when(here["upto"] >= above, here["v"]).otherwise(F.get(a, at["lo"] + 1)["v"])) / 2
 
-def _ratio_fit(ratio: float, limit: int | None):
-    def make(tol, span):
-        return lambda cl, x: len(cl) - 1 if cl and not (x > cl[-1]["med"] * (1 + ratio) and (limit is None or len(cl) < limit)) else None
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(end - first)).cast("int")))
+    return F.aggregate(steps, F.struct(first.alias("lo"), (end - 1).alias("hi")), halve, value)
 
-    return make
 
+def _fold(df: DataFrame, keys: Sequence[str], value: str, opens, tol: Column | None, span: Column | None, chunk_len: float | None) -> DataFrame:
+    """Clusters as (keys, __v, center, lo), one row per distinct value.
 
-def _fold(df: DataFrame, keys: Sequence[str], value: str, rule, tol: Column | None, span: Column | None, cut_gaps: bool, group_len: float) -> DataFrame:
+    Along ascending values a value either joins the last cluster or opens one: medians only grow while
+    a cluster takes values, so one that a value has passed is passed by all later ones. ``opens(x,
+    median, lowest, clusters so far)`` decides. With ``chunk_len`` values are first cut at gaps > tol.
+    """
     keys = list(keys)
     params = {"tol": tol, "span": span}
     extra = {k: F.min(c).cast("double").alias(k) for k, c in params.items() if c is not None}
     vals = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), *extra.values())
     group = keys
-    if cut_gaps:
-        vals = gap_groups(vals, keys, "v", F.col("tol"), [], F.floor(F.col("v") / group_len), "__island")
+    if chunk_len is not None:
+        vals = gap_groups(vals, keys, "v", F.col("tol"), [], F.floor(F.col("v") / chunk_len), "__island")
         group = [*keys, "__island"]
-    entry = F.array_sort(F.collect_list(F.struct("v", "n")))
-    arrays = spread(vals, *group).groupBy(*group).agg(entry.alias("__a"), *[F.min(k).alias(k) for k in extra])
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("v"))
+    entries = F.array_sort(F.collect_list(F.struct("v", "upto"))).alias("__a")
+    # few bytes, much work: not to be squeezed into a few tasks
+    arrays = spread(vals, *group).withColumn("upto", upto).groupBy(*group).agg(entries, *[F.min(k).alias(k) for k in extra])
+    a = F.col("__a")
+
+    def step(state: Column, i: Column) -> Column:
+        new = opens(F.get(a, i)["v"], _median(a, state["last"], i), F.get(a, state["last"])["v"], F.size(state["starts"]))
+        opened = F.struct(F.concat(state["starts"], F.array(i)).alias("starts"), i.alias("last"))
+        return F.when((i == 0) | new, opened).otherwise(state)
 
-    @F.pandas_udf("array<double>")
-    def fold(v: pd.Series, n: pd.Series, tol: pd.Series, span: pd.Series) -> pd.Series:
-        out = []
-        for a, c, t, s in zip(v, n, tol, span):
-            pairs = _clusters(a, c, rule(t, None if pd.isna(s) else s))
-            out.append([p[0] for p in pairs] + [p[1] for p in pairs])
-        return pd.Series(out)
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("last"))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), none, step, lambda state: state["starts"])
 
-    none = F.lit(None).cast("double")
-    size = F.size("__a")
-    v = F.transform("__a", lambda x: x["v"])
-    arrays = arrays.withColumn("__c", fold(v, F.transform("__a", lambda x: x["n"]), F.col("tol") if "tol" in extra else none, F.col("span") if "span" in extra else none))
-    zipped = F.arrays_zip(v.alias("v"), F.slice("__c", 1, size).alias("lo"), F.slice("__c", size + 1, size).alias("center"))
-    return arrays.select(*keys, F.explode(zipped).alias("__x")).select(*keys, F.col("__x.v").alias("__v"), F.col("__x.center").alias("center"), F.col("__x.lo").alias("lo"))
+    def cluster(first: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("__starts", k + 1), F.size(a))
+        members = F.transform(F.slice(a, first + 1, end - first), lambda x: x["v"])
+        return F.struct(F.get(a, first)["v"].alias("lo"), _median(a, first, end).alias("center"), members.alias("members"))
+
+    found = arrays.withColumn("__starts", starts).select(*keys, F.explode(F.transform("__starts", cluster)).alias("__c"))
+    return found.select(*keys, F.explode("__c.members").alias("__v"), F.col("__c.center").alias("center"), F.col("__c.lo").alias("lo"))
 
 
 def _attach(df: DataFrame, clusters: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -97,17 +88,32 @@ def _attach(df: DataFrame, clusters: DataFrame, keys: Sequence[str], value: str,
 
 def cluster_1d(df: DataFrame, keys: Sequence[str], value: str, tol: Column, span: Column | None = None, name: str = "col", group_len: float = 4096.0) -> DataFrame:
     """Sorted clustering against the running median: next value joins while < tol above it and, if given, within ``span`` of the lowest."""
-    return _attach(df, _fold(df, keys, value, _next_fit, tol, span, True, group_len), keys, value, name)
+
+    def opens(x: Column, median: Column, lowest: Column, _: Column) -> Column:
+        # the median is not below the lowest value, so most values are settled without it
+        far = (x - lowest >= F.col("tol")) & (x - median >= F.col("tol"))
+        return far if span is None else (x - lowest > F.col("span")) | far
+
+    return _attach(df, _fold(df, keys, value, opens, tol, span, group_len), keys, value, name)
 
 
 def cluster_first_fit(df: DataFrame, keys: Sequence[str], value: str, tol: Column, name: str = "col", group_len: float = 4096.0) -> DataFrame:
     """Values in ascending order join the first cluster whose median is within tol."""
-    return _attach(df, _fold(df, keys, value, _first_fit, tol, None, True, group_len), keys, value, name)
+
+    def opens(x: Column, median: Column, lowest: Column, _: Column) -> Column:
+        return (x - lowest > F.col("tol")) & (x - median > F.col("tol"))
+
+    return _attach(df, _fold(df, keys, value, opens, tol, None, group_len), keys, value, name)
 
 
 def cluster_ratio(df: DataFrame, keys: Sequence[str], value: str, ratio: float = 0.15, max_groups: int | None = 4, name: str = "size") -> DataFrame:
     """Sorted clustering by ratio: a value above median x (1 + ratio) opens a group while there are fewer than max_groups."""
-    return _attach(df, _fold(df, keys, value, _ratio_fit(ratio, max_groups), None, None, False, 0), keys, value, name)
+
+    def opens(x: Column, median: Column, _: Column, groups: Column) -> Column:
+        above = x > median * (1 + ratio)
+        return above if max_groups is None else (groups < max_groups) & above
+
+    return _attach(df, _fold(df, keys, value, opens, None, None, None), keys, value, name)
 
 
 def with_side(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
