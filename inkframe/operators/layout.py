@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkframe.functions.geometry import clamp01, dist_points, intersection, iou, overlap_min
 from inkframe.operators.iterate import greedy_keep
 from inkframe.operators.spatial import box_join
+from inkframe.session import spread
 
 _BAR = "struct<role:string,side:string,x:string,y:string,w:string,h:string,confidence:string,reason:string>"
 GUIDE_SCHEMA = (
@@ -282,10 +283,11 @@ def union_distinct_tol(rects: DataFrame, keys: Sequence[str], rect_id: str, orde
     return rects.join(greedy_keep(items, edges).withColumnRenamed("id", rect_id), rect_id, "left_semi")
 
 
-def free_slots(pages: DataFrame, boxes: DataFrame, keys: Sequence[str], box_size: float, glyph_count: int = 1, orientation: str = "v", step: float | None = None, cell: float = 64.0) -> DataFrame:
+def free_slots(pages: DataFrame, boxes: DataFrame, keys: Sequence[str], box_size: float, glyph_count: int = 1, orientation: str = "v", step: float | None = None) -> DataFrame:
     """Nearest free place to the page centre for a run of glyphs, one row per page that has one.
 
-    ``pages``: keys, width, height; ``boxes``: keys, x0..y1. Places are tried on a fixed grid, rows first.
+    ``pages``: keys, width, height; ``boxes``: keys, x0..y1. Places are tried on a fixed grid, rows first;
+    a page's grid is an array of numbers beside the numbers that boxes take, never rows.
     """
     keys = list(keys)
     step = box_size if step is None else step
@@ -295,17 +297,35 @@ def free_slots(pages: DataFrame, boxes: DataFrame, keys: Sequence[str], box_size
     scan = max(8.0, min(box_size / 2, 24.0))
     min_x, min_y = edge + w / 2, edge + h / 2
     max_x, max_y = F.col("width") - edge - w / 2, F.col("height") - edge - h / 2
-    grid = pages.where((max_x >= min_x) & (max_y >= min_y))
     ny = F.floor((max_y + 0.01 - min_y) / scan).cast("int")
     nx = F.floor((max_x + 0.01 - min_x) / scan).cast("int")
-    grid = grid.withColumn("iy", F.explode(F.sequence(F.lit(0), ny))).withColumn("ix", F.explode(F.sequence(F.lit(0), nx)))
-    grid = grid.withColumns({"px": F.lit(min_x) + F.col("ix") * scan, "py": F.lit(min_y) + F.col("iy") * scan})
-    grid = _as_box(grid, "l", F.col("px") - w / 2, F.col("py") - h / 2, F.col("px") + w / 2, F.col("py") + h / 2)
-    occ = boxes.select(*keys, *[(F.col(c) + (pad if c.endswith("1") else -pad)).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    strict = (F.col("lx0") < F.col("rx1")) & (F.col("rx0") < F.col("lx1")) & (F.col("ly0") < F.col("ry1")) & (F.col("ry0") < F.col("ly1"))
-    taken = box_join(grid.select(*keys, "ix", "iy", "lx0", "ly0", "lx1", "ly1"), occ, keys, cell, strict).select(*keys, "ix", "iy")
-    free = grid.join(taken, [*keys, "ix", "iy"], "left_anti")
-    d = dist_points(F.col("px"), F.col("py"), F.col("width") / 2, F.col("height") / 2)
-    best = free.groupBy(*keys).agg(F.min_by(F.struct("px", "py"), F.struct(d, F.col("iy"), F.col("ix"))).alias("b"))
+    grid = pages.where((max_x >= min_x) & (max_y >= min_y)).withColumns({"__nx": nx, "__ny": ny})
+    place_x, place_y = lambda i: F.lit(min_x) + i * scan, lambda i: F.lit(min_y) + i * scan
+
+    def met(lo: Column, hi: Column, half: float, start: float, n: Column, place) -> Column:
+        """Places whose box overlaps lo to hi: the nearby ones, tested exactly."""
+        first = F.greatest(F.lit(0), F.floor((lo - half - start) / scan) - 1).cast("int")
+        last = F.least(n, F.ceil((hi + half - start) / scan) + 1).cast("int")
+        return F.when(first <= last, F.filter(F.sequence(first, last), lambda i: (place(i) - half < hi) & (lo < place(i) + half)))
+
+    # boxes move once, to their pages; what they take is counted there
+    occ = spread(boxes.select(*keys, *[(F.col(c) + (pad if c.endswith("1") else -pad)).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")]), *keys).join(grid, keys)
+    xs = met(F.col("rx0"), F.col("rx1"), w / 2, min_x, F.col("__nx"), place_x)
+    ys = met(F.col("ry0"), F.col("ry1"), h / 2, min_y, F.col("__ny"), place_y)
+    taken = occ.select(*keys, "__nx", xs.alias("__xs"), F.explode(ys).alias("__iy")).withColumn("__ix", F.explode("__xs"))
+    taken = taken.select(*keys, (F.col("__iy").cast("long") * (F.col("__nx") + 1) + F.col("__ix")).alias("__slot")).distinct().groupBy(*keys).agg(F.collect_list("__slot").alias("__taken"))
+    # merge: rows that come out of an explode are many more than the planner thinks, so none may be broadcast
+    free = grid.join(taken.hint("merge"), keys, "left")
+    slots = F.sequence(F.lit(0).cast("long"), (F.col("__ny").cast("long") + 1) * (F.col("__nx") + 1) - 1)
+    open_ = F.array_except(slots, F.coalesce("__taken", F.array().cast("array<long>")))
+
+    def at(slot: Column) -> Column:
+        iy = F.floor(slot / (F.col("__nx") + 1)).cast("int")
+        ix = (slot - iy * (F.col("__nx") + 1)).cast("int")
+        d = dist_points(place_x(ix), place_y(iy), F.col("width") / 2, F.col("height") / 2)
+        return F.struct(d.alias("d"), iy.alias("iy"), ix.alias("ix"))
+
+    best = free.select(*keys, F.array_min(F.transform(open_, at)).alias("s")).where("s is not null")
+    best = best.select(*keys, F.struct(place_x(F.col("s.ix")).alias("px"), place_y(F.col("s.iy")).alias("py")).alias("b"))
     off = step * (glyph_count - 1) / 2
     return best.select(*keys, (F.col("b.px") - (off if orientation == "h" else 0.0)).alias("x"), (F.col("b.py") - (off if orientation == "v" else 0.0)).alias("y"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -210,3 +211,22 @@ def test_hot_key_is_split_over_tasks(spark):
         assert out.where("k = 0").agg(F.max("n")).first()[0] == n * 9 // 10
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_free_slots_moves_no_grid(spark):
+    """Against brute force over boxes on, between and beyond the places; the grid is never exploded to rows."""
+    boxes = [(p, float((p * 37 + i * 53) % 190 - 15), float((p * 91 + i * 29) % 190 - 15), float(8 + i % 60), float(8 + i % 45)) for p in range(4) for i in range(3 + p * 25)]
+    boxes += [(4, -500.0, -500.0, 5000.0, 5000.0), (6, 30.0, 30.0, 4.0, 4.0)]  # a full page, and a page without size
+    b = spark.createDataFrame([(p, x, y, x + w, y + h) for p, x, y, w, h in boxes], "page_id long, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(p, 170.0, 130.0) for p in range(6)], "page_id long, width double, height double")
+    got = L.free_slots(pages, b, ["page_id"], 12.0)
+    want = {}
+    for p in range(6):
+        free = [
+            (math.dist((14 + ix * 8, 14 + iy * 8), (85, 65)), iy, ix) for iy in range(13) for ix in range(18)
+            if not any(q == p and 8 + ix * 8 < x + w + 6 and x - 6 < 20 + ix * 8 and 8 + iy * 8 < y + h + 6 and y - 6 < 20 + iy * 8 for q, x, y, w, h in boxes)
+        ]
+        if free:
+            want[p] = (14.0 + min(free)[2] * 8, 14.0 + min(free)[1] * 8)
+    assert {r["page_id"]: (r["x"], r["y"]) for r in got.collect()} == want and 4 not in want
+    assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()  # places do not become rows
