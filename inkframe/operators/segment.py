@@ -95,17 +95,18 @@ def split_at_valley(boxes: DataFrame, runs: DataFrame, axis: str, keys: Sequence
     size, other = ("w", "h") if axis == "x" else ("h", "w")
     pos = "x" if axis == "x" else "y"
     lo, hi = F.floor(F.col(size) * band[0]), F.ceil(F.col(size) * band[1])
-    cand = b.withColumn("__i", F.explode(F.sequence(lo, F.greatest(lo, hi - 1))))
+    cand = b.select(*keys, box_id, F.explode(F.sequence(lo, F.greatest(lo, hi - 1))).alias("__i"), pos).withColumn("__p", F.col(pos) + F.col("__i"))
     box = b.select(*keys, box_id, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
     ink = R.ink_join(box, runs, keys, box_id)
     if axis == "x":
         ink = ink.select(*keys, box_id, F.explode(F.sequence("x0", F.col("x1") - 1)).alias("__p"), F.lit(1).alias("n"))
     else:
         ink = ink.select(*keys, box_id, F.col("y").alias("__p"), (F.col("x1") - F.col("x0")).alias("n"))
-    prof = ink.groupBy(*keys, box_id, "__p").agg(F.sum("n").alias("n"))
-    cand = cand.withColumn("__p", F.col(pos) + F.col("__i")).join(prof, [*keys, box_id, "__p"], "left")
-    low = cand.groupBy(*keys, box_id).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("__i").alias("i"))).alias("m"))
-    j = b.join(low, [*keys, box_id])
+    # candidates are lines without ink that the ink is added to; their column __i marks them
+    each = cand.select(*keys, box_id, "__p", F.lit(0).cast("long").alias("n"), "__i").unionByName(ink.select(*keys, box_id, "__p", F.col("n").cast("long").alias("n"), F.lit(None).cast("long").alias("__i")))
+    prof = each.groupBy(*keys, box_id, "__p").agg(F.sum("n").alias("n"), F.max("__i").alias("i")).where("i is not null")
+    low = prof.groupBy(*keys, box_id).agg(F.min(F.struct("n", "i")).alias("m"))
+    j = b.join(low.hint("merge"), [*keys, box_id])
     at = F.col("m.i")
     ok = (F.col("m.n") <= F.col(other) * depth) & (at >= CHAR_MIN_SIZE) & (F.col(size) - at >= CHAR_MIN_SIZE)
     whole = F.struct(F.lit(0).alias("part"), "x", "y", "w", "h")
