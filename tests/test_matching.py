@@ -230,3 +230,17 @@ def test_free_slots_moves_no_grid(spark):
             want[p] = (14.0 + min(free)[2] * 8, 14.0 + min(free)[1] * 8)
     assert {r["page_id"]: (r["x"], r["y"]) for r in got.collect()} == want and 4 not in want
     assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()  # places do not become rows
+
+
+def test_copies_of_rects_are_met_once(spark, monkeypatch):
+    """Sixty copies of two bars and of a zone make one pair and a hit, not thousands; all copies of the bar go."""
+    bars = spark.createDataFrame([(1, i, 10.0 * (i % 2) * 20, 10.0, 40.0, 30.0) for i in range(120)], "page_id long, rect_id long, x double, y double, w double, h double")
+    zones = spark.createDataFrame([(1, 1000 + i, 2.0, 12.0, 40.0, 30.0) for i in range(60)], bars.schema)
+    pairs = []
+    whole = L.overlapping
+    monkeypatch.setattr(L, "overlapping", lambda *a: pairs.append(whole(*a)) or pairs[-1])
+    left = L.outside_zones(bars, zones, ["page_id"], "rect_id")
+    assert left.columns == bars.columns and {r["rect_id"] for r in left.collect()} == set(range(1, 120, 2))
+    merged = L.spatial_merge(zones, bars, ["page_id"], "rect_id")
+    assert sorted(r["rect_id"] for r in merged.collect()) == [*range(1, 120, 2), *range(1000, 1060)]
+    assert [p.count() for p in pairs] == [1, 1]
