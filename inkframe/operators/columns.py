@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from inkframe.constants import CONFIDENCE_THRESHOLD, TITLE_MIN_VOTES
 from inkframe.operators.ordered import gap_groups, in_order
-from inkframe.operators.spatial import box_join
 from inkframe.session import spread
 
 
@@ -329,18 +328,32 @@ def apply_columns(glyphs: DataFrame, pages: DataFrame, keys: Sequence[str], side
     return reading_order(g, keys)
 
 
-def row_neighbours(glyphs: DataFrame, keys: Sequence[str], cell: float = 64.0) -> DataFrame:
-    """(glyph_id, other_id, dx) for glyphs side by side in a row: |dy| <= .45 h, .35 w < |dx| <= 1.6 w (page medians)."""
+def row_neighbours(glyphs: DataFrame, keys: Sequence[str], seek: Column | None = None, other: Sequence[str] = ()) -> DataFrame:
+    """(glyph_id, other_id, dx) for glyphs side by side in a row: |dy| <= .45 h, .35 w < |dx| <= 1.6 w (page medians).
+
+    With ``seek`` only those glyphs look for neighbours; ``other`` are columns of the neighbour to report, renamed to
+    __o_ and their name. A page moves once: its glyphs stand in bands of four heights, those near a border in both,
+    and each looks along its band as far as a neighbour can be.
+    """
     keys = list(keys)
-    med = glyphs.groupBy(*keys).agg(F.median(F.col("x1") - F.col("x0")).alias("__w"), F.median(F.col("y1") - F.col("y0")).alias("__h"))
-    med = med.select(*keys, F.when(F.col("__w") == 0, 20.0).otherwise(F.col("__w")).alias("__w"), F.when(F.col("__h") == 0, 20.0).otherwise(F.col("__h")).alias("__h"))
-    a = glyphs.join(med, keys).select(*keys, "glyph_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), "__w", "__h")
-    a = a.withColumns({"lx0": F.col("ax") - F.col("__w") * 1.6, "ly0": F.col("ay") - F.col("__h") * 0.45, "lx1": F.col("ax") + F.col("__w") * 1.6, "ly1": F.col("ay") + F.col("__h") * 0.45})
-    b = glyphs.select(*keys, F.col("glyph_id").alias("other_id"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    b = b.withColumns({"rx0": F.col("bx"), "ry0": F.col("by"), "rx1": F.col("bx"), "ry1": F.col("by")})
-    dx = F.abs(F.col("bx") - F.col("ax"))
-    cond = (F.col("glyph_id") != F.col("other_id")) & (F.abs(F.col("by") - F.col("ay")) <= F.col("__h") * 0.45) & (dx > F.col("__w") * 0.35) & (dx <= F.col("__w") * 1.6)
-    return box_join(a, b, keys, cell, cond).select(*keys, "glyph_id", "other_id", (F.col("bx") - F.col("ax")).alias("dx"))
+    page = Window.partitionBy(*keys)
+    typical = lambda size: F.median(size).over(page)
+    g = glyphs.select(*keys, "glyph_id", "cx", "cy", (F.lit(True) if seek is None else seek).alias("__seek"), (F.col("x1") - F.col("x0")).alias("__dx"), (F.col("y1") - F.col("y0")).alias("__dy"), *other)
+    g = g.withColumns({"__w": typical("__dx"), "__h": typical("__dy")}).drop("__dx", "__dy")
+    g = g.withColumns({c: F.when(F.col(c) == 0, 20.0).otherwise(F.col(c)) for c in ("__w", "__h")})
+    band = lambda y: F.floor(y / (F.col("__h") * 4))
+    g = g.where("cx is not null and cy is not null").withColumns({
+        "__home": band(F.col("cy")), "__at": F.col("cx") / F.col("__w") * 100,
+        "__band": F.explode(F.sequence(band(F.col("cy") - F.col("__h") * 0.46), band(F.col("cy") + F.col("__h") * 0.46))),
+    })
+    # a little wider than the exact test, which follows
+    beside = Window.partitionBy(*keys, "__band").orderBy("__at").rangeBetween(-161, 161)
+    found = F.collect_list(F.struct(F.col("glyph_id").alias("other_id"), F.col("cx").alias("bx"), F.col("cy").alias("by"), *[F.col(c).alias(f"__o_{c}") for c in other])).over(beside)
+    g = g.withColumn("__found", found).where("__seek and __band = __home")
+    dx = F.abs(F.col("bx") - F.col("cx"))
+    near = (F.col("glyph_id") != F.col("other_id")) & (F.abs(F.col("by") - F.col("cy")) <= F.col("__h") * 0.45) & (dx > F.col("__w") * 0.35) & (dx <= F.col("__w") * 1.6)
+    pairs = g.select(*keys, "glyph_id", "cx", "cy", "__w", "__h", F.inline("__found")).where(near)
+    return pairs.select(*keys, "glyph_id", "other_id", (F.col("bx") - F.col("cx")).alias("dx"), *[f"__o_{c}" for c in other])
 
 
 def page_order(glyphs: DataFrame, keys: Sequence[str], height: float) -> DataFrame:
