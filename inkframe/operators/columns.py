@@ -201,32 +201,37 @@ def spacing_anomalies(glyphs: DataFrame, keys: Sequence[str], col: str = "col")
     return g.where(odd).select("glyph_id")
 
 
-def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col: str = "col", center: str = "col_center") -> DataFrame:
+def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame | None = None, col: str = "col", center: str = "col_center") -> DataFrame:
     """Align columns: rank labels to their median height; other glyphs to the column centre (shift <= .5
-    sides) and, where the pitch is stable, to an even pitch (shift <= .28 sides). Side glyphs stay."""
+    sides) and, where the pitch is stable, to an even pitch (shift <= .28 sides). Side glyphs stay.
+
+    ``kinds`` as column_kind() returns them; without it they are found here. Pitch and target are windows
+    over the column, so that a glyph moves once.
+    """
     keys = [*keys, col]
     s = F.col("mid_side")
-    k = kinds.select(*keys, "col_n", "col_kind")
-    g = glyphs.join(k, keys, "left")
+    if kinds is None:
+        g = _with_kind(glyphs, keys).drop("__up", "__down", "spread")
+    else:
+        g = glyphs.join(kinds.select(*keys, "col_n", "col_kind"), keys, "left")
     many = F.col("col_n") >= 2
     rank = many & (F.col("col_kind") == "rank_label")
-    movable = many & ~rank & (F.col("kind") != "side")
-    dx = F.when(movable & (F.abs(F.col(center) - F.col("cx")) <= s * 0.5), F.col(center) - F.col("cx")).otherwise(0.0)
+    g = g.withColumn("__mov", F.coalesce(many & ~rank & (F.col("kind") != "side"), F.lit(False)))
+    dx = F.when(F.col("__mov") & (F.abs(F.col(center) - F.col("cx")) <= s * 0.5), F.col(center) - F.col("cx")).otherwise(0.0)
     g = g.withColumn("__dx", dx).withColumn("__nx", F.col("cx") + F.col("__dx"))
-    mid = g.groupBy(*keys).agg(F.median("cy").alias("__mid"))
-    inner = g.where(movable)
-    w = Window.partitionBy(*keys).orderBy("cy", "glyph_id")
-    inner = inner.withColumns({"__gap": F.col("cy") - F.lag("cy").over(w), "__i": F.row_number().over(w) - 1})
-    base = inner.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__m"), (F.max("__nx") - F.min("__nx")).alias("__spread"), F.median("__gap").alias("__pitch"),
-        F.min("cy").alias("__top"), F.min("mid_side").alias("__s"),
-    )
-    dev = inner.join(base, keys).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("__gap") - F.col("__pitch"), F.lit(2)))).alias("__dev"))
+    g = g.withColumn("__mid", F.median("cy").over(Window.partitionBy(*keys)))
+    # movable glyphs of a column are apart from its others
+    whole = Window.partitionBy(*keys, "__mov")
+    w = whole.orderBy("cy", "glyph_id")
+    g = g.withColumns({"__gap": F.col("cy") - F.lag("cy").over(w), "__i": F.row_number().over(w) - 1})
+    g = g.withColumns({
+        "__m": F.count(F.lit(1)).over(whole), "__spread": F.max("__nx").over(whole) - F.min("__nx").over(whole), "__pitch": F.median("__gap").over(whole),
+        "__top": F.min("cy").over(whole), "__s": F.min("mid_side").over(whole),
+    })
+    g = g.withColumn("__dev", F.sqrt(F.avg(F.pow(F.col("__gap") - F.col("__pitch"), F.lit(2))).over(whole)))
     t = F.col("__s")
-    even = base.join(dev, keys).where((F.col("__m") >= 3) & (F.col("__spread") <= t * 0.22) & (F.col("__pitch") >= t * 0.45) & (F.col("__dev") <= t * 0.22))
-    target = inner.select(*keys, "glyph_id", "__i").join(even.select(*keys, "__top", "__pitch"), keys)
-    target = target.select("glyph_id", (F.col("__top") + F.col("__i") * F.col("__pitch")).alias("__ty"))
-    g = g.join(mid, keys).join(target, "glyph_id", "left")
+    even = F.col("__mov") & (F.col("__m") >= 3) & (F.col("__spread") <= t * 0.22) & (F.col("__pitch") >= t * 0.45) & (F.col("__dev") <= t * 0.22)
+    g = g.withColumn("__ty", F.when(even, F.col("__top") + F.col("__i") * F.col("__pitch")))
     dy = (
         F.when(rank, F.col("__mid") - F.col("cy"))
         .when(F.col("__ty").isNotNull() & (F.abs(F.col("__ty") - F.col("cy")) <= s * 0.28), F.col("__ty") - F.col("cy"))
@@ -234,7 +239,7 @@ def snap_columns(glyphs: DataFrame, keys: Sequence[str], kinds: DataFrame, col:
     )
     g = g.withColumn("__dy", dy)
     moved = {c: F.col(c) + F.col("__dx") for c in ("cx", "x0", "x1")} | {c: F.col(c) + F.col("__dy") for c in ("cy", "y0", "y1")}
-    return g.withColumns(moved).drop("col_n", "col_kind", "__dx", "__nx", "__mid", "__ty", "__dy")
+    return g.withColumns(moved).select(*glyphs.columns)
 
 
 def detect_pairs(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -34,3 +34,16 @@ def test_neighbours_in_rows(spark):
 
 def test_neighbours_move_pages_once(tables):
     assert moves(ordering.j15(tables)) == 1
+
+
+@pytest.mark.parametrize("query", [ordering.w5, ordering.w6, ordering.w7, ordering.w8])
+def test_columns_move_pages_once(tables, query):
+    """Pages are dealt once for the medians, the kinds and the targets of all columns."""
+    assert moves(query(tables)) == 1
+
+
+def test_given_kinds_snap_as_found_ones(tables):
+    g = ordering.lane(tables)
+    given = C.snap_columns(g, ["page_id"], C.column_kind(g, ["page_id"]))
+    assert given.columns == g.columns
+    assert rows(given, "glyph_id", "cx", "cy", "x0", "y1") == rows(ordering.w8(tables))
