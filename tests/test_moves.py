@@ -47,3 +47,9 @@ def test_given_kinds_snap_as_found_ones(tables):
     given = C.snap_columns(g, ["page_id"], C.column_kind(g, ["page_id"]))
     assert given.columns == g.columns
     assert rows(given, "glyph_id", "cx", "cy", "x0", "y1") == rows(ordering.w8(tables))
+
+
+def test_characters_do_not_meet_by_key(tables):
+    """A dictionary of characters goes to the items: items with one character, or none, do not meet in one task."""
+    plan = ordering.q10(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
