@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_columns import frame, glyph, med
 
 from inkframe.catalog import ordering
+from inkframe.llm import language_ratio
 from inkframe.operators import columns as C
 from inkframe.operators import repair as R
 
@@ -53,3 +54,19 @@ def test_characters_do_not_meet_by_key(tables):
     """A dictionary of characters goes to the items: items with one character, or none, do not meet in one task."""
     plan = ordering.q10(tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_trusted_rows_by_blocks_of_ids(spark, most):
+    """Labelled ids go to the texts in blocks, also where tables are never broadcast by their size."""
+    ids = [None, None, -1, -64, -65, 0, 1, 63, 64, 65, 127, 128, 10**12, 10**12 + 1, 2**62, 7, 7]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    fit = [-1, -65, 0, 63, 64, 127, 10**12, 2**62, 7, 5]
+    sample = spark.createDataFrame([(i, 1, True) for i in fit] + [(1, 0, True), (65, 1, False)], "doc_id long, clean int, fit boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = language_ratio.with_trusted(docs, sample, most)
+        assert ("SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        assert rows(got) == rows(spark.createDataFrame([(i, f"t{k}", 1 if i in fit else None) for k, i in enumerate(ids)], "doc_id long, text string, trusted int"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
