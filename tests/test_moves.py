@@ -70,3 +70,18 @@ def test_trusted_rows_by_blocks_of_ids(spark, most):
         assert rows(got) == rows(spark.createDataFrame([(i, f"t{k}", 1 if i in fit else None) for k, i in enumerate(ids)], "doc_id long, text string, trusted int"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_open_cells_ask_for_neighbours(spark, monkeypatch):
+    """Of a page, only cells without text and unsure tails look for neighbours."""
+    data = [glyph(10 * c + r, t, 40 + 60 * c, 20 + 25 * r, conf=0.95 if t else 0.0) for c, texts in enumerate([["善", "公"], ["文", "公"], ["德", None]]) for r, t in enumerate(texts)]
+    asked = []
+
+    def watch(g, keys, seek, other):
+        asked.extend(r[0] for r in g.where(seek).select("glyph_id").collect())
+        return C.row_neighbours(g, keys, seek, other)
+
+    monkeypatch.setattr(R, "row_neighbours", watch)
+    sur = spark.createDataFrame([("周",)], "dict_char string")
+    assert dict(rows(R.fill_tails(frame(spark, data), ["page_id"], sur), "glyph_id", "text"))[21] == "公"
+    assert asked == [21]
