@@ -165,8 +165,13 @@ def drop_line_residue(glyphs: DataFrame, runs: DataFrame, lines: DataFrame, node
 
     Evidence: ink on a node's ring, small ink at a node, long thin ink, thin ink continuing or
     touching a line, two crossing bars on a line, a flat box along a line. ``sides``: keys, mid_side.
+    Copies of boxes, lines and nodes give the same evidence, so one of each meets the others.
     """
     keys = list(keys)
+    every = glyphs
+    glyphs, members = R.per_place(every, keys, "glyph_id", ("x0", "y0", "x1", "y1", "cx", "cy"))
+    lines = lines.groupBy(*keys, "x1", "y1", "x2", "y2", "width_px", "orientation").agg(F.min("line_id").alias("line_id"))
+    nodes = nodes.groupBy(*keys, "cx", "cy", "r").agg(F.min("node_id").alias("node_id"))
     m = R.ink_metrics(glyphs, runs, keys, "glyph_id", sizes).select(*keys, "glyph_id", "tx0", "ty0", "tx1", "ty1", "ink_area")
     g = cut(glyphs.join(m, [*keys, "glyph_id"], "left").join(sides, keys))
     s = F.col("mid_side")
@@ -250,7 +255,8 @@ def drop_line_residue(glyphs: DataFrame, runs: DataFrame, lines: DataFrame, node
     gone = drop[0]
     for d in drop[1:]:
         gone = gone.union(d)
-    return glyphs.join(gone, "glyph_id", "left_anti")
+    gone = members.join(gone.withColumnRenamed("glyph_id", "place"), "place", "left_semi")
+    return every.join(gone, "glyph_id", "left_anti")
 
 
 def _tighten(boxes: DataFrame, runs: DataFrame, sizes: DataFrame, keys, extra: Sequence[str] = ()) -> DataFrame:
