@@ -229,20 +229,24 @@ def partition_lines(lines: DataFrame, glyphs: DataFrame, nodes: DataFrame, keys:
 
 
 def free_endpoints(lines: DataFrame, keys: Sequence[str], cell: float = 64.0) -> DataFrame:
-    """Ends of vertical lines that meet no horizontal line: keys, line_id, end (1|2), ex, ey."""
+    """Ends of vertical lines that meet no horizontal line: keys, line_id, end (1|2), ex, ey.
+
+    Copies of ends and of lines meet once.
+    """
     keys = list(keys)
     v = lines.where("orientation = 'v'")
     ends = F.explode(F.array(F.struct(F.lit(1).alias("end"), F.col("x1").alias("ex"), F.col("y1").alias("ey")), F.struct(F.lit(2).alias("end"), F.col("x2").alias("ex"), F.col("y2").alias("ey"))))
     ep = v.select(*keys, "line_id", F.col("width_px").alias("vw"), ends.alias("e")).select(*keys, "line_id", "vw", "e.end", "e.ex", "e.ey")
-    h = lines.where("orientation = 'h'").select(*keys, F.least("x1", "x2").alias("hx0"), F.greatest("x1", "x2").alias("hx1"), F.col("y1").alias("hy"), F.col("width_px").alias("hw"))
+    h = lines.where("orientation = 'h'").select(*keys, F.least("x1", "x2").alias("hx0"), F.greatest("x1", "x2").alias("hx1"), F.col("y1").alias("hy"), F.col("width_px").alias("hw")).distinct()
     # the tolerance depends on both widths: half of each side's share goes to its own box
     part = lambda w: F.ceil(F.col(w) / 2) + 3
-    left = _as_box(ep, "l", F.col("ex") - part("vw"), F.col("ey") - part("vw"), F.col("ex") + part("vw"), F.col("ey") + part("vw"))
+    at = [*keys, "ex", "ey", "vw"]
+    left = _as_box(ep.select(*at).distinct(), "l", F.col("ex") - part("vw"), F.col("ey") - part("vw"), F.col("ex") + part("vw"), F.col("ey") + part("vw"))
     right = _as_box(h, "r", F.col("hx0") - part("hw"), F.col("hy") - part("hw"), F.col("hx1") + part("hw"), F.col("hy") + part("hw"))
     tol = F.greatest(F.lit(4), F.ceil((F.col("vw") + F.col("hw")) / 2) + 2)
     meet = (F.col("ex") >= F.col("hx0") - tol) & (F.col("ex") <= F.col("hx1") + tol) & (F.abs(F.col("ey") - F.col("hy")) <= tol)
-    hit = box_join(left, right, keys, cell, meet).select("line_id", "end")
-    return ep.join(hit, ["line_id", "end"], "left_anti").select(*keys, "line_id", "end", "ex", "ey", F.col("vw").alias("width_px"))
+    hit = box_join(left, right, keys, cell, meet).select(*at).distinct()
+    return ep.join(hit, at, "left_anti").select(*keys, "line_id", "end", "ex", "ey", F.col("vw").alias("width_px"))
 
 
 def dedupe_boxes(glyphs: DataFrame, keys: Sequence[str], box_id: str, sides: DataFrame, max_side: float) -> DataFrame:

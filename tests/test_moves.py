@@ -11,6 +11,8 @@ from inkframe.catalog import ordering
 from inkframe.llm import language_ratio
 from inkframe.operators import columns as C
 from inkframe.operators import repair as R
+from inkframe.operators import structure as T
+from inkframe.session import spread
 
 
 def moves(df):
@@ -85,3 +87,23 @@ def test_only_open_cells_ask_for_neighbours(spark, monkeypatch):
     sur = spark.createDataFrame([("周",)], "dict_char string")
     assert dict(rows(R.fill_tails(frame(spark, data), ["page_id"], sur), "glyph_id", "text"))[21] == "公"
     assert asked == [21]
+
+
+def test_copies_of_line_ends_are_looked_at_once(spark, monkeypatch):
+    """Ends of one place are searched for one circle, and the least id of them names it."""
+    runs = spark.createDataFrame([(1, y, x, x + 3) for y in range(30, 52) for x in (50, 67)], "page_id long, y long, x0 long, x1 long")
+    runs = runs.union(spark.createDataFrame([(1, y, 50, 70) for y in (30, 31, 50, 51)], runs.schema))
+    sizes = spark.createDataFrame([(1, 120, 160)], "page_id long, width long, height long")
+    line = lambda i: (1, i, 60.0, 52.0, 60.0, 120.0, 3.0, "v")
+    schema = "page_id long, line_id long, x1 double, y1 double, x2 double, y2 double, width_px double, orientation string"
+    seen = []
+
+    def watch(df, *cols):
+        seen.append(df.count())
+        return spread(df, *cols)
+
+    monkeypatch.setattr(T, "spread", watch)
+    alone = [T.detect_nodes(runs, spark.createDataFrame([line(i)], schema), sizes).collect() for i in range(5)]
+    copies = T.detect_nodes(runs, spark.createDataFrame([line(i) for i in range(5)], schema), sizes).collect()
+    assert set(seen) == {seen[0]} and seen[0] > 20
+    assert copies == min(alone, key=lambda r: r[0]["node_id"]) and len(copies) == 1
