@@ -7,12 +7,13 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_columns import frame, glyph, med
 
-from inkframe.catalog import ordering
+from inkframe.catalog import logs, ordering
 from inkframe.llm import language_ratio
 from inkframe.operators import columns as C
 from inkframe.operators import repair as R
 from inkframe.operators import structure as T
 from inkframe.session import spread
+from inkframe.sources import projects
 
 
 def moves(df):
@@ -107,3 +108,19 @@ def test_copies_of_line_ends_are_looked_at_once(spark, monkeypatch):
     copies = T.detect_nodes(runs, spark.createDataFrame([line(i) for i in range(5)], schema), sizes).collect()
     assert set(seen) == {seen[0]} and seen[0] > 20
     assert copies == min(alone, key=lambda r: r[0]["node_id"]) and len(copies) == 1
+
+
+def test_documents_are_read_and_dealt_once(tables):
+    """All that stands on a page moves once to be written, and a document is parsed once for all its tables."""
+    docs = projects.page_documents(logs.project_tables(tables), logs.APP)
+    assert moves(docs) == 1
+    plan = logs.s34(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    made = docs.union(docs.limit(1).selectExpr("project_id", "idx", "'{}' AS json")).union(docs.limit(1).selectExpr("project_id", "idx", "replace(json, '\"version\":\"2.0\"', '\"version\":\"3.0\"') AS json"))
+    t, bad = projects.parse_projects(made, logs.APP)
+    assert bad.count() == 2
+    got = projects.project_numbers(made, logs.APP)
+    want = t["glyph"].selectExpr("project_id", "idx", "ord", "array(x0, y0, x1, y1) AS v").where("idx = 0")
+    assert rows(got.where("tbl = 'glyph'").select("project_id", "idx", "ord", "v").exceptAll(want)) == [] and got.where("tbl = 'glyph'").count() == want.count()
+    for name, first in {"rect": "x", "line": "x1", "node": "cx", "artifact": "x1"}.items():
+        assert got.where(f"tbl = '{name}'").selectExpr("count(1)", "sum(v[0])").first() == t[name].selectExpr("count(1)", f"sum({first})").first()
