@@ -124,3 +124,17 @@ def test_documents_are_read_and_dealt_once(tables):
     assert rows(got.where("tbl = 'glyph'").select("project_id", "idx", "ord", "v").exceptAll(want)) == [] and got.where("tbl = 'glyph'").count() == want.count()
     for name, first in {"rect": "x", "line": "x1", "node": "cx", "artifact": "x1"}.items():
         assert got.where(f"tbl = '{name}'").selectExpr("count(1)", "sum(v[0])").first() == t[name].selectExpr("count(1)", f"sum({first})").first()
+
+
+def test_candidates_of_a_glyph_are_ranked_in_place(spark, tables):
+    """Candidates that stand with their glyph are not dealt, and rank as rows of candidates do."""
+    assert moves(ordering.q8(tables)) == 0
+    rnd = random.Random(3)
+    data = [(i, rnd.choice("世祖公") + str(k), k, rnd.choice([None, 0.2, 0.5, 0.53, 0.9]), f"世{rnd.randrange(3)}", rnd.choice([None, 1, 3])) for i in range(200) for k in range(rnd.randrange(1, 6))]
+    scored = spark.createDataFrame(data, "glyph_id long, char string, ord int, score double, primary string, route_votes long")
+    held = scored.groupBy("glyph_id").agg(F.collect_list(F.struct("char", "ord", "score", "primary", "route_votes")).alias("scored"))
+    got = R.rank_candidates(held)
+    assert rows(got) == rows(R.verify_candidates(scored)) and got.count() == 200
+    for r in got.collect():
+        own = sorted((d for d in data if d[0] == r["glyph_id"]), key=lambda d: (d[3] is None, -(d[3] or 0), d[2]))
+        assert r["candidates"] == ",".join(d[1] for d in own[:3]) and r["top_score"] == own[0][3]
