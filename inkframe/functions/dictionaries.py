@@ -6,10 +6,12 @@ pair per row. Only short fixed tables live here.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.functions.text import is_cjk, translate_pairs
+from inkframe.functions.text import CJK_CLASS, is_cjk, translate_pairs
 
 # groups of glyphs that are easily taken for one another (fixed values)
 CONFUSION_GROUPS = (
@@ -70,13 +72,15 @@ def confusion_table(spark: SparkSession) -> DataFrame:
 
 def expand_candidates(df: DataFrame, primary: str, extras: str, limit: int = 8, out: str = "expanded") -> DataFrame:
     """Primary, then extras, then the confusion peers of each in turn; single ideographs, unique, at most ``limit``."""
-    table: dict[str, str] = {r[0]: r[1] for r in _peer_rows()}
-    mapping = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
+    # peers are split and looked through here, once, instead of for each row
+    table = _peer_rows()
+    ideograph = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), CJK_CLASS) + "]")
+    listed = F.array(*[F.array(*[F.lit(p) for p in peers if ideograph.fullmatch(p)]).cast("array<string>") for _, peers in table])
+    known = F.lit("".join(c for c, _ in table))
     first = F.array_distinct(
         F.filter(F.concat(F.array(F.col(primary)), F.coalesce(F.col(extras), F.array().cast("array<string>"))), lambda c: is_cjk(c))
     )
-    peers = F.flatten(F.transform(first, lambda c: F.split(F.coalesce(mapping[c], F.lit("")), "")))
-    peers = F.filter(peers, lambda c: is_cjk(c))
+    peers = F.flatten(F.transform(first, lambda c: F.coalesce(F.get(listed, F.instr(known, c) - 1), F.array().cast("array<string>"))))
     return df.withColumn(out, F.slice(F.array_distinct(F.concat(first, peers)), 1, limit))
 
 

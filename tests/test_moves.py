@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_columns import frame, glyph, med
 
 from inkframe.catalog import logs, ordering
+from inkframe.functions import dictionaries as D
 from inkframe.llm import language_ratio
 from inkframe.operators import columns as C
 from inkframe.operators import repair as R
@@ -138,3 +139,13 @@ def test_candidates_of_a_glyph_are_ranked_in_place(spark, tables):
     for r in got.collect():
         own = sorted((d for d in data if d[0] == r["glyph_id"]), key=lambda d: (d[3] is None, -(d[3] or 0), d[2]))
         assert r["candidates"] == ",".join(d[1] for d in own[:3]) and r["top_score"] == own[0][3]
+
+
+def test_peers_are_listed_once(spark):
+    """The peers of a character are looked up as a list; nothing is split for each row."""
+    df = spark.createDataFrame([("干", ["子", "x"]), (None, ["人", "", "人"]), ("公", None), ("ab", ["于"])], "c string, more array<string>")
+    got = D.expand_candidates(df, "c", "more")
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    peers = dict(D._peer_rows())
+    want = [list(dict.fromkeys(first + [p for c in first for p in peers.get(c, "")]))[:8] for first in (["干", "子"], ["人"], ["公"], ["于"])]
+    assert [r["expanded"] for r in got.collect()] == want
