@@ -14,7 +14,7 @@ from inkframe.operators import columns as C
 from inkframe.operators import repair as R
 from inkframe.operators import structure as T
 from inkframe.session import spread
-from inkframe.sources import projects
+from inkframe.sources import projects, scripts
 
 
 def moves(df):
@@ -149,3 +149,16 @@ def test_peers_are_listed_once(spark):
     peers = dict(D._peer_rows())
     want = [list(dict.fromkeys(first + [p for c in first for p in peers.get(c, "")]))[:8] for first in (["干", "子"], ["人"], ["公"], ["于"])]
     assert [r["expanded"] for r in got.collect()] == want
+
+
+def test_side_and_text_glyphs_are_emitted_in_one_pass(spark, tables):
+    """Both kinds of glyph are numbered together: once for the rows and once for the counts of their blocks."""
+    assert logs.s6(tables)._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode(") == 4
+    g = spark.createDataFrame([(1, 1, i, t, 1.0, 2.5, 10.0, k) for i, (t, k) in enumerate([("a\\\"", "side"), (None, "text"), ("公", "side"), ("b", None), ("\n", "text")])], "page_id long, page_no long, ord long, text string, cx double, cy double, pt double, kind string")
+    got = rows(scripts.emit_rows({"glyph": g}), "section", "n", "line")
+    assert got == [
+        ("SIDE_CHARS", 0, '    ("a\\\\\\"", 1, 2.5, 10, "P1_S0000"),'), ("SIDE_CHARS", 1, '    ("公", 1, 2.5, 10, "P1_S0001"),'),
+        ("TEXT_CHARS", 0, '    (None, 1, 2.5, 10, "P1_C0000"),'), ("TEXT_CHARS", 1, '    ("\\x0a", 1, 2.5, 10, "P1_C0001"),'),
+    ]
+    many = spark.range(998, 1003).select(F.lit(1).alias("page_id"), F.lit(1).alias("page_no"), F.col("id").alias("ord"), *[F.lit(-0.5).alias(c) for c in "xywh"])
+    assert [r["line"][-13:] for r in scripts.emit_rows({"tag": many}).orderBy("n").collect()] == [f'5, "P1_T00{i}"),' [-13:] for i in range(5)]
