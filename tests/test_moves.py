@@ -162,3 +162,8 @@ def test_side_and_text_glyphs_are_emitted_in_one_pass(spark, tables):
     ]
     many = spark.range(998, 1003).select(F.lit(1).alias("page_id"), F.lit(1).alias("page_no"), F.col("id").alias("ord"), *[F.lit(-0.5).alias(c) for c in "xywh"])
     assert [r["line"][-13:] for r in scripts.emit_rows({"tag": many}).orderBy("n").collect()] == [f'5, "P1_T00{i}"),' [-13:] for i in range(5)]
+
+
+def test_title_columns_read_pages_once(tables):
+    """Of a page only the large glyphs at its edge go on; the steps after them do not read the page again."""
+    assert "posexplode" not in ordering.w10(tables)._jdf.queryExecution().optimizedPlan().toString()
