@@ -202,7 +202,7 @@ def propagate(glyphs: DataFrame, cluster: Sequence[str], char_class: str = CJK_C
     ``glyphs``: cluster, glyph_id, text, conf, edited, source, in_dict, is_target. Evidence tiers:
     1 confirmed by a person or confidence >= .85; 2 read twice at >= .5; 3 a dictionary character
     at >= .5. Clusters whose best tier holds two characters, and single members, are left alone.
-    Only counts per (cluster, text) are shuffled.
+    A cluster is sorted in one task, with spilling.
     """
     cluster = list(cluster)
     locked = user_locked()
@@ -210,20 +210,21 @@ def propagate(glyphs: DataFrame, cluster: Sequence[str], char_class: str = CJK_C
     strong = (locked & is_cjk(F.col("text"), char_class)) | (~locked & has & (F.col("conf") >= CONFIDENCE_THRESHOLD))
     mid = ~locked & has & (F.col("conf") >= DICT_LOW_CONF_MAX)
     weak = mid & (F.col("conf") < CONFIDENCE_THRESHOLD) & F.col("in_dict")
-    per_text = glyphs.groupBy(*cluster, "text").agg(
-        F.count(F.lit(1)).alias("members"), F.count_if(strong).alias("n1"), F.count_if(mid).alias("n2"), F.count_if(weak).alias("n3")
-    )
-    tier = F.when(F.col("n1") > 0, 1).when(F.col("n2") >= 2, 2).when(F.col("n3") > 0, 3)
-    per_text = per_text.withColumn("tier", tier)
-    per_cluster = per_text.groupBy(*cluster).agg(
-        F.sum("members").alias("__members"),
-        F.min("tier").alias("__tier"),
-        *[F.count_if(F.col("tier") == k).alias(f"__c{k}") for k in (1, 2, 3)],
-        F.min(F.when(F.col("tier").isNotNull(), F.struct("tier", "text"))).alias("__best"),
-    )
+    # a cluster moves once; what its texts and all of it show are windows in its partition
+    whole, same = Window.partitionBy(*cluster), Window.partitionBy(*cluster, "text")
+    g = glyphs.repartition(*cluster).withColumns({f"__n{k}": F.count_if(x).over(same) for k, x in ((1, strong), (2, mid), (3, weak))})
+    tier = F.when(F.col("__n1") > 0, 1).when(F.col("__n2") >= 2, 2).when(F.col("__n3") > 0, 3)
+    # one glyph speaks for each text
+    g = g.withColumns({"__t": tier, "__first": F.row_number().over(same.orderBy("glyph_id")) == 1})
+    g = g.withColumns({
+        "__members": F.count(F.lit(1)).over(whole), "__tier": F.min("__t").over(whole), "__best": F.min(F.when(F.col("__t").isNotNull(), F.struct("__t", "text"))).over(whole),
+        **{f"__c{k}": F.count_if(F.col("__first") & (F.col("__t") == k)).over(whole) for k in (1, 2, 3)},
+    })
     rivals = F.element_at(F.array("__c1", "__c2", "__c3"), F.col("__tier"))
-    seeds = per_cluster.where((F.col("__members") >= 2) & (rivals == 1)).select(*cluster, F.col("__best.text").alias("__seed"), "__tier")
-    j = glyphs.join(seeds, cluster, "left")
+    agreed = (F.col("__members") >= 2) & (rivals == 1)
+    for k in cluster:
+        agreed = agreed & F.col(k).isNotNull()
+    j = g.withColumn("__seed", F.when(agreed, F.col("__best.text"))).withColumn("__tier", F.when(agreed, F.col("__tier")))
     seed, t, c = F.col("__seed"), F.col("__tier"), F.col("conf")
     target = seed.isNotNull() & F.col("is_target") & ~locked & (c < CONFIDENCE_THRESHOLD)
     fill = target & F.col("text").isNull()
@@ -236,4 +237,4 @@ def propagate(glyphs: DataFrame, cluster: Sequence[str], char_class: str = CJK_C
         .when(swap, 0.85)
         .otherwise(c)
     )
-    return j.withColumns({"text": F.when(fill | swap, seed).otherwise(F.col("text")), "conf": new_conf, "improved": fill | same | swap}).drop("__seed", "__tier")
+    return j.withColumns({"text": F.when(fill | swap, seed).otherwise(F.col("text")), "conf": new_conf, "improved": fill | same | swap}).select(*glyphs.columns, "improved")

@@ -7,10 +7,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_columns import frame, glyph, med
 
-from inkframe.catalog import logs, ordering
+from inkframe.catalog import logs, matching, ordering
 from inkframe.functions import dictionaries as D
 from inkframe.llm import language_ratio
 from inkframe.operators import columns as C
+from inkframe.operators import memory as M
 from inkframe.operators import repair as R
 from inkframe.operators import structure as T
 from inkframe.session import spread
@@ -167,3 +168,12 @@ def test_side_and_text_glyphs_are_emitted_in_one_pass(spark, tables):
 def test_title_columns_read_pages_once(tables):
     """Of a page only the large glyphs at its edge go on; the steps after them do not read the page again."""
     assert "posexplode" not in ordering.w10(tables)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_look_alikes_move_once(spark, tables):
+    """A cluster moves once; glyphs without a cluster are no cluster."""
+    assert moves(matching.q5(tables)) == 1
+    g = [(1, 1, "世", 0.9), (1, 2, None, 0.1), (1, 3, "祖", 0.4), (None, 4, "世", 0.9), (None, 5, None, 0.1), (2, 6, "世", 0.9), (2, 7, "公", 0.9), (2, 8, None, 0.1)]
+    df = spark.createDataFrame([(*r, False, "llm", False, True) for r in g], "c long, glyph_id long, text string, conf double, edited boolean, source string, in_dict boolean, is_target boolean")
+    got = {r["glyph_id"]: (r["text"], r["improved"]) for r in M.propagate(df, ["c"]).collect()}
+    assert got == {1: ("世", False), 2: ("世", True), 3: ("世", True), 4: ("世", False), 5: (None, False), 6: ("世", False), 7: ("公", False), 8: (None, False)}
