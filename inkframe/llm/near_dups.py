@@ -6,10 +6,11 @@ are candidates, and a candidate pair is linked when its exact weighted Jaccard s
 the threshold. Classes are the components of the links.
 
 Texts with equal words are one node from the start, so groups of exact copies cost nothing further.
-Inside a bucket nothing is paired all with all: some members, first those that are linked already,
-stand as centres for the rest, links are verified, and buckets whose members have become one class
-are done. The others go on with further centres until every pair of classes that meets in a bucket
-has been compared through all its members. A pair that agrees in several bands is met in the first of
+Inside a bucket all members first meet one of them, its centre; links are verified, and buckets whose
+members have become one class are done. The members of the others are dealt in blocks of bounded size, and each
+block and then each two blocks of a bucket are compared in a task that keeps the sets of both and passes over
+pairs that it has linked already. So the number of rounds is fixed, and the sets of a bucket move as often as it has
+blocks, not once a pair. A pair that agrees in several bands is met in the first of
 them only: an entry carries the keys of the bands before its own. Document frequencies are counted over all documents in
 2^IDF_BITS cells (less the mean load of a cell), which bounds what is broadcast.
 """
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.llm import text as T
 from inkframe.operators.iterate import connected_components
-from inkframe.session import cut
+from inkframe.session import cut, spread
 
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
@@ -38,8 +40,8 @@ IDF_BITS = 18
 IDF_SHARE = 0.5
 #: Entries of the tables of Gamma(2,1), log Gamma(2,1) and uniform draws that samples are looked up in.
 DRAWS = 16
-#: Centres of a bucket in one round.
-MOST_CENTRES = 256
+#: Members and bytes of sets in a block, about.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16_000_000
 
 _BASE = "node binary, doc_id long"
 _SKETCH = [f"s{k}" for k in range(SKETCH // 8)]
@@ -196,6 +198,71 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, idf: np.ndarra
     return met.mapInArrow(_similar(threshold, pairs.sparkSession.sparkContext.broadcast(idf)), "src binary, dst binary")
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label(node, component) after the classes at both ends of links(src, dst) became one."""
+    ends = links.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").where("a <> b")
+    ends = cut(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    if ends.isEmpty():
+        return label
+    both = ends.select(F.col("src").alias("id")).union(ends.select("dst")).distinct()
+    new = connected_components(both, ends).toDF("component", "whole")
+    return cut(label.join(new, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
+def block_links(members: DataFrame, sets: DataFrame, threshold: float, idf: np.ndarray, across: bool) -> DataFrame:
+    """Links (src, dst) that join the classes of members(band, key, node, mass, bands, bytes, component) that share a
+    bucket and a block of it, or with ``across`` a bucket only; pairs that the links join already have none."""
+    share = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("bytes") / F.lit(BLOCK_BYTES))
+    state = members.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(share).cast("int").alias("parts"))
+    open_ = state.where("a <> b" + (" and parts > 1" if across else "")).select("band", "key", "parts")
+    rows = members.drop("bytes").join(open_, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    if across:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    else:
+        rows = rows.withColumn("other", F.col("part"))
+    block = ["band", "key", "low", "high"]
+    rows = rows.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).drop("parts", "other")
+    whole = spread(rows.join(sets, "node"), *block)
+    return whole.groupBy(*block).applyInArrow(_linked(threshold, members.sparkSession.sparkContext.broadcast(idf), across), "src binary, dst binary")
+
+
+def _linked(threshold: float, idf, across: bool):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("part", "ascending"), ("node", "ascending")]).combine_chunks()
+        column = lambda c: rows[c].combine_chunks()
+        n, node, part, mass = len(rows), rows["node"].to_pylist(), rows["part"].to_numpy(), rows["mass"].to_numpy()
+        of = column("component").dictionary_encode().indices.to_numpy().copy()
+        before = column("bands").flatten().to_numpy().reshape(n, -1)
+        sketch = np.ascontiguousarray(np.stack([rows[c].to_numpy() for c in _SKETCH], axis=1)).view(np.uint8)
+        hashes, counts = (column(c).flatten().to_numpy() for c in ("hashes", "counts"))
+        size = pc.list_value_length(column("hashes")).to_numpy().astype(np.int64)
+        start = np.cumsum(size) - size
+        _, place = np.unique(hashes, return_inverse=True)
+        weight = counts * idf.value[(hashes.view(np.uint64) >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
+        own, found = np.zeros(place.max(initial=-1) + 1), []
+        for i in range(n):
+            first = int(np.searchsorted(part, part[i], side="right")) if across else i + 1
+            j = first + np.flatnonzero(of[first:] != of[i])
+            j = j[np.minimum(mass[j], mass[i]) >= threshold * np.maximum(mass[j], mass[i]) - 1e-9]
+            j = j[~(before[j] == before[i]).any(axis=1)]
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= SKETCH_LEAST]
+            if not len(j):
+                continue
+            mine = slice(start[i], start[i] + size[i])
+            own[place[mine]] = weight[mine]
+            edge = np.cumsum(size[j]) - size[j]
+            at = np.arange(size[j].sum()) + np.repeat(start[j] - edge, size[j])
+            both = np.add.reduceat(np.minimum(own[place[at]], weight[at]), edge)
+            own[place[mine]] = 0
+            for k in j[both >= threshold * (mass[i] + mass[j] - both) - 1e-9].tolist():
+                if of[k] != of[i]:
+                    found.append((node[i], node[k]))
+                    of[of == of[k]] = of[i]
+        return pa.table([pa.array([f[k] for f in found], type=pa.binary()) for k in (0, 1)], names=["src", "dst"])
+
+    return run
+
+
 def _alike() -> Column:
     """How many bytes of the sketches ``a`` and ``b`` agree."""
     differ = F.lit(0)
@@ -240,36 +307,22 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     entries = nodes.select("node", "r.doc_id", "r.digest", "mass", "bands", F.posexplode("bands").alias("band", "key"))
     entries = entries.withColumn("bands", F.slice("bands", F.lit(1), F.col("band")))  # those before the entry's own
     members = nodes.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(entries.join(members.select("band", "key"), ["band", "key"]).withColumn("spent", F.lit(False)))
+    buckets = cut(entries.join(members.select("band", "key"), ["band", "key"]))
     wanted = cut(buckets.select("node", "doc_id", "digest").distinct())
-    buckets = buckets.drop("digest")
     sets = cut(shingle_sets(docs, wanted, idf))
-    looks = cut(sets.select("node", *_SKETCH))
+    centre = buckets.groupBy("band", "key").agg(F.min(F.struct("doc_id", "node", "mass", "bands")).alias("c"))
+    centre = centre.select("band", "key", F.col("c.node").alias("centre"), F.col("c.mass").alias("c_mass"), F.col("c.bands").alias("c_bands"))
+    others = buckets.join(centre, ["band", "key"]).where("node <> centre")
+    # of equal mass at best, the smaller text over the larger bounds the similarity
+    bound = F.least("mass", "c_mass") >= threshold * F.greatest("mass", "c_mass") - 1e-9
+    met_before = F.exists(F.zip_with("bands", "c_bands", lambda x, y: x == y), lambda x: x)
+    met = others.where(bound & ~met_before).select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+    looks = sets.select("node", *_SKETCH)
+    met = met.join(looks.withColumnRenamed("node", "src"), "src").alias("a").join(looks.withColumnRenamed("node", "dst").alias("b"), "dst")
     label = wanted.select("node", F.col("node").alias("component"))
-    links, centres = None, 1
-    while True:
-        here = buckets.join(label, "node")
-        state = here.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count_if(~F.col("spent")).alias("open"))
-        here = here.join(state.where("a <> b and open > 1").select("band", "key"), ["band", "key"])
-        grown = cut(label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")).select("component", F.lit(True).alias("grown"))
-        here = cut(here.join(grown, "component", "left"))
-        if here.isEmpty():
-            break
-        # the next centres: unspent members, those of grown classes first (a row limit that runs before the shuffle)
-        order = Window.partitionBy("band", "key").orderBy(F.col("grown").asc_nulls_last(), "doc_id", "node")
-        chosen = here.where("not spent").withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres)
-        chosen = cut(chosen.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("mass").alias("c_mass"), F.col("bands").alias("c_bands")).join(looks.withColumnRenamed("node", "centre"), "centre"))
-        # of equal mass at best, the smaller text over the larger bounds the similarity
-        bound = F.least("mass", "c_mass") >= threshold * F.greatest("mass", "c_mass") - 1e-9
-        met_before = F.exists(F.zip_with("bands", "c_bands", lambda x, y: x == y), lambda x: x)
-        met = here.where("not spent").join(looks, "node").alias("a").join(chosen.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("component") != F.col("of")) & bound & ~met_before & (_alike() >= SKETCH_LEAST))
-        pairs = met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
-        found = cut(verified(pairs, sets, threshold, idf))
-        used = chosen.select("band", "key", F.col("centre").alias("node"), F.lit(True).alias("now"))
-        buckets = here.drop("component", "grown").join(used, ["band", "key", "node"], "left")
-        buckets = cut(buckets.withColumn("spent", F.col("spent") | F.coalesce("now", F.lit(False))).drop("now"))
-        links = found if links is None else cut(links.union(found))
-        if not found.isEmpty():
-            label = cut(connected_components(wanted.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"))
-        centres = min(16 * centres, MOST_CENTRES)
+    label = joined(label, cut(verified(met.where(_alike() >= SKETCH_LEAST).select("src", "dst"), sets, threshold, idf)))
+    others = others.select("band", "key", "node", "mass", "bands").join(sets.select("node", (12 * F.size("hashes") + SKETCH).cast("long").alias("bytes")), "node")
+    others = cut(others)
+    for across in (False, True):
+        label = joined(label, cut(block_links(others.join(label, "node"), sets, threshold, idf, across)))
     return rows.select("node", "doc_id", "digest").join(label, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))

@@ -105,6 +105,33 @@ def test_near_duplicates_are_the_components_of_all_similar_pairs(spark, docs):
     assert got == {docs[k][0]: docs[r][0] for k, r in enumerate(root)}
 
 
+def test_near_duplicate_steps_do_not_grow_with_a_group(spark, monkeypatch):
+    """A large group of texts whose similarities lie about the threshold, in several blocks: the components of all
+    its similar pairs, in a fixed number of steps."""
+    rng, steps, cut = np.random.default_rng(3), [], near_dups.cut
+    places = rng.integers(0, 118, (400, 2))
+    texts = [(k, " ".join(f"new{k}" if i in places[k] else f"w{i}" for i in range(120))) for k in range(400)]
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 40, raising=False)
+    monkeypatch.setattr(near_dups, "cut", lambda df: steps.append(1) or cut(df))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dups.near_duplicates(table))}
+    assert len(steps) <= 16
+    monkeypatch.undo()
+    idf = near_dups.document_frequencies(table)
+    hashes, owner, counts, _ = near_dups.shingle_rows(pa.array([t for _, t in texts], type=pa.string()))
+    known, at = np.unique(hashes, return_inverse=True)
+    weights = np.zeros((400, len(known)))
+    weights[owner, at] = counts * idf[(hashes >> np.uint64(64 - near_dups.IDF_BITS)).astype(int)]
+    root = np.arange(400)
+    for i in range(400):
+        both = np.minimum(weights[i], weights[:i]).sum(axis=1)
+        for j in np.flatnonzero(both >= 0.8 * (weights[i].sum() + weights[:i].sum(axis=1) - both) - 1e-9):
+            a, b = sorted((root[i], root[j]))
+            root[root == b] = a
+    assert 10 < len(set(root.tolist())) < 390
+    assert got == dict(enumerate(root.tolist()))
+
+
 def test_near_duplicates_without_ids(spark):
     """Rows without doc_id meet their own texts only, and near copies among them are found as well."""
     words = [[f"t{k}w{i}" for i in range(60)] for k in range(40)]
