@@ -85,23 +85,66 @@ def _attach(df: DataFrame, clusters: DataFrame, keys: Sequence[str], value: str,
     return j.withColumnsRenamed({"lo": name, "center": f"{name}_center"}).drop("__v", *[f"__{k}" for k in keys])
 
 
-def cluster_1d(df: DataFrame, keys: Sequence[str], value: str, tol: Column, span: Column | None = None, name: str = "col", group_len: float = 4096.0) -> DataFrame:
-    """Sorted clustering against the running median: next value joins while < tol above it and, if given, within ``span`` of the lowest."""
+def _fold_rows(df: DataFrame, keys: Sequence[str], value: str, opens, tol: Column | None, span: Column | None, name: str) -> DataFrame:
+    """As _attach(_fold()) for keys whose rows fit a task: rows are dealt once, by key, and go through the fold
+    themselves, so nothing is joined back. Medians are read off their places."""
+    keys, rest = list(keys), [c for c in df.columns if c not in keys]
+    params = {k: c for k, c in {"tol": tol, "span": span}.items() if c is not None}
+    g = df.withColumns({"__v": F.col(value).cast("double"), **{f"__{k}": c.cast("double") for k, c in params.items()}})
+    order = Window.partitionBy(*keys).orderBy("__v")
+    before = F.lag("__v").over(order)
+    apart = F.col("__v").isNotNull() & before.isNull() if tol is None else (F.col("__v") - before > F.col("__tol")) | (F.col("__v").isNotNull() & before.isNull())
+    g = g.withColumn("__apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    g = g.withColumn("__island", F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = F.sort_array(F.collect_list(F.struct("__v", *rest))).alias("__a")
+    arrays = g.groupBy(*keys, "__island").agg(rows, *[F.min(f"__{k}").alias(k) for k in params])
+    arrays = arrays.withColumn("__vs", F.transform("__a", lambda x: x["__v"]))
+    at = lambda i: F.get("__vs", i.cast("int"))
+
+    def median(first: Column, end: Column) -> Column:
+        return (at(first + F.floor((end - first - 1) / 2)) + at(first + F.floor((end - first) / 2))) / 2
+
+    def step(state: Column, i: Column) -> Column:
+        new = opens(at(i), median(state["last"], i), at(state["last"]), F.size(state["starts"]))
+        opened = F.struct(F.concat(state["starts"], F.array(i)).alias("starts"), i.alias("last"))
+        return F.when((i == 0) | new, opened).otherwise(state)
+
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("last"))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("__vs") - 1), none, step, lambda state: state["starts"])
+
+    def cluster(first: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("__starts", k + 1), F.size("__vs"))
+        return F.struct(at(first).alias("lo"), median(first, end).alias("center"), F.slice("__a", first + 1, end - first).alias("rows"))
+
+    found = arrays.withColumn("__starts", starts).select(*keys, F.explode(F.transform("__starts", cluster)).alias("__c"))
+    found = found.select(*keys, F.col("__c.lo").alias("__lo"), F.col("__c.center").alias("__center"), F.inline("__c.rows"))
+    return found.select(*df.columns, F.col("__center").alias(f"{name}_center"), F.col("__lo").alias(name))
+
+
+def cluster_1d(df: DataFrame, keys: Sequence[str], value: str, tol: Column, span: Column | None = None, name: str = "col", group_len: float = 4096.0, by_key: bool = False) -> DataFrame:
+    """Sorted clustering against the running median: next value joins while < tol above it and, if given, within ``span`` of the lowest.
+
+    With ``by_key`` (for keys whose rows fit a task) rows are dealt by key once, and stay so.
+    """
 
     def opens(x: Column, median: Column, lowest: Column, _: Column) -> Column:
         # the median is not below the lowest value, so most values are settled without it
         far = (x - lowest >= F.col("tol")) & (x - median >= F.col("tol"))
         return far if span is None else (x - lowest > F.col("span")) | far
 
+    if by_key:
+        return _fold_rows(df, keys, value, opens, tol, span, name)
     return _attach(df, _fold(df, keys, value, opens, tol, span, group_len), keys, value, name)
 
 
-def cluster_first_fit(df: DataFrame, keys: Sequence[str], value: str, tol: Column, name: str = "col", group_len: float = 4096.0) -> DataFrame:
-    """Values in ascending order join the first cluster whose median is within tol."""
+def cluster_first_fit(df: DataFrame, keys: Sequence[str], value: str, tol: Column, name: str = "col", group_len: float = 4096.0, by_key: bool = False) -> DataFrame:
+    """Values in ascending order join the first cluster whose median is within tol. ``by_key`` as in cluster_1d."""
 
     def opens(x: Column, median: Column, lowest: Column, _: Column) -> Column:
         return (x - lowest > F.col("tol")) & (x - median > F.col("tol"))
 
+    if by_key:
+        return _fold_rows(df, keys, value, opens, tol, None, name)
     return _attach(df, _fold(df, keys, value, opens, tol, None, group_len), keys, value, name)
 
 
@@ -124,10 +167,13 @@ def with_side(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def column_clusters(glyphs: DataFrame, keys: Sequence[str], sides: DataFrame | None = None) -> DataFrame:
     """Glyphs with ``col``, ``col_center`` and mid_side: x clusters within .4 sides, at most .48 wide.
 
-    Without ``sides`` the page's own boxes give the side.
+    Without ``sides`` glyphs bring mid_side, or the page's own boxes give it.
     """
-    g = with_side(glyphs, keys) if sides is None else glyphs.join(sides, list(keys))
-    return cluster_1d(g, keys, "cx", F.col("mid_side") * 0.4, F.col("mid_side") * 0.48)
+    if sides is not None:
+        g = glyphs.join(sides, list(keys))
+    else:
+        g = glyphs if "mid_side" in glyphs.columns else with_side(glyphs, keys)
+    return cluster_1d(g, keys, "cx", F.col("mid_side") * 0.4, F.col("mid_side") * 0.48, by_key=True)
 
 
 def column_kind(glyphs: DataFrame, keys: Sequence[str], col: str = "col") -> DataFrame:
@@ -246,15 +292,20 @@ def detect_pairs(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two-glyph labels standing in rows: (keys, row, first_id, second_id, gap).
 
     Needs two pairs in a row and some neighbouring pairs clearly further apart than inside a pair.
-    ``glyphs`` carries mid_side.
+    ``glyphs`` carries mid_side, or the page's own boxes give it.
     """
     keys = list(keys)
     s = F.col("mid_side")
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    ok = (F.col("kind") != "side") & ~F.col("grp").isin("title", "pageno")
-    for d in (w, h):
-        ok = ok & (d >= s * 0.35) & (d <= s * 1.9)
-    rows = cluster_first_fit(glyphs.where(ok), keys, "cy", s * 0.42, "row")
+    plain = (F.col("kind") != "side") & ~F.col("grp").isin("title", "pageno")
+    sizes = [(F.col("x1") - F.col("x0")).alias("__w"), (F.col("y1") - F.col("y0")).alias("__h")]
+    g = glyphs.select(*keys, "glyph_id", "cx", "cy", *sizes, plain.alias("__plain"), *[c for c in glyphs.columns if c == "mid_side"])
+    if "mid_side" not in glyphs.columns:
+        g = g.withColumn("mid_side", F.median((F.col("__w") + F.col("__h")) / 2).over(Window.partitionBy(*keys)))
+    ok = F.col("__plain")
+    for d in ("__w", "__h"):
+        ok = ok & (F.col(d) >= s * 0.35) & (F.col(d) <= s * 1.9)
+    narrow = g.where(ok).select(*keys, "glyph_id", "cx", "cy", "mid_side")
+    rows = cluster_first_fit(narrow, keys, "cy", s * 0.42, "row", by_key=True)
     by_row = [*keys, "row"]
     left = Window.partitionBy(*by_row).orderBy("cx", "glyph_id")
     gap = F.lead("cx").over(left) - F.col("cx")
@@ -267,9 +318,11 @@ def detect_pairs(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = rows.withColumn("__p", place).where("__ok and __p % 2 = 1")
     order = Window.partitionBy(*by_row).orderBy("cx", "glyph_id")
     pairs = pairs.withColumn("__sep", F.lead("cx").over(order) - F.col("__next_x"))
-    good = pairs.groupBy(*by_row).agg(F.count(F.lit(1)).alias("__pairs"), F.median("__gap").alias("__inner"), F.max("__sep").alias("__far"))
-    good = good.where((F.col("__pairs") >= 2) & (F.col("__far") >= F.col("__inner") * 1.35)).select(*by_row)
-    return pairs.join(good, by_row, "left_semi").select(*by_row, F.col("glyph_id").alias("first_id"), F.col("__next").alias("second_id"), F.col("__gap").alias("gap"))
+    # judged in the row's own partition: nothing is joined back
+    row = Window.partitionBy(*by_row)
+    pairs = pairs.withColumns({"__pairs": F.count(F.lit(1)).over(row), "__inner": F.median("__gap").over(row), "__far": F.max("__sep").over(row)})
+    good = (F.col("__pairs") >= 2) & (F.col("__far") >= F.col("__inner") * 1.35)
+    return pairs.where(good).na.drop(subset=by_row).select(*by_row, F.col("glyph_id").alias("first_id"), F.col("__next").alias("second_id"), F.col("__gap").alias("gap"))
 
 
 def title_column(glyphs: DataFrame, pages: DataFrame, keys: Sequence[str]) -> DataFrame:
