@@ -74,6 +74,35 @@ def test_clusters_match_sequential_pass(spark):
             assert got == {(v, c[0], med(c)) for c in want for v in c}
 
 
+def test_clusters_by_key_match_sequential_pass(spark):
+    """Folded in the key's own partition, with null values and null keys, in one deal of the rows."""
+    rnd = random.Random(6)
+    data = [(p, i, None if i % 50 == 7 else float(rnd.randrange(0, 400)) / 2) for p in (0, 1, None) for i in range(150)]
+    df = spark.createDataFrame(data, "page_id long, id long, v double").repartition(7)
+    for got_df, fold in (
+        (C.cluster_1d(df, ["page_id"], "v", F.lit(3.0), F.lit(5.0), "c", by_key=True), lambda vals: next_fit(vals, 3.0, 5.0)),
+        (C.cluster_first_fit(df, ["page_id"], "v", F.lit(2.0), "c", by_key=True), lambda vals: first_fit(vals, 2.0)),
+    ):
+        assert got_df.columns == C.cluster_first_fit(df, ["page_id"], "v", F.lit(2.0), "c").columns
+        want = {(None, None, None)}
+        got = got_df.collect()
+        assert sorted((str(r["page_id"]), r["id"]) for r in got) == sorted((str(p), i) for p, i, _ in data)
+        for p in (0, 1, None):
+            want = {(v, c[0], med(c)) for c in fold([v for q, _, v in data if q == p and v is not None]) for v in c} | {(None, None, None)}
+            assert {(r["v"], r["c"], r["c_center"]) for r in got if r["page_id"] == p} == want
+
+
+def test_pages_are_dealt_once_for_rows_and_pairs(spark):
+    """Clusters, rows of labels and what is judged of them stay in the page's partition: no join, one deal."""
+    g = spark.range(400).selectExpr(
+        "id % 3 AS page_id", "id AS glyph_id", "CAST(id % 20 * 24 AS DOUBLE) AS cx", "CAST(id div 20 * 26 AS DOUBLE) AS cy", "CAST(id % 20 * 24 - 8 AS DOUBLE) AS x0", "CAST(id div 20 * 26 - 8 AS DOUBLE) AS y0",
+        "CAST(id % 20 * 24 + 8 AS DOUBLE) AS x1", "CAST(id div 20 * 26 + 8 AS DOUBLE) AS y1", "'text' AS kind", "'rank' AS grp", "IF(id % 2 = 0, '一', '子') AS text", "0.5D AS conf", "'ok' AS note", "'llm' AS source", "false AS edited",
+    )
+    for df in (C.detect_pairs(g, ["page_id"]), R.repair_pairs(g, ["page_id"]), C.column_clusters(g, ["page_id"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_in_order_equals_plain_window(spark):
     rnd = random.Random(3)
     data = [(i % 3, rnd.randrange(0, 1000), i, rnd.randrange(0, 9)) for i in range(500)]
