@@ -103,6 +103,17 @@ def test_pages_are_dealt_once_for_rows_and_pairs(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_few_joins_in_the_structural_pass(spark):
+    """Kinds, spacing and heights of pairs are told where a column stands (16 joins in the plan before)."""
+    g = spark.range(60).selectExpr(
+        "id % 3 AS page_id", "id AS glyph_id", "CAST(id % 20 * 24 AS DOUBLE) AS cx", "CAST(id div 20 * 26 AS DOUBLE) AS cy", "CAST(id % 20 * 24 - 8 AS DOUBLE) AS x0", "CAST(id div 20 * 26 - 8 AS DOUBLE) AS y0",
+        "CAST(id % 20 * 24 + 8 AS DOUBLE) AS x1", "CAST(id div 20 * 26 + 8 AS DOUBLE) AS y1", "'text' AS kind", "'rank' AS grp", "0.5D AS conf", "'ok' AS note",
+    )
+    pages, sides = g.groupBy("page_id").agg(F.max("x1").alias("width")), C.with_side(g, ["page_id"]).select("page_id", "mid_side").distinct()
+    out = C.apply_columns(g, pages, ["page_id"], sides, 24.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
+
+
 def test_in_order_equals_plain_window(spark):
     rnd = random.Random(3)
     data = [(i % 3, rnd.randrange(0, 1000), i, rnd.randrange(0, 9)) for i in range(500)]
